@@ -189,11 +189,10 @@ def dq_closed_before_created(spark, sf):
 
 
 def dq_shipped_before_ordered(spark, sf):
-    lines = _table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
-    orders = _table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    found = quality.closed_before_created(F.col("o_orderdate"), F.col("l_shipdate"))
-    return joined.agg(found.alias("bad_rows"))
+    lines, orders = _table(spark, sf, "lineitem"), _table(spark, sf, "orders")
+    return quality.count_out_of_order(
+        lines, "l_orderkey", "l_shipdate", orders, "o_orderkey", "o_orderdate"
+    )
 
 
 def dq_report(spark, sf):
@@ -514,9 +513,10 @@ def stream_alerts(spark, sf):
 
 def stream_peak_hour(spark, sf):
     t = tables(spark, sf)
-    path = t.ws.path("peak-counts")
-    rates.write_peak_counts(_event_stream(spark, sf), path, t.ws.path("peak-checkpoint")).awaitTermination()
-    return rates.running_peak_hour(spark.read.parquet(path))
+    path = t.ws.path("peaks")
+    query = rates.write_peaks(_event_stream(spark, sf), path, t.ws.path("peaks-checkpoint"))
+    query.awaitTermination()
+    return spark.read.parquet(path)
 
 
 def score_drift(spark, sf):

@@ -86,6 +86,26 @@ def unit_range(value: Column, low: Column, high: Column) -> Column:
     return F.when(high - low > 0, (value - low) / (high - low)).otherwise(F.lit(0.5))
 
 
+def round_printf(value: Column, digits: int) -> Column:
+    """Round the way `printf` and `%.nf` do: by the exact binary value, halves to even.
+
+    Spark's `round`, `bround` and `format_string` work on the shortest decimal text instead, and
+    so give 0.73 for the double 0.725, which is a little less than that. The product with 10^n is
+    split into the rounded product and its exact error (Dekker); the error decides
+    when the product looks like a half. For values up to about 1e9.
+    """
+    scale = float(10**digits)
+    product = value * scale
+    stretched = value * 134217729.0  # 2^27 + 1: leaves 26 bits in the upper part
+    upper = stretched - (stretched - value)
+    error = (upper * scale - product) + (value - upper) * scale
+    below = F.floor(product)
+    part = product - below
+    odd = F.pmod(below, F.lit(2)) == 1
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    return (below + F.when(up, 1).otherwise(0)) / scale
+
+
 def ladder(value: Column, steps: Sequence[tuple[float | None, str]]) -> Column:
     """First text whose lower limit the value reaches; the last text otherwise."""
     expr = None

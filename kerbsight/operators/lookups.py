@@ -42,12 +42,13 @@ def station_factors(cards: DataFrame) -> DataFrame:
         F.col("hotspot_cells") > 0,
         F.format_string(fixed.STATION_HOTSPOTS, "hotspot_cells", "total_cells"),
     ).otherwise(F.format_string(fixed.STATION_NO_HOTSPOTS, "total_cells"))
+    percent = C.round_printf(F.col("recurrence_rate") * 100, 1)
     return cards.withColumn(
         "contributing_factors",
         F.array(
             hotspots,
-            F.format_string(fixed.STATION_RECURRENCE, F.col("recurrence_rate") * 100),
-            F.format_string(fixed.STATION_SEVERITY, "severity_index"),
+            F.format_string(fixed.STATION_RECURRENCE, percent),
+            F.format_string(fixed.STATION_SEVERITY, C.round_printf(F.col("severity_index"), 2)),
             F.format_string(fixed.STATION_PEAK, "peak_hour"),
         ),
     )
@@ -130,14 +131,15 @@ def junction_lookup(pairs: DataFrame, cells: DataFrame, text: str) -> DataFrame:
 
 def junction_factors(cards: DataFrame) -> DataFrame:
     """Score cards with their five explanatory sentences."""
+    percent = C.round_printf(F.col("recurrence_rate") * 100, 1)
     return cards.withColumn(
         "contributing_factors",
         F.array(
             F.format_string(fixed.JUNCTION_CONTEXT, "total_cells", "police_station"),
             F.format_string(fixed.JUNCTION_OFFENCE, "top_violation"),
-            F.format_string(fixed.JUNCTION_RECURRENCE, F.col("recurrence_rate") * 100),
-            F.format_string(fixed.JUNCTION_SEVERITY, "severity_index"),
-            F.format_string(fixed.JUNCTION_PROXY, "score"),
+            F.format_string(fixed.JUNCTION_RECURRENCE, percent),
+            F.format_string(fixed.JUNCTION_SEVERITY, C.round_printf(F.col("severity_index"), 2)),
+            F.format_string(fixed.JUNCTION_PROXY, C.round_printf(F.col("score"), 3)),
         ),
     )
 
@@ -173,11 +175,13 @@ def enforcement_queue(
 def threshold_alerts(rules: DataFrame, cells: DataFrame) -> DataFrame:
     """`rules(cell_id, threshold)` against the cells' counts. Unknown cells are reported.
 
-    Many rules may watch one cell; AQE splits such a key, as the cell side has unique keys.
+    Many rules may watch one cell: the look-up spreads them over several tasks.
     """
     count = F.col("violation_count")
     fired = count > F.col("threshold")
-    joined = rules.join(cells.select("cell_id", "violation_count"), "cell_id", "left")
+    joined = salted_lookup(
+        rules, cells.select("cell_id", "violation_count"), "cell_id", rules.columns
+    )
     return joined.select(
         "cell_id",
         "threshold",

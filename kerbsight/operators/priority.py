@@ -80,7 +80,7 @@ def _scored(df: DataFrame, first: Column | None, first_name: str) -> DataFrame:
         C.tier(F.col("priority_score")).alias("priority_tier"),
         C.action(F.col("priority_score")).alias("recommended_action"),
         F.create_map(
-            *[c for name, col in named.items() for c in (F.lit(name), F.bround(col, 3))]
+            *[c for name, col in named.items() for c in (F.lit(name), C.round_printf(F.col(col), 3))]
         ).alias("contributing_factors"),
     )
 

@@ -34,6 +34,22 @@ def closed_before_created(created: Column, closed: Column) -> Column:
     return F.count_if(closed < created)
 
 
+def count_out_of_order(
+    rows: DataFrame, key: str, value: str, parents: DataFrame, parent_key: str, parent_value: str
+) -> DataFrame:
+    """Rows whose value is less than that of their parent.
+
+    Rows are counted per (key, value) before the join, so that a parent with a large share of all
+    rows sends only its distinct values through it.
+    """
+    counted = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    joined = counted.join(
+        parents.select(parent_key, parent_value), F.col(key) == F.col(parent_key)
+    )
+    bad = F.sum(F.when(F.col(value) < F.col(parent_value), F.col("n")).otherwise(0))
+    return joined.agg(F.coalesce(bad, F.lit(0)).alias("bad_rows"))
+
+
 def _share(count: Column, rows: Column) -> Column:
     return F.when(rows > 0, count / rows).otherwise(F.lit(0.0))
 
@@ -87,7 +103,7 @@ def report(df: DataFrame) -> DataFrame:
     rows, n = F.col("total_rows"), F.col
     geo_share = _share(n("geo_outliers"), rows)
     junction_share = _share(n("no_junction"), rows)
-    pct1 = lambda share: F.bround(share * 100, 1)
+    pct1 = lambda share: F.rint(share * 100 * 10) / 10
     warn = lambda count: F.when(count > 0, "warning").otherwise("ok")
 
     def line(check, status, value, pct, message):
@@ -106,12 +122,12 @@ def report(df: DataFrame) -> DataFrame:
     )
     geo_text = F.when(
         geo_status == "error",
-        F.format_string("Too many geo outliers: %,d (%.1f%%)", n("geo_outliers"), geo_share * 100),
+        F.format_string("Too many geo outliers: %,d (%.1f%%)", n("geo_outliers"), C.round_printf(geo_share * 100, 1)),
     ).otherwise(
         F.format_string(
             "Geo outliers (outside Bengaluru bbox): %,d (%.1f%%)",
             n("geo_outliers"),
-            geo_share * 100,
+            C.round_printf(geo_share * 100, 1),
         )
     )
     junction_status = F.when(junction_share > JUNCTION_WARNING_SHARE, "warning").otherwise("ok")
@@ -163,7 +179,7 @@ def report(df: DataFrame) -> DataFrame:
                 "junction_name is 'No Junction' or NULL for %,d rows (%.1f%%) — "
                 "use police_station or H3 as spatial grouping instead",
                 n("no_junction"),
-                junction_share * 100,
+                pct1(junction_share),
             ),
         ),
         line(

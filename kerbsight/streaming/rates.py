@@ -137,17 +137,20 @@ def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def write_peak_counts(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Add each micro-batch's (station, hour) counts; `running_peak_hour` reads them.
+def write_peaks(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table of each station's busiest hour up to date.
 
-    A batch overwrites its own folder, so a repeated batch is not counted twice.
+    The state is one count per station and hour. Each micro-batch overwrites the
+    table with the peaks of all counts so far, so a repeated batch changes nothing.
     """
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        hourly_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def replace(counts: DataFrame, _batch_id: int) -> None:
+        running_peak_hour(counts).write.mode("overwrite").parquet(path)
 
     return (
-        facts.writeStream.foreachBatch(add)
+        hourly_counts(facts)
+        .writeStream.outputMode("complete")
+        .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

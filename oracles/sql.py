@@ -393,8 +393,8 @@ def _b(*names: str) -> str:
 _QUEUE_FLAT = f"""cell_id, priority_tier, recommended_action, violation_count, is_hotspot, hotspot_rank,
   police_station, top_violation, top_vehicle,
   {_r("priority_score", "severity_mean", "recurrence_score", "congestion_score", "lat", "lng")},
-  round_even(hotspot_density, 3) AS factor_hotspot_density, round_even(vol, 3) AS factor_violation_intensity,
-  round_even(recurrence_score, 3) AS factor_recurrence, round_even(sev, 3) AS factor_severity"""
+  printf('%.3f', hotspot_density)::DOUBLE AS factor_hotspot_density, printf('%.3f', vol)::DOUBLE AS factor_violation_intensity,
+  printf('%.3f', recurrence_score)::DOUBLE AS factor_recurrence, printf('%.3f', sev)::DOUBLE AS factor_severity"""
 _CARD = (
     "query_type, name, violation_count, "
     + _b("hotspot_cells", "total_cells", "peak_hour")
@@ -678,7 +678,7 @@ ORACLES: dict[str, str] = {
     "station_factors": _query(
         "cards",
         _sentences(
-            "(SELECT *, round(recurrence_rate, 6) rr, round(severity_index, 6) sv FROM cards)",
+            "cards",
             "CASE WHEN hotspot_cells > 0 THEN "
             + _printf(fixed.STATION_HOTSPOTS, "hotspot_cells", "total_cells")
             + " ELSE "
