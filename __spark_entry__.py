@@ -19,6 +19,7 @@ from kerbsight.operators import (
     quality,
 )
 from kerbsight.plans.batch import CityTables
+from kerbsight.session import Workspace
 from kerbsight.sources import files
 from kerbsight.sources.events import read_violations
 from kerbsight.streaming import rates
@@ -35,16 +36,25 @@ def tables(spark: SparkSession, sf_dir: str, method: str = "ols") -> CityTables:
     """Tables of one input folder; queries of one application share the written ones."""
     key = (spark.sparkContext.applicationId, sf_dir, method)
     if key not in _tables:
-        found = CityTables(spark, read_violations(spark, sf_dir), method=method, rounds=GBT_ROUNDS)
-        if method == "gbt":
+        if method == "ols":
+            ws = Workspace(spark)
+            # The derived records stand for the raw violation table: stored once, read by column.
+            violations = ws.save("violations", read_violations(spark, sf_dir))
+            found = CityTables(spark, violations, method=method, ws=ws)
+        else:
             # Everything before the model is the same for both methods.
             base = tables(spark, sf_dir)
-            found.ws, found.rollup, found.stations = base.ws, base.rollup, base.stations
+            found = CityTables(spark, base.violations, method=method, rounds=GBT_ROUNDS, ws=base.ws)
+            found.rollup, found.stations = base.rollup, base.stations
             found.cells, found.hotspots = base.cells, base.hotspots
         _tables[key] = found
     return _tables[key]
 
 
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).violations
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Integers as bigint, fractions as double with 6 digits: one form for every engine."""
     out = []
@@ -106,17 +116,17 @@ def scan_geojson(spark, sf):
 
 
 def parse_violation_types(spark, sf):
-    df = cleaning.parse_json_columns(read_violations(spark, sf))
+    df = cleaning.parse_json_columns(violations(spark, sf))
     values = F.col("violation_type_list")
     return df.select("id", F.size(values).alias("n"), F.array_join(values, "|").alias("names"))
 
 
 def primary_violation(spark, sf):
-    return cleaning.parse_json_columns(read_violations(spark, sf)).select("id", "primary_violation")
+    return cleaning.parse_json_columns(violations(spark, sf)).select("id", "primary_violation")
 
 
 def parse_offence_codes(spark, sf):
-    df = cleaning.parse_json_columns(read_violations(spark, sf))
+    df = cleaning.parse_json_columns(violations(spark, sf))
     codes = F.col("offence_code_list")
     total = F.aggregate(codes, F.lit(0), lambda a, x: a + x)
     return df.select("id", F.size(codes).alias("n"), total.alias("code_sum"))
@@ -139,16 +149,16 @@ def coerce_timestamps(spark, sf):
 
 
 def time_features(spark, sf):
-    df = cleaning.add_time_features(cleaning.coerce_timestamps(read_violations(spark, sf)))
+    df = cleaning.add_time_features(cleaning.coerce_timestamps(violations(spark, sf)))
     return df.select("id", "hour_ist", "day_of_week", "month", "date_ist")
 
 
 def clean_junction(spark, sf):
-    return cleaning.clean_junctions(read_violations(spark, sf)).select("id", "junction_name")
+    return cleaning.clean_junctions(violations(spark, sf)).select("id", "junction_name")
 
 
 def severity(spark, sf):
-    df = cleaning.add_severity(cleaning.parse_json_columns(read_violations(spark, sf)))
+    df = cleaning.add_severity(cleaning.parse_json_columns(violations(spark, sf)))
     return df.select("id", "primary_violation", "severity")
 
 
@@ -171,7 +181,7 @@ def tier_case(spark, sf):
 
 
 def dq_duplicate_ids(spark, sf):
-    return quality.count_duplicates(read_violations(spark, sf), ["id"])
+    return quality.count_duplicates(violations(spark, sf), ["id"])
 
 
 def dq_duplicate_lineitem_keys(spark, sf):
@@ -180,12 +190,12 @@ def dq_duplicate_lineitem_keys(spark, sf):
 
 def dq_geo_outliers(spark, sf):
     found = quality.geo_outliers(F.col("latitude"), F.col("longitude"))
-    return read_violations(spark, sf).agg(found.alias("geo_outliers"))
+    return violations(spark, sf).agg(found.alias("geo_outliers"))
 
 
 def dq_closed_before_created(spark, sf):
     found = quality.closed_before_created(F.col("created_datetime"), F.col("closed_datetime"))
-    return read_violations(spark, sf).agg(found.alias("bad_rows"))
+    return violations(spark, sf).agg(found.alias("bad_rows"))
 
 
 def dq_shipped_before_ordered(spark, sf):
@@ -196,18 +206,18 @@ def dq_shipped_before_ordered(spark, sf):
 
 
 def dq_report(spark, sf):
-    return quality.report(read_violations(spark, sf))
+    return quality.report(violations(spark, sf))
 
 
 # -- cells and heatmaps -------------------------------------------------------------------
 
 
 def hex_bin(spark, sf):
-    return add_hex_cells(read_violations(spark, sf)).select("id", "cell_street", "cell_city")
+    return add_hex_cells(violations(spark, sf)).select("id", "cell_street", "cell_city")
 
 
 def _street_cells(spark, sf):
-    located = add_hex_cells(read_violations(spark, sf)).where("street_q IS NOT NULL")
+    located = add_hex_cells(violations(spark, sf)).where("street_q IS NOT NULL")
     return located.groupBy("cell_street", "street_q", "street_r").agg(F.count("*").alias("n"))
 
 
