@@ -1,67 +1,62 @@
 """Connected components of an undirected graph given as an edge table.
 
-Minimum-label propagation with hooking and pointer jumping (the FastSV scheme of Zhang, Azad and
-Buluc, 2020), so the number of rounds grows with the logarithm of the graph, not with its
+Minimum-label propagation with hooking and pointer jumping (after the FastSV scheme of Zhang, Azad
+and Buluc, 2020), so the number of rounds grows with the logarithm of the graph, not with its
 diameter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from kerbsight.operators.ranking import salted_lookup
 from kerbsight.session import Workspace
 
+# `prev` is the root a node had before the last round. Offers to a node are
+#  - its own root and the root of that root (pointer jumping),
+#  - the root that a node which used to have it as root has found since (hooking),
+#  - the roots of its neighbours' roots.
+# Very many nodes may share one root. Their look-up of it is spread over 16 salts, and what they
+# offer it is combined map-side by min().
+_ROUND = """
+WITH jumped AS (
+  SELECT l.node, l.root, r.root AS up
+  FROM (SELECT node, root, pmod(xxhash64(node), 16L) AS salt FROM {labels}) l
+  JOIN (SELECT node, root, explode(sequence(0L, 15L)) AS salt FROM {labels}) r
+    ON r.node = l.root AND r.salt = l.salt)
+SELECT node, min(offer) AS root, max(own) AS prev
+FROM (
+  SELECT node, least(root, up) AS offer, root AS own FROM jumped
+  UNION ALL
+  SELECT prev AS node, root AS offer, NULL AS own FROM {labels} WHERE prev != root
+  UNION ALL
+  SELECT e.a AS node, j.up AS offer, NULL AS own FROM {edges} e JOIN jumped j ON j.node = e.b)
+GROUP BY node
+"""
+
 
 def connected_components(ws: Workspace, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`nodes(node bigint)` and symmetric `edges(a, b)` → `(node, root)`.
 
     `root` is the smallest node of the component. Each round writes its labels to the shared
-    folder: lineage stays one round long and a lost executor re-reads the last round. Labels
-    only ever shrink, so an unchanged label sum proves that a round changed nothing; there is
-    no limit on the number of rounds.
+    folder: lineage stays one round long and a lost executor re-reads the last round. Rounds end
+    when one has changed no label, however many that takes.
+
+    The number of changed labels is observed while they are written. A task that runs twice
+    may be counted twice, but a count of zero is always true.
     """
-    neighbour = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_near"))
+    nearest = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
     labels = ws.save(
         "labels",
-        nodes.join(neighbour, "node", "left").select(
-            "node", F.least(F.col("node"), F.col("_near")).alias("root")
+        nodes.join(nearest, "node", "left").selectExpr(
+            "node", "least(node, near) AS root", "node AS prev"
         ),
     )
-    before = _label_sum(labels)
-    while True:
-        labels = ws.save("labels", _round(labels, edges))
-        after = _label_sum(labels)
-        if after == before:
-            return labels
-        before = after
-
-
-def _label_sum(labels: DataFrame):
-    return labels.agg(F.sum(F.col("root").cast("decimal(38,0)")).alias("s")).first()["s"]
-
-
-def _round(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    # Root of the root. Many nodes may share one root, hence the salted look-up.
-    roots = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    jumped = salted_lookup(labels, roots, "root", ["node"])
-    # Smallest such label among a node's neighbours.
-    near = (
-        edges.join(jumped.select(F.col("node").alias("b"), "up"), "b")
-        .groupBy(F.col("a").alias("node"))
-        .agg(F.min("up").alias("near"))
-    )
-    found = jumped.join(near, "node", "left").withColumn(
-        "best", F.least("root", "up", "near")
-    )
-    # The node and its root both take the smallest label; the minimum combines map-side, so
-    # a root with very many nodes is no bottleneck.
-    offers = found.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("node").alias("node"), F.col("best").alias("root")),
-                F.struct(F.col("root").alias("node"), F.col("best").alias("root")),
-            )
+    changed = True
+    while changed:
+        seen = Observation()
+        step = ws.spark.sql(_ROUND, labels=labels, edges=edges)
+        labels = ws.save(
+            "labels", step.observe(seen, F.count_if(F.col("root") != F.col("prev")).alias("n"))
         )
-    )
-    return offers.groupBy("node").agg(F.min("root").alias("root"))
+        changed = seen.get["n"] > 0
+    return labels.select("node", "root")
