@@ -55,8 +55,14 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir).violations
 
 
+def or_default(df: DataFrame, **defaults) -> DataFrame:
+    """Replace nulls of integer and boolean columns, which engines hand over in different types."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    """Integers as bigint, fractions as double with 6 digits: one form for every engine."""
+    """Integers as bigint, fractions as double with 6 digits, dates as text: one form for every
+    engine."""
     out = []
     for name, dtype in df.dtypes:
         c = F.col(f"`{name}`")
@@ -64,6 +70,8 @@ def tidy(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         elif dtype in ("double", "float") or dtype.startswith("decimal"):
             c = F.round(c.cast("double"), 6)
+        elif dtype == "date":
+            c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -91,7 +99,7 @@ def sink_parquet_roundtrip(spark, sf):
     path = t.ws.path("cleaned")
     columns = ["id", "primary_violation", "cell_street", "cell_city", "hour_ist", "date_ist"]
     files.sink_parquet(t.facts.select(*columns), path, ["date_ist"])
-    return files.scan_parquet(spark, path).select(*columns)
+    return or_default(files.scan_parquet(spark, path).select(*columns), hour_ist=-1)
 
 
 def sink_csv_roundtrip(spark, sf):
@@ -150,7 +158,8 @@ def coerce_timestamps(spark, sf):
 
 def time_features(spark, sf):
     df = cleaning.add_time_features(cleaning.coerce_timestamps(violations(spark, sf)))
-    return df.select("id", "hour_ist", "day_of_week", "month", "date_ist")
+    df = df.select("id", "hour_ist", "day_of_week", "month", "date_ist")
+    return or_default(df, hour_ist=-1, day_of_week=-1, month=-1)
 
 
 def clean_junction(spark, sf):
@@ -259,7 +268,7 @@ def geojson_features(spark, sf):
 
 
 def density_bands(spark, sf):
-    return heatmap.density_bands(tables(spark, sf).heatmap(9))
+    return or_default(heatmap.density_bands(tables(spark, sf).heatmap(9)), band_high=-1)
 
 
 # -- features -----------------------------------------------------------------------------
@@ -393,7 +402,8 @@ def queue_positions(spark, sf):
 
 def queue_filtered(spark, sf):
     found = lookups.enforcement_queue(tables(spark, sf).queue, 100, "moderate", "STATION 0")
-    return found.select("cell_id", "priority_score", "priority_tier", "police_station", "hotspot_rank")
+    found = found.select("cell_id", "priority_score", "priority_tier", "police_station", "hotspot_rank")
+    return or_default(found, hotspot_rank=0)
 
 
 # -- look-ups -----------------------------------------------------------------------------
@@ -455,7 +465,8 @@ def _rules(t: CityTables) -> DataFrame:
 
 def threshold_alerts(spark, sf):
     t = tables(spark, sf)
-    return lookups.threshold_alerts(_rules(t), t.cells)
+    alerts = lookups.threshold_alerts(_rules(t), t.cells)
+    return or_default(alerts, alert_triggered=False, current_count=-1)
 
 
 def dashboard_stats(spark, sf):

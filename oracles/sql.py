@@ -1,7 +1,7 @@
 """SQL texts that recompute every query independently.
 
 Shared relations are common table expressions; each query names the ones it needs. Doubles are
-rounded to 6 digits and integers cast to BIGINT, the form the queries are returned in.
+rounded to 6 digits, integers cast to BIGINT and dates to text, the form the queries are returned in.
 """
 
 from __future__ import annotations
@@ -485,7 +485,7 @@ ORACLES: dict[str, str] = {
     ),
     "sink_parquet_roundtrip": _query(
         "f",
-        "SELECT id, primary_violation, cell_street, cell_city, hour_ist::BIGINT AS hour_ist, date_ist FROM f",
+        "SELECT id, primary_violation, cell_street, cell_city, coalesce(hour_ist, -1)::BIGINT AS hour_ist, date_ist::VARCHAR AS date_ist FROM f",
     ),
     "sink_csv_roundtrip": _query(
         "queue",
@@ -507,8 +507,8 @@ ORACLES: dict[str, str] = {
   FROM events""",
     "time_features": _query(
         "parsed",
-        """SELECT id, hour(ist)::BIGINT AS hour_ist, (isodow(ist) - 1)::BIGINT AS day_of_week,
-  month(ist)::BIGINT AS month, ist::DATE AS date_ist FROM parsed""",
+        """SELECT id, coalesce(hour(ist), -1)::BIGINT AS hour_ist, coalesce(isodow(ist) - 1, -1)::BIGINT AS day_of_week,
+  coalesce(month(ist), -1)::BIGINT AS month, ist::DATE::VARCHAR AS date_ist FROM parsed""",
     ),
     "clean_junction": _query(
         "v", "SELECT id, trim(coalesce(junction_name, 'No Junction')) AS junction_name FROM v"
@@ -575,7 +575,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT cell_id, violation_count, round(share, 6) AS density, band::BIGINT AS band,
   {_ladder("share", fixed.DENSITY_BANDS)} AS band_label,
   floor(top * (band * 0.2e0) + 0.5e0)::BIGINT AS band_low,
-  CASE WHEN band < 4 THEN floor(top * ((band + 1) * 0.2e0) + 0.5e0) END::BIGINT AS band_high,
+  CASE WHEN band < 4 THEN floor(top * ((band + 1) * 0.2e0) + 0.5e0) ELSE -1 END::BIGINT AS band_high,
   floor(top * 0.25e0 + 0.5e0)::BIGINT AS tick_25, floor(top * 0.5e0 + 0.5e0)::BIGINT AS tick_50,
   floor(top * 0.75e0 + 0.5e0)::BIGINT AS tick_75, top AS tick_100
   FROM (SELECT *, CASE WHEN share < 0.2e0 THEN 0 WHEN share < 0.4e0 THEN 1 WHEN share < 0.6e0 THEN 2
@@ -669,7 +669,7 @@ ORACLES: dict[str, str] = {
     "queue_filtered": _query(
         "queue",
         f"""SELECT cell_id, {_r("priority_score")}, priority_tier, police_station,
-  CASE WHEN is_hotspot THEN hotspot_rank END AS hotspot_rank FROM queue
+  CASE WHEN is_hotspot THEN hotspot_rank ELSE 0 END AS hotspot_rank FROM queue
   WHERE lower(police_station) = 'station 0' AND lower(priority_tier) = 'moderate'
   ORDER BY round(priority_score, 9) DESC, cell_id LIMIT 100""",
     ),
@@ -721,7 +721,7 @@ ORACLES: dict[str, str] = {
     "threshold_alerts": _query(
         "rules cells",
         f"""SELECT r.cell_id, threshold, CASE WHEN violation_count IS NULL THEN 'not found' ELSE 'success' END AS status,
-  violation_count > threshold AS alert_triggered, violation_count AS current_count,
+  coalesce(violation_count > threshold, false) AS alert_triggered, coalesce(violation_count, -1) AS current_count,
   CASE WHEN violation_count IS NULL THEN {_printf(fixed.ALERT_NOT_FOUND, "r.cell_id")}
        WHEN violation_count > threshold THEN {_printf(fixed.ALERT_FIRED, "violation_count", "threshold")}
        ELSE {_printf(fixed.ALERT_QUIET, "violation_count", "threshold")} END AS message
