@@ -1,12 +1,14 @@
 """Feature tables per cell and per station, and hour-of-day profiles.
 
-The facts are first reduced to a rollup over their low-cardinality columns (one shuffle with
-map-side combine). Cells, stations, heatmaps and profiles are all aggregated from the rollup;
-only the vehicle counts go back to the facts.
+The facts are first reduced to a rollup: counts per cell, station and value of one attribute at a
+time (one shuffle with map-side combine). Cells, stations, heatmaps and profiles are all
+aggregated from the rollup; only the vehicle counts go back to the facts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbsight.functions import columns as C, fixed
@@ -14,45 +16,50 @@ from kerbsight.functions.hexgrid import STREET, HexGrid
 
 STREET_KEY = ["street_q", "street_r"]
 CITY_KEY = ["city_q", "city_r"]
-ROLLUP_KEYS = [
-    *STREET_KEY,
-    *CITY_KEY,
-    "police_station",
-    "primary_violation",
-    "vehicle_type",
-    "hour_ist",
-    "day_of_week",
-]
-
-
-def rollup(facts: DataFrame) -> DataFrame:
-    """Counts per combination of cells, station, violation, vehicle type, hour and weekday.
-
-    `n_rows` counts rows and `n_ids` non-null ids. Severity is a function of the violation,
-    so it is not stored.
+PLACE_KEYS = [*STREET_KEY, *CITY_KEY, "police_station"]
+
+# Attributes of the rollup, as text. Hours have two digits, so that text order is hour order.
+ATTRIBUTES = {
+    "violation": "primary_violation",
+    "vehicle": "vehicle_type",
+    "hour": "lpad(string(hour_ist), 2, '0')",
+    "weekday": "string(day_of_week)",
+}
+
+
+def rollup(
+    facts: DataFrame,
+    attributes: Sequence[str] = tuple(ATTRIBUTES),
+    keys: Sequence[str] = tuple(PLACE_KEYS),
+) -> DataFrame:
+    """(keys, attr, value, n_rows, n_ids): rows and non-null ids per attribute value.
+
+    A row counts once for every attribute, with a null value if it has none. Crossing the
+    attributes with each other would give a table that hardly shrinks; one at a time, its size is
+    bounded by places x values, whatever the number of facts. A place that holds a large share
+    of all rows is combined map-side and spread over its values. Severity is a function
+    of the violation and not stored.
     """
-    return facts.groupBy(*ROLLUP_KEYS).agg(
-        F.count("*").alias("n_rows"), F.count("id").alias("n_ids")
+    pairs = [F.struct(F.lit(a).alias("attr"), F.expr(ATTRIBUTES[a]).alias("value")) for a in attributes]
+    return (
+        facts.select(*keys, "id", F.inline(F.array(*pairs)))
+        .groupBy(*keys, "attr", "value")
+        .agg(F.count("*").alias("n_rows"), F.count("id").alias("n_ids"))
     )
 
 
-def _two_digits(value: Column) -> Column:
-    """Text whose order is the numeric order, for hours."""
-    return F.lpad(value.cast("string"), 2, "0")
+def value_counts(counts: DataFrame, keys: list[str], **places: Column) -> DataFrame:
+    """Rollup per (keys, attr, value); `places` adds attributes made from the place columns.
 
-
-def _value_counts(counts: DataFrame, keys: list[str], attributes: dict[str, Column]) -> DataFrame:
-    """Long table (keys, attr, value, n_rows, n_ids).
-
-    A key with a large share of the rows is spread over its (attr, value) pairs here; the next
-    aggregation per key sees a few partial rows of it per task.
+    Every row has one entry under `violation`, so those entries also count the places.
     """
-    pairs = [
-        F.struct(F.lit(name).alias("attr"), value.cast("string").alias("value"))
-        for name, value in attributes.items()
+    entry = F.struct("attr", "value")
+    extra = [
+        F.struct(F.lit(name).alias("attr"), place.alias("value")) for name, place in places.items()
     ]
+    entries = F.when(_is("violation"), F.array(entry, *extra)).otherwise(F.array(entry))
     return (
-        counts.select(*keys, "n_rows", "n_ids", F.inline(F.array(*pairs)))
+        counts.select(*keys, "n_rows", "n_ids", F.inline(entries))
         .groupBy(*keys, "attr", "value")
         .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_ids").alias("n_ids"))
     )
@@ -138,17 +145,8 @@ def _with_recurrence(groups: DataFrame, facts: DataFrame, keys: list[str]) -> Da
 def cell_features(facts: DataFrame, counts: DataFrame, grid: HexGrid = STREET) -> DataFrame:
     """One row per cell. `hq`, `hr` are the cell's axial coordinates."""
     keys = STREET_KEY if grid.prefix == STREET.prefix else CITY_KEY
-    values = _value_counts(
-        counts.where(F.col(keys[0]).isNotNull()),
-        keys,
-        {
-            "violation": F.col("primary_violation"),
-            "vehicle": F.col("vehicle_type"),
-            "station": F.col("police_station"),
-            "hour": _two_digits(F.col("hour_ist")),
-            "weekday": F.col("day_of_week"),
-        },
-    )
+    located = counts.where(F.col(keys[0]).isNotNull())
+    values = value_counts(located, keys, station=F.col("police_station"))
     on_weekday = F.sum(F.when(_is("weekday") & (F.col("value") < "5"), F.col("n_rows")))
     rows = _rows("violation")
     cells = values.groupBy(*keys).agg(
@@ -193,16 +191,11 @@ def station_features(facts: DataFrame, counts: DataFrame) -> DataFrame:
     station has the majority.
     """
     pair = lambda q, r: F.concat_ws(":", q, r)
-    values = _value_counts(
+    values = value_counts(
         counts.where(F.col("police_station").isNotNull()),
         ["police_station"],
-        {
-            "violation": F.col("primary_violation"),
-            "vehicle": F.col("vehicle_type"),
-            "hour": _two_digits(F.col("hour_ist")),
-            "street": F.when(F.col("street_q").isNotNull(), pair("street_q", "street_r")),
-            "city": F.when(F.col("city_q").isNotNull(), pair("city_q", "city_r")),
-        },
+        street=F.when(F.col("street_q").isNotNull(), pair("street_q", "street_r")),
+        city=F.when(F.col("city_q").isNotNull(), pair("city_q", "city_r")),
     )
     stations = values.groupBy("police_station").agg(
         F.sum(F.when(_is("violation"), F.col("n_ids"))).alias("violation_count"),
@@ -223,12 +216,12 @@ def temporal_profile(counts: DataFrame, grid: HexGrid = STREET) -> DataFrame:
     Conditional sums in one aggregation instead of a pivot over a window.
     """
     keys = STREET_KEY if grid.prefix == STREET.prefix else CITY_KEY
-    timed = counts.where(F.col(keys[0]).isNotNull() & F.col("hour_ist").isNotNull())
+    timed = counts.where(F.col(keys[0]).isNotNull() & _is("hour") & F.col("value").isNotNull())
     n = F.col("n_rows")
     sums = timed.groupBy(*keys).agg(
         F.sum(n).alias("_total"),
         *[
-            F.sum(F.when(F.col("hour_ist") == h, n).otherwise(0)).alias(f"hour_{h}")
+            F.sum(F.when(F.col("value") == f"{h:02d}", n).otherwise(0)).alias(f"hour_{h}")
             for h in range(24)
         ],
     )

@@ -31,15 +31,8 @@ def _named(cells: DataFrame, grid: HexGrid, *columns: str) -> DataFrame:
 def heatmap(counts: DataFrame, grid: HexGrid = STREET) -> DataFrame:
     """Cells with id count, majority violation and station, and mean local hour."""
     keys = _keys(grid)
-    values = features._value_counts(
-        counts.where(F.col(keys[0]).isNotNull()),
-        keys,
-        {
-            "violation": F.col("primary_violation"),
-            "station": F.col("police_station"),
-            "hour": F.col("hour_ist"),
-        },
-    )
+    located = counts.where(F.col(keys[0]).isNotNull())
+    values = features.value_counts(located, keys, station=F.col("police_station"))
     timed, hours, _ = features._hour_moments()
     cells = values.groupBy(*keys).agg(
         F.sum(F.when(features._is("violation"), F.col("n_ids"))).alias("violation_count"),
@@ -81,17 +74,9 @@ def heatmap_between(
     """
     grid = grid_for(resolution)
     keys = _keys(grid)
-    counts = (
-        between_dates(facts, start, end)
-        .where(F.col(keys[0]).isNotNull())
-        .groupBy(*keys, "primary_violation", "police_station")
-        .agg(F.count("*").alias("n_rows"), F.count("*").alias("n_ids"))
-    )
-    values = features._value_counts(
-        counts,
-        keys,
-        {"violation": F.col("primary_violation"), "station": F.col("police_station")},
-    )
+    found = between_dates(facts, start, end).where(F.col(keys[0]).isNotNull())
+    counts = features.rollup(found, ["violation"], [*keys, "police_station"])
+    values = features.value_counts(counts, keys, station=F.col("police_station"))
     cells = values.groupBy(*keys).agg(
         features._rows("violation").alias("violation_count"),
         features._mode("violation", fixed.UNKNOWN).alias("top_violation"),

@@ -129,7 +129,7 @@ class CityTables:
             F.count_if("is_hotspot").alias("hotspot_cells"),
         ).select(
             "*",
-            self.rollup.agg(F.sum("n_rows")).scalar().alias("total_rows"),
+            self.rollup.where("attr = 'violation'").agg(F.sum("n_rows")).scalar().alias("total_rows"),
             city.agg(F.count("*")).scalar().alias("city_cells"),
             self.stations.agg(F.count("*")).scalar().alias("stations"),
             by_tier.getField("immediate").alias("immediate"),
