@@ -92,7 +92,8 @@ def sink_model_metadata(
 ) -> None:
     schema = "feature_importance map<string,double>, metrics struct<mae:double,r2:double>, feature_cols array<string>"
     row = (importance, (metrics["mae"], metrics["r2"]), feature_columns)
-    spark.createDataFrame([row], schema).write.mode("overwrite").json(path)
+    # one row: without coalesce the other partitions would add empty files
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(path)
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
