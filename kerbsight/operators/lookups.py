@@ -100,7 +100,6 @@ def junction_scorecard(pairs: DataFrame, cells: DataFrame) -> DataFrame:
         mean("congestion_score").alias("score"),
         mean("recurrence_score").alias("recurrence"),
         mean("severity_mean").alias("severity"),
-        F.max_by(F.col("police_station"), order).alias("station"),
         top.alias("top"),
         F.count_if("is_hotspot").alias("hotspots"),
         F.count("street_q").alias("cells"),

@@ -36,17 +36,20 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sink_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def sink_parquet(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, rebalance: bool = True
+) -> None:
     """Overwrite a Parquet table.
 
-    With partition columns, `rebalance` brings the rows of a partition value together and AQE
-    splits the values that are too large for one task.
+    With partition columns, `rebalance` brings the rows of a partition value together, and AQE
+    splits the values that are too large for one task. Without it every task writes one
+    file per value it meets.
     """
-    if partition_by:
-        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    writer = df
+    if partition_by and rebalance:
+        writer = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    out = writer.write.mode("overwrite")
+    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
 def sink_csv(df: DataFrame, path: str) -> None:

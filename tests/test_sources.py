@@ -68,3 +68,35 @@ def test_workspace_reads_what_it_wrote_and_cleans_up(spark):
     space.close()
     with pytest.raises(Exception):
         spark.read.parquet(space.root)
+
+
+class FakeSession:
+    """A session on the given master whose configuration names no checkpoint folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf = self
+        self.sparkContext = self
+        self.master, self.folder = master, folder
+
+    def get(self, _key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = f"file:{folder}"
+
+
+def test_only_a_local_session_may_choose_its_own_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(FakeSession("yarn"))
+    assert checkpoint_root(FakeSession("yarn", "hdfs:/shared/")) == "hdfs:/shared"
+    local = FakeSession("local[2]")
+    assert checkpoint_root(local) == local.folder
+
+
+def test_unsorted_dates_can_be_written_without_a_shuffle(spark, tmp_path, city):
+    path = str(tmp_path / "plain")
+    files.sink_parquet(city.facts.select("id", "date_ist"), path, ["date_ist"], rebalance=False)
+    assert files.scan_parquet(spark, path).count() == city.facts.count()
