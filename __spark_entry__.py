@@ -35,7 +35,7 @@ _tables: dict[tuple[str, str, str], CityTables] = {}
 def tables(spark: SparkSession, sf_dir: str, method: str = "ols") -> CityTables:
     """Tables of one input folder; queries of one application share the written ones."""
     key = (spark.sparkContext.applicationId, sf_dir, method)
-    if key not in _tables:
+    if key not in _tables or not _tables[key].ws.exists():
         if method == "ols":
             ws = Workspace(spark)
             # The derived records stand for the raw violation table: stored once, read by column.
@@ -45,8 +45,7 @@ def tables(spark: SparkSession, sf_dir: str, method: str = "ols") -> CityTables:
             # Everything before the model is the same for both methods.
             base = tables(spark, sf_dir)
             found = CityTables(spark, base.violations, method=method, rounds=GBT_ROUNDS, ws=base.ws)
-            found.rollup, found.stations = base.rollup, base.stations
-            found.cells, found.hotspots = base.cells, base.hotspots
+            found.rollup, found.cells, found.hotspots = base.rollup, base.cells, base.hotspots
         _tables[key] = found
     return _tables[key]
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, functions as F
 
 from kerbsight.functions import fixed
 
-# What a JSON value other than an array can start with.
-_SCALAR_START = r'^["{tfn0-9-]'
+# What a JSON array, and what any other JSON value, can start with.
+_ARRAY_START = r"^\s*\["
+_SCALAR_START = r'^\s*["{tfn0-9-]'
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 # A time of day followed by a zone: Z, UTC, +05, +0530 or +05:30.
 _ZONED_TEXT = r"\d:\d\d.*(Z|z|UTC|[+-]\d\d?(:?\d\d)?)$"
@@ -21,12 +22,14 @@ def violation_list(text: Column) -> Column:
     The first character decides which parser can succeed. A parser that fails throws an exception
     per row inside the JVM, several times the cost of parsing.
     """
-    trimmed = F.ltrim(text)
     scalar = F.try_variant_get(F.try_parse_json(text), "$", "string")
     return (
         F.when(text.isNull(), F.array().cast("array<string>"))
-        .when(trimmed.startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array(text)))
-        .when(trimmed.rlike(_SCALAR_START), F.array(F.coalesce(scalar, text)))
+        .when(
+            text.rlike(_ARRAY_START),
+            F.coalesce(F.from_json(text, "array<string>"), F.array(text)),
+        )
+        .when(text.rlike(_SCALAR_START), F.array(F.coalesce(scalar, text)))
         .otherwise(F.array(text))
     )
 
@@ -36,7 +39,7 @@ def offence_list(text: Column) -> Column:
     none = F.array().cast("array<int>")
     number = text.try_cast("int")
     return F.when(
-        F.ltrim(text).startswith("["), F.coalesce(F.from_json(text, "array<int>"), none)
+        text.rlike(_ARRAY_START), F.coalesce(F.from_json(text, "array<int>"), none)
     ).otherwise(F.when(number.isNotNull(), F.array(number)).otherwise(none))
 
 

@@ -63,6 +63,11 @@ class Workspace:
         df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def exists(self) -> bool:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def close(self) -> None:
         """Delete the run's tables; frames built on them can no longer be read."""
         jvm = self.spark._jvm

@@ -21,6 +21,9 @@ def one(spark, expr, value, ddl):
         ("[]", []),
         (None, []),
         ("[1", ["[1"]),
+        ('\t ["A"] ', ["A"]),
+        ('{"a":1}', ['{"a":1}']),
+        ("null and void", ["null and void"]),
     ],
 )
 def test_violation_list(spark, text, expected):
