@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -592,11 +593,32 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["priority_top50"](spark, "/root/testdata/sf0.001")
 
 
+def _has(module: str) -> bool:
+    """Whether a module or a package (with its __init__) is there; errors within it are not hidden."""
+    spec = importlib.util.find_spec(module)
+    return spec is not None and spec.origin is not None
+
+
+_LLM: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_LLM_SQL: dict[str, str] = {}
+if _has("kerbsight.llm"):
+    from kerbsight import llm
+
+    _LLM |= llm.QUERIES
+    _LLM_SQL |= llm.ORACLES
+    if _has("corpus_pipeline"):
+        import corpus_pipeline
+
+        _LLM["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            _LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: (lambda spark, sf_dir, f=f: tidy(f(spark, sf_dir))) for name, f in _QUERIES.items()
-    }
+    } | _LLM
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | _LLM_SQL
