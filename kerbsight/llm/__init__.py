@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline, and their queries by name."""
 
+from kerbsight.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from kerbsight.llm.token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op10_token_files,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op8_exact_dedup, op10_token_files)}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}

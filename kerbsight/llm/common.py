@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbsight.session import Workspace
@@ -10,12 +13,21 @@ from kerbsight.session import Workspace
 HOT_SHARE = 1000
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, besides the places a
+    cluster's own configuration names."""
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def workspace(spark: SparkSession) -> Workspace:
     """Tables of one call, below ``spark.checkpoint.dir``."""
+    importable(spark)
     return Workspace(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,3 +57,21 @@ def lookup(left: DataFrame, right: DataFrame, on: str, n: str, total: int) -> Da
 
 def joined(values: Column) -> Column:
     return F.array_join(values, ",")
+
+
+def addressed(ws: Workspace, df: DataFrame) -> DataFrame:
+    """`df` with the address of every row in its Parquet files, `(_file, _at)`, so that rows can be
+    named though ids may be null or repeat. A frame that is not read from files is written first.
+    """
+    try:
+        return df.select("*", "_metadata.file_path", "_metadata.row_index").withColumnsRenamed(
+            {"file_path": "_file", "row_index": "_at"}
+        )
+    except AnalysisException:
+        return addressed(ws, ws.save("rows", df))
+
+
+def without(df: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of an addressed frame whose address isn't in `dropped`, as `columns`."""
+    kept = df.join(dropped.select("_file", "_at"), ["_file", "_at"], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
