@@ -4,8 +4,8 @@ The ids of all documents, in ascending id order, form one stream that is cut int
 `seq_len` ids. A file holds record batches of `batch_rows` sequences in two columns:
 
 - ``ids``   fixed_size_list<uint16 or uint32>[seq_len]
-- ``mask``  fixed_size_list<uint8>[seq_len], 1 for an id of a document, 0 for the padding that
-  fills the last sequence of a file
+- ``mask``  fixed_size_list<uint8>[seq_len / 8], one bit per id, lowest bit first: 1 for an id of
+  a document, 0 for the padding that fills the last sequence of a file
 
 Both are plain buffers of equal-length rows, so sequence k is at a computed place: batch
 k // batch_rows, row k % batch_rows, and is read without copying (`SequenceFile`). Every batch of a
@@ -23,10 +23,14 @@ written once each; an empty table gives an empty index. Other columns of the inp
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kerbsight.llm.common import rows_of, table, workspace
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 LONG_WORD = 64
+MARKS = ".,;:!?"
+SLICE = 256  # documents encoded together
+_PARTS = re.compile(r"(?s).{2000,}?\S(?= \S)|.+")
 
 
 class CachedEncoder:
@@ -45,8 +52,9 @@ class CachedEncoder:
     kept for the next time it occurs.
 
     The byte-level pre-tokenizer always cuts before a space, and on both sides of a line feed,
-    that stands between two characters that are not white space. Encoding the parts gives
-    the ids of the whole. A text with any other white space is cut at such places only.
+    that stands between two characters that are not white space; and between a letter or digit and a
+    full stop, comma and the like. Encoding the parts gives the ids of the whole. A text with
+    any other white space is cut at single spaces only.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -57,62 +65,78 @@ class CachedEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.line_feed = self.raw(["\n"])[0]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        # byte-level vocabularies write the space as U+0120 and the line feed as U+010A
+        self.opens[[i for x, i in vocabulary.items() if x[0] in "\u0120\u010a"]] = True
+        self.marks = dict(zip(MARKS, self.raw(list(MARKS)), strict=True))
+        self.known: dict[str, bytes] = {}
+        self.missed = 0
 
     def raw(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def words(self, words: set[str], known: dict[str, bytes], before: str) -> dict | None:
-        """Ids by word; None if one of them has white space at an end, so that it can't stand
-        alone. Only short words are kept, and the store starts anew when it is full."""
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-            return None
-        todo = list(words)
-        found = dict(zip(todo, self.raw([before + w for w in todo]), strict=True))
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        known.update((w, x) for w, x in found.items() if len(w) <= LONG_WORD)
-        return found
-
-    def line(self, text: str) -> bytes | None:
-        words = text.split(" ")
-        head = words.pop(0)
-        if (out := self.first.get(head)) is None:
-            if (new := self.words({head}, self.first, "")) is None:
-                return None
-            out = new[head]
-        found = list(map(self.later.get, words))
-        if None in found:
-            new = self.words({w for w, x in zip(words, found, strict=True) if x is None}, self.later, " ")
-            if new is None:
-                return None
-            found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return out + b"".join(found)
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return self.end
-        lines = list(map(self.line, text.split("\n")))
-        if None in lines:
-            return self.spaced(text) + self.end
-        return self.line_feed.join(lines) + self.end
+        return [array(kind, x.ids).tobytes() for x in found]
+
+    def apart(self, words: list[str]) -> dict[str, bytes]:
+        """Ids by word, from one call for all: each word's first token, and no other, begins with
+        the space or is the line feed before it."""
+        if not words:
+            return {}
+        text = "".join([x if x[0] == "\n" else " " + x for x in words])
+        (ids,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(ids.ids, self.dtype)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words):  # a vocabulary that joins words
+            return dict(zip(words, self.raw([x if x[0] == "\n" else " " + x for x in words]), strict=True))
+        data, at = ids.tobytes(), (starts * self.dtype.itemsize).tolist()
+        return dict(zip(words, [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
+
+    def learn(self, words: set[str]) -> dict[str, bytes | None]:
+        """Ids of words that aren't stored, None for those that can't stand alone. A word follows a
+        space, or begins with the line feed that it follows. What stands before a mark is looked up
+        and stored without it. A full store takes no more words: those it saw first include the
+        frequent ones. After many misses it starts anew."""
+        known, out, stems = self.known, {}, {}
+        for w in words:
+            if w[-1:] in self.marks and w[-2:-1].isalnum():
+                stems[w] = w[:-1]
+            else:
+                head = w[:2].strip("\n")
+                if not head or head[0].isspace() or w[-1].isspace():
+                    out[w] = None
+                else:
+                    stems[w] = w
+        new = self.apart([x for x in set(stems.values()) if x not in known])
+        for w, x in stems.items():
+            found = new.get(x) or known[x]
+            out[w] = found if w is x else found + self.marks[w[-1]]
+        if len(known) < CACHE_WORDS:
+            known.update((w, x) for w, x in new.items() if len(w) <= LONG_WORD)
+        else:
+            self.missed += len(new)
+            if self.missed > 20 * CACHE_WORDS:
+                self.missed, self.known = 0, new
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        missing = [list(compress(w, map(not_, x))) for w, x in zip(split, found, strict=True)]
+        new, cut, out = self.learn(set().union(*missing)), len(self.line_feed), []
+        odd = {w for w, x in new.items() if x is None}
+        for text, words, ids, some in zip(texts, split, found, missing, strict=True):
+            if odd and not odd.isdisjoint(some):
+                out.append(self.spaced(text) + self.end)
+                continue
+            if some:
+                ids = [x or new[w] for w, x in zip(words, ids, strict=True)]
+            out.append(b"".join(ids)[cut:] + self.end)
+        return out
 
     def spaced(self, text: str) -> bytes:
-        """A text with unusual white space: its parts, cut at single spaces between other
-        characters, are gathered until they are long enough to be worth a call."""
-        parts, at = [], 0
-        for i in range(1, len(text) - 1):
-            if (
-                text[i] == " "
-                and i - at >= 2000
-                and not text[i - 1].isspace()
-                and not text[i + 1].isspace()
-            ):
-                parts.append(text[at:i])
-                at = i
-        return b"".join(self.raw([*parts, text[at:]]))
+        """A text with unusual white space, cut at single spaces into parts worth a call each."""
+        return b"".join(self.raw(_PARTS.findall(text)))
 
 
 @lru_cache(2)
@@ -125,10 +149,12 @@ class SequenceWriter:
     """Cuts a stream of ids into sequences and writes them in batches of equal size."""
 
     def __init__(self, sink, dtype: np.dtype, seq_len: int, batch_rows: int):
+        if seq_len % 8:
+            raise ValueError("seq_len must be a multiple of 8")
         self.dtype, self.seq_len, self.full = dtype, seq_len, seq_len * batch_rows
         ids = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
         self.schema = pa.schema(
-            {"ids": pa.list_(ids, seq_len), "mask": pa.list_(pa.uint8(), seq_len)},
+            {"ids": pa.list_(ids, seq_len), "mask": pa.list_(pa.uint8(), seq_len // 8)},
             metadata={"seq_len": str(seq_len), "batch_rows": str(batch_rows)},
         )
         self.writer = pa.ipc.new_file(sink, self.schema)
@@ -142,10 +168,10 @@ class SequenceWriter:
             del self.waiting[:size]
 
     def batch(self, ids: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n] = 1
+        mask = np.packbits(np.arange(len(ids)) < n, bitorder="little")
         columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)
+            pa.FixedSizeListArray.from_arrays(pa.array(x), size)
+            for x, size in ((ids, self.seq_len), (mask, self.seq_len // 8))
         ]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -224,12 +250,12 @@ def write_token_files(
                 file = f"part-{no:06d}-{uuid.uuid4().hex}.arrow"
                 sink = fs.open_output_stream(f"{root}/{file}")
                 out = SequenceWriter(sink, encode.dtype, seq_len, batch_rows)
-            for text in batch.column("_text"):
-                found = encode(text.as_py())
-                out.add(found)
-                starts.append(at)
-                sizes.append(len(found) // encode.dtype.itemsize)
-                at += sizes[-1]
+            for i in range(0, len(batch), SLICE):
+                for found in encode(batch.column("_text").slice(i, SLICE).to_pylist()):
+                    out.add(found)
+                    starts.append(at)
+                    sizes.append(len(found) // encode.dtype.itemsize)
+                    at += sizes[-1]
             yield pa.record_batch(
                 [
                     pa.array([file] * len(ids), pa.string()),
