@@ -27,8 +27,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kerbsight.llm.common import rows_of, table
 
 N_BEST = 3
-STORE = 150_000
+STORE = 350_000
 LONG_PART = 64
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -82,33 +81,6 @@ class Lattice:
                     top, self.last[j] = best[edge[0]] + edge[1], edge
             best[j] = top
 
-    def viterbi(self) -> Found:
-        ids, at = [], self.size
-        while at:
-            at, _, x = self.last[at]
-            ids.append(x)
-        return self.best[self.size], b"".join(reversed(ids))
-
-    def gap(self) -> float:
-        """By how much the second-best path scores less than the best (infinite: there is one).
-        It is the least loss over all edges beside the best path, with exact scores of both sides."""
-        after = [-np.inf] * (self.size + 1)
-        after[self.size] = 0.0
-        for j in range(self.size, 0, -1):
-            for i, score, _ in self.ends[j]:
-                after[i] = max(after[i], after[j] + score)
-        on, at = set(), self.size
-        while at:
-            on.add((self.last[at][0], at))
-            at = self.last[at][0]
-        losses = (
-            self.best[self.size] - (self.best[i] + score + after[j])
-            for j in range(1, self.size + 1)
-            for i, score, _ in self.ends[j]
-            if (i, j) not in on
-        )
-        return min(losses, default=np.inf)
-
     def n_best(self, n: int) -> list[Found]:
         """Backward A* search. A queue entry is (minus the score of the best whole path that ends
         in this suffix, tie-break, position, score of the suffix, linked ids of the suffix)."""
@@ -136,14 +108,8 @@ class Lattice:
         return out
 
 
-@dataclass
-class Part:
-    """What is stored of a part of a text; its N-best only once they have been asked for."""
-
-    score: float
-    ids: bytes
-    gap: float
-    n_best: list[Found] | None = None
+#: Best score, its ids, and by how much the second-best scores less (infinite: there is none)
+Part = tuple[float, bytes, float]
 
 
 class Pieces:
@@ -165,15 +131,25 @@ class Pieces:
                 self.text.append(b"")
             else:
                 self.known[piece] = (m.get_score(i), data)
-                self.text.append(piece.encode())
+                self.text.append(piece.replace(SPACE, " ").encode())
+        self.sizes = np.array([len(x) for x in self.text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.text), np.uint8)
         self.unknown_id = np.int32(m.unk_id()).tobytes()
         self.lowest = min((x[0] for x in self.known.values()), default=0.0) - 10.0
         self.longest = max(map(len, self.known), default=1)
         self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
         # a word can stand alone if no piece goes on with a space after another character
         self.words_apart = not any(p[1] == SPACE != p[0] for p in self.pairs)
-        self.chunks: dict[str, Part] = {}
+        # every beginning of a piece; None if it isn't one itself
+        self.tree: dict[str, tuple[float, bytes] | None] = {}
+        for piece in self.known:
+            for i in range(1, len(piece)):
+                self.tree.setdefault(piece[:i], None)
+        self.tree |= self.known
         self.parts: dict[str, Part] = {}
+        self.lists: dict[tuple[str, int], list[Found]] = {}
+        self.missed = 0
 
     def unknown(self, char: str) -> tuple[float, bytes]:
         if not self.bytes:
@@ -185,40 +161,89 @@ class Pieces:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
-    def stored(self, text: str, store: dict[str, Part], solve: Callable[[str], Part]) -> Part:
-        found = store.get(text)
-        if found is None:
-            found = solve(text)
-            if len(text) <= LONG_PART:
-                if len(store) >= STORE:
-                    store.clear()
-                store[text] = found
-        return found
-
-    def solve_part(self, text: str) -> Part:
-        lattice = Lattice(self, text)
-        return Part(*lattice.viterbi(), lattice.gap())
-
-    def solve_chunk(self, text: str) -> Part:
-        parts = [self.stored(x, self.parts, self.solve_part) for x in self.split(text)]
-        return Part(
-            sum(x.score for x in parts),
-            b"".join(x.ids for x in parts),
-            min((x.gap for x in parts), default=np.inf),
-        )
+    def solve(self, text: str) -> Part:
+        """Of a part: forward Viterbi, and backward scores for the gap. The second-best path leaves
+        the best somewhere, so it is the least loss over all edges beside the best path, each
+        with exact scores of both sides."""
+        n, tree, edges = len(text), self.tree, []
+        best, back, ids = [-np.inf] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            if not (found := tree.get(text[i], 0)):
+                score, data = self.unknown(text[i])
+                edges.append((i, i + 1, score))
+                if here + score > best[i + 1]:
+                    best[i + 1], back[i + 1], ids[i + 1] = here + score, i, data
+            j = i + 1
+            while found != 0:  # zero: no piece begins like this
+                if found:
+                    score, data = found
+                    edges.append((i, j, score))
+                    if here + score > best[j]:
+                        best[j], back[j], ids[j] = here + score, i, data
+                j += 1
+                if j > n:
+                    break
+                found = tree.get(text[i:j], 0)
+        path, on, at = [], set(), n
+        while at:
+            path.append(ids[at])
+            on.add((back[at], at))
+            at = back[at]
+        after, top, gap = [-np.inf] * (n + 1), best[n], np.inf
+        after[n] = 0.0
+        for i, j, score in reversed(edges):
+            total = score + after[j]
+            if total > after[i]:
+                after[i] = total
+            if top - best[i] - total < gap and (i, j) not in on:
+                gap = top - best[i] - total
+        return top, b"".join(reversed(path)), gap
 
     def chunk(self, text: str) -> Part:
-        return self.stored(text, self.chunks, self.solve_chunk)
+        """The answer for a run of text that isn't stored, from those of its parts."""
+        last = text[-1]
+        if text[-2:] not in self.pairs and (stem := self.parts.get(text[:-1])):
+            mark = self.parts.get(last) or self.put(last, self.solve(last))
+            return stem[0] + mark[0], stem[1] + mark[1], min(stem[2], mark[2])
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.put(text, self.solve(text))
+        found = [self.parts.get(x) or self.put(x, self.solve(x)) for x in parts]
+        if len(parts[-1]) == 1:  # so that the same run is known before other marks
+            self.put(text[:-1], self.joined(found[:-1]))
+            return self.joined(found)
+        return self.put(text, self.joined(found))
+
+    @staticmethod
+    def joined(found: list[Part]) -> Part:
+        scores, ids, gaps = zip(*found, strict=True)
+        return sum(scores), b"".join(ids), min(gaps)
+
+    def put(self, text: str, part: Part) -> Part:
+        """A full store takes no more: what it saw first includes what is frequent. After many
+        misses it starts anew."""
+        if len(self.parts) < STORE:
+            if len(text) <= LONG_PART:
+                self.parts[text] = part
+        else:
+            self.missed += 1
+            if self.missed > 20 * STORE:
+                self.missed = 0
+                self.parts.clear()
+        return part
 
     def n_best_of(self, text: str, n: int) -> list[Found]:
-        found = self.chunk(text)
-        if found.n_best is None or len(found.n_best) < n:
+        if (found := self.lists.get((text, n))) is None:
             lists = [Lattice(self, x).n_best(n) for x in self.split(text)]
-            found.n_best = [
+            found = [
                 (s, b"".join(part[i][1] for part, i in zip(lists, choice, strict=True)))
                 for s, choice in combined(lists, n)
             ]
-        return found.n_best
+            if len(text) <= LONG_PART and len(self.lists) < STORE // 10:
+                self.lists[text, n] = found
+        return found
 
     def n_best(self, text: str, n: int) -> list[Found]:
         """The n best segmentations of a raw text, best first."""
@@ -228,39 +253,52 @@ class Pieces:
         if not self.words_apart:
             chunks = [norm]
         elif norm[0] == SPACE and SPACE * 2 not in norm:
-            chunks = [SPACE + w for w in norm[1:].split(SPACE)]
+            chunks = norm[1:].split(SPACE)
+            chunks = list(map(SPACE.__add__, chunks))
         else:
             chunks = _RUNS.findall(norm)
-        parts = list(map(self.chunks.get, chunks))
-        if None in parts:
-            parts = [self.chunk(c) if x is None else x for c, x in zip(chunks, parts, strict=True)]
-        score, ids = sum(x.score for x in parts), [x.ids for x in parts]
+        parts = [
+            self.chunk(c) if x is None else x
+            for c, x in zip(chunks, map(self.parts.get, chunks), strict=True)
+        ]
+        scores, ids, gaps = zip(*parts, strict=True)
+        score = float(sum(scores))
+        out = [(score, b"".join(ids))]
+        if n == 1:
+            return out
         # each of the others changes some parts; n - 1 of those with the least gap suffice
-        gaps = np.fromiter((x.gap for x in parts), float, len(parts))
+        gaps = np.array(gaps)
         if n - 1 < len(gaps):
-            limit = np.partition(gaps, n - 2)[n - 2] if n > 1 else -np.inf
+            limit = np.partition(gaps, n - 2)[n - 2]
             changed = np.flatnonzero(gaps < limit)
-            ties = np.flatnonzero(gaps == limit)[: max(0, n - 1 - len(changed))]
-            changed = np.sort(np.concatenate([changed, ties]))
+            ties = np.flatnonzero(gaps == limit)[: n - 1 - len(changed)]
+            changed = np.sort(np.concatenate([changed, ties])).tolist()
         else:
-            changed = np.arange(len(gaps))
-        changed = [int(i) for i in changed if np.isfinite(gaps[i])]
+            changed = range(len(gaps))
+        changed = [i for i in changed if np.isfinite(gaps[i])]
         lists = [self.n_best_of(chunks[i], n) for i in changed]
-        out = [(float(score), b"".join(ids))]
         rest = score - sum(x[0][0] for x in lists)
         for total, choice in combined(lists, n):
             if any(choice):
-                other = ids.copy()
+                other = list(ids)
                 for i, found, k in zip(changed, lists, choice, strict=True):
                     if k:
                         other[i] = found[k][1]
                 out.append((float(rest + total), b"".join(other)))
         return out[:n]
 
-    def decode(self, ids: np.ndarray) -> str:
-        found = b"".join([self.text[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        found = found.replace(SPACE, " ")
-        return found[1:] if found.startswith(" ") else found
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of consecutive runs of ids that end at `ends`: bytes of all pieces are gathered
+        at once from the vocabulary's."""
+        sizes = self.sizes[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(stops[-1]) + np.repeat(self.starts[ids] - stops[:-1], sizes)
+        data, out, at = self.letters[place].tobytes(), [], 0
+        for end in stops[ends].tolist():
+            skip = data[at : at + 1] == b" " and end > at
+            out.append(data[at + skip : end].decode("utf-8", "replace"))
+            at = end
+        return out
 
 
 @lru_cache(2)
@@ -280,32 +318,30 @@ def int_lists(arrays: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
-def encode(
-    docs: DataFrame, model: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document and segmentation: `(_id, _text, rank, score, ids)`, rank 1 the best."""
-    rows = rows_of(docs, id_col, text_col)
+def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text") -> DataFrame:
+    """The other columns of `rows` and one row per segmentation: `rank` (1 is the best), `score`
+    and `ids`."""
+    keep = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for batch in batches:
             for part in slices(batch):
-                found = [vocabulary.n_best(x.as_py(), n) for x in part.column("_text")]
+                found = [vocabulary.n_best(x or "", n) for x in part.column(text_col).to_pylist()]
                 place = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("_id").take(place),
-                        part.column("_text").take(place),
+                        *(part.column(c).take(place) for c in keep),
                         pa.array([k + 1 for x in found for k in range(len(x))], pa.int32()),
                         pa.array([s for x in found for s, _ in x], pa.float64()),
                         int_lists([ids for x in found for _, ids in x]),
                     ],
-                    ["_id", "_text", "rank", "score", "ids"],
+                    [*keep, "rank", "score", "ids"],
                 )
 
-    kind = dict(rows.dtypes)["_id"]
-    schema = f"_id {kind}, _text string, rank int, score double, ids array<int>"
-    return rows.mapInArrow(run, schema)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "rank int, score double, ids array<int>"])
+    return rows.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
@@ -315,10 +351,10 @@ def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
         vocabulary = pieces(model)
         for batch in batches:
             for part in slices(batch):
-                texts = [
-                    vocabulary.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None
-                    for x in part.column(ids_col)
-                ]
+                lists = part.column(ids_col)
+                ends = np.cumsum(np.array([len(x) if x.is_valid else 0 for x in lists], np.int64))
+                found = vocabulary.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
+                texts = [t if x.is_valid else None for t, x in zip(found, lists, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col]
                 )
@@ -328,24 +364,22 @@ def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
-    """Per document the size, score and checksum of each segmentation, best first, and whether all
-    of them decode to the text."""
+    """Per document and segmentation its rank, score, size and checksum, and whether decoding it
+    gives back the text (a checksum of the text travels along instead of the text)."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode(docs, model)
-    decoded = decode(encoded, model, "ids", "decoded")
-    same = F.col("decoded") == F.regexp_replace("_text", SPACE, " ")
-    # the segmentations of a document leave one task side by side; a row id ties them together
-    found = decoded.select(
+    rows = rows_of(docs, "doc_id", "text")
+    rows = rows.withColumn("_sum", F.xxhash64(F.regexp_replace("_text", SPACE, " ")))
+    decoded = decode(encode(rows, model), model, "ids", "_decoded")
+    return decoded.select(
         F.col("_id").alias("doc_id"),
         "rank",
         F.col("score").cast("bigint").alias("score"),
         F.size("ids").cast("bigint").alias("n_pieces"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        same.alias("decodes"),
+        F.lower(F.lpad(F.hex(F.xxhash64("ids")), 16, "0")).alias("ids_xxh64"),
+        (F.xxhash64("_decoded") == F.col("_sum")).alias("decodes"),
     )
-    return found
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
