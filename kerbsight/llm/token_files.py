@@ -26,30 +26,26 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kerbsight.llm.common import rows_of, table, workspace
+from kerbsight.llm.words import Store, coded, Gathered, slices
 
-CACHE_WORDS = 400_000
-LONG_WORD = 64
+CACHE_WORDS = 600_000
 MARKS = ".,;:!?"
-SLICE = 256  # documents encoded together
 _PARTS = re.compile(r"(?s).{2000,}?\S(?= \S)|.+")
 
 
 class CachedEncoder:
-    """Ids of whole texts from the tokenizers library, with the library's answer for every word
-    kept for the next time it occurs.
+    """Ids of whole texts from the tokenizers library, which is asked once per distinct word.
 
     The byte-level pre-tokenizer always cuts before a space, and on both sides of a line feed,
     that stands between two characters that are not white space; and between a letter or digit and a
@@ -62,77 +58,74 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.line_feed = self.raw(["\n"])[0]
         vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        top = max([end_id, *vocabulary.values()])
+        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         # byte-level vocabularies write the space as U+0120 and the line feed as U+010A
+        self.opens = np.zeros(top + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x[0] in "\u0120\u010a"]] = True
+        self.end_id = end_id
         self.marks = dict(zip(MARKS, self.raw(list(MARKS)), strict=True))
-        self.known: dict[str, bytes] = {}
-        self.missed = 0
+        self.known = Store(CACHE_WORDS)
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(kind, x.ids).tobytes() for x in found]
+        return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def apart(self, words: list[str]) -> dict[str, bytes]:
-        """Ids by word, from one call for all: each word's first token, and no other, begins with
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words, from one call for all: each word's first token, and no other, begins with
         the space or is the line feed before it."""
         if not words:
-            return {}
-        text = "".join([x if x[0] == "\n" else " " + x for x in words])
-        (ids,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        ids = np.array(ids.ids, self.dtype)
+            return []
+        texts = [x if x[0] == "\n" else " " + x for x in words]
+        (found,) = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)
+        ids = np.array(found.ids, self.dtype)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):  # a vocabulary that joins words
-            return dict(zip(words, self.raw([x if x[0] == "\n" else " " + x for x in words]), strict=True))
+            return self.raw(texts)
         data, at = ids.tobytes(), (starts * self.dtype.itemsize).tolist()
-        return dict(zip(words, [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
-
-    def learn(self, words: set[str]) -> dict[str, bytes | None]:
-        """Ids of words that aren't stored, None for those that can't stand alone. A word follows a
-        space, or begins with the line feed that it follows. What stands before a mark is looked up
-        and stored without it. A full store takes no more words: those it saw first include the
-        frequent ones. After many misses it starts anew."""
-        known, out, stems = self.known, {}, {}
-        for w in words:
-            if w[-1:] in self.marks and w[-2:-1].isalnum():
-                stems[w] = w[:-1]
-            else:
-                head = w[:2].strip("\n")
-                if not head or head[0].isspace() or w[-1].isspace():
-                    out[w] = None
-                else:
-                    stems[w] = w
-        new = self.apart([x for x in set(stems.values()) if x not in known])
-        for w, x in stems.items():
-            found = new.get(x) or known[x]
-            out[w] = found if w is x else found + self.marks[w[-1]]
-        if len(known) < CACHE_WORDS:
-            known.update((w, x) for w, x in new.items() if len(w) <= LONG_WORD)
-        else:
-            self.missed += len(new)
-            if self.missed > 20 * CACHE_WORDS:
-                self.missed, self.known = 0, new
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        missing = [list(compress(w, map(not_, x))) for w, x in zip(split, found, strict=True)]
-        new, cut, out = self.learn(set().union(*missing)), len(self.line_feed), []
-        odd = {w for w, x in new.items() if x is None}
-        for text, words, ids, some in zip(texts, split, found, missing, strict=True):
-            if odd and not odd.isdisjoint(some):
-                out.append(self.spaced(text) + self.end)
-                continue
-            if some:
-                ids = [x or new[w] for w, x in zip(words, ids, strict=True)]
-            out.append(b"".join(ids)[cut:] + self.end)
-        return out
+        return [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)]
+
+    def learn(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words that aren't stored: of what stands before a mark, and of the mark. None for
+        a word that can't be encoded apart from its neighbours."""
+        stems = [
+            (w[:-1] if w[-1] in self.marks and w[-2:-1].isalnum() else w) if self.alone(w) else None
+            for w in words
+        ]
+        found = dict(zip(stems, map(self.known.get, stems), strict=True))
+        new = [x for x, ids in found.items() if ids is None and x is not None]
+        found.update(zip(new, self.apart(new), strict=True))
+        self.known.keep({x: found[x] for x in new})
+        return [
+            found[x] if x is None or len(w) == len(x) else found[x] + self.marks[w[-1]]
+            for w, x in zip(words, stems, strict=True)
+        ]
+
+    @staticmethod
+    def alone(word: str) -> bool:
+        """Whether a word can be encoded apart from its neighbours: white space stands at none of
+        its ends. A word follows a space, or begins with the line feed that it follows."""
+        head = word[1:2] if word[:1] == "\n" else word[:1]
+        return bool(head) and not head.isspace() and not word[-1].isspace()
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of ids of each."""
+        marked = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
+        words = coded(pc.split_pattern(marked, " "))
+        # the first word of each text is empty; empty words elsewhere are spaces side by side
+        ids = self.known.all(words.words, self.learn)
+        fit = np.array([x is not None for x in ids])
+        found = Gathered([x or b"" for x in ids], self.dtype, words.codes)
+        unfit = np.concatenate([[0], np.cumsum(~fit[words.codes])])[words.offsets]
+        odd = np.flatnonzero(np.diff(unfit) > 1).tolist()
+        starts, ends = found.ends[words.offsets[:-1]], found.ends[words.offsets[1:]]
+        out = [found.values[i + 1 : j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for i in odd:
+            out[i] = np.frombuffer(self.spaced(texts[i].as_py()), self.dtype)
+        end = np.array([self.end_id], self.dtype)
+        sizes = np.fromiter(map(len, out), np.int64, len(out)) + 1
+        return np.concatenate([x for y in out for x in (y, end)]), sizes
 
     def spaced(self, text: str) -> bytes:
         """A text with unusual white space, cut at single spaces into parts worth a call each."""
@@ -160,8 +153,8 @@ class SequenceWriter:
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting = bytearray()
 
-    def add(self, ids: bytes) -> None:
-        self.waiting += ids
+    def add(self, ids: np.ndarray) -> None:
+        self.waiting += ids.tobytes()
         size = self.full * self.dtype.itemsize
         while len(self.waiting) >= size:
             self.batch(np.frombuffer(bytes(self.waiting[:size]), self.dtype), self.full)
@@ -250,12 +243,13 @@ def write_token_files(
                 file = f"part-{no:06d}-{uuid.uuid4().hex}.arrow"
                 sink = fs.open_output_stream(f"{root}/{file}")
                 out = SequenceWriter(sink, encode.dtype, seq_len, batch_rows)
-            for i in range(0, len(batch), SLICE):
-                for found in encode(batch.column("_text").slice(i, SLICE).to_pylist()):
-                    out.add(found)
-                    starts.append(at)
-                    sizes.append(len(found) // encode.dtype.itemsize)
-                    at += sizes[-1]
+            for part in slices(batch, "_text"):
+                found, n = encode(part.column("_text"))
+                out.add(found)
+                starts.append(at + np.cumsum(n) - n)
+                sizes.append(n)
+                at += len(found)
+            starts, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, sizes))
             yield pa.record_batch(
                 [
                     pa.array([file] * len(ids), pa.string()),
