@@ -32,16 +32,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbsight.llm.common import rows_of, table
+from kerbsight.llm.words import Coded, Gathered, Store, coded, slices
 
 N_BEST = 3
-STORE = 350_000
+STORE = 300_000
 LONG_PART = 64
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_ROWS = 256  # rows of one outgoing batch
+_ROWS = 1024  # rows decoded together
 
 #: score, ids as int32 bytes
 Found = tuple[float, bytes]
@@ -147,9 +149,9 @@ class Pieces:
             for i in range(1, len(piece)):
                 self.tree.setdefault(piece[:i], None)
         self.tree |= self.known
-        self.parts: dict[str, Part] = {}
-        self.lists: dict[tuple[str, int], list[Found]] = {}
-        self.missed = 0
+        self.stored: Store = Store(STORE, LONG_PART)  # by run of text
+        self.parts: Store = Store(STORE, LONG_PART)
+        self.lists: Store = Store(STORE // 10, LONG_PART)
 
     def unknown(self, char: str) -> tuple[float, bytes]:
         if not self.bytes:
@@ -201,38 +203,21 @@ class Pieces:
                 gap = top - best[i] - total
         return top, b"".join(reversed(path)), gap
 
-    def chunk(self, text: str) -> Part:
-        """The answer for a run of text that isn't stored, from those of its parts."""
-        last = text[-1]
-        if text[-2:] not in self.pairs and (stem := self.parts.get(text[:-1])):
-            mark = self.parts.get(last) or self.put(last, self.solve(last))
-            return stem[0] + mark[0], stem[1] + mark[1], min(stem[2], mark[2])
-        parts = self.split(text)
-        if len(parts) == 1:
-            return self.put(text, self.solve(text))
-        found = [self.parts.get(x) or self.put(x, self.solve(x)) for x in parts]
-        if len(parts[-1]) == 1:  # so that the same run is known before other marks
-            self.put(text[:-1], self.joined(found[:-1]))
-            return self.joined(found)
-        return self.put(text, self.joined(found))
-
-    @staticmethod
-    def joined(found: list[Part]) -> Part:
-        scores, ids, gaps = zip(*found, strict=True)
-        return sum(scores), b"".join(ids), min(gaps)
-
-    def put(self, text: str, part: Part) -> Part:
-        """A full store takes no more: what it saw first includes what is frequent. After many
-        misses it starts anew."""
-        if len(self.parts) < STORE:
-            if len(text) <= LONG_PART:
-                self.parts[text] = part
-        else:
-            self.missed += 1
-            if self.missed > 20 * STORE:
-                self.missed = 0
-                self.parts.clear()
-        return part
+    def solve_all(self, chunks: list[str]) -> list[Part]:
+        """The answers for runs of text that aren't stored, from those of their parts."""
+        split = [[c] if len(c) == 1 else self.split(c) for c in chunks]
+        new = {x for parts in split for x in parts} - self.parts.keys()
+        new = {x: self.solve(x) for x in new}
+        self.parts.keep(new)
+        known, out = self.parts.get, []
+        for parts in split:
+            found = [known(x) or new[x] for x in parts]
+            if len(found) > 1:
+                scores, ids, gaps = zip(*found, strict=True)
+                out.append((sum(scores), b"".join(ids), min(gaps)))
+            else:
+                out.append(found[0])
+        return out
 
     def n_best_of(self, text: str, n: int) -> list[Found]:
         if (found := self.lists.get((text, n))) is None:
@@ -241,51 +226,64 @@ class Pieces:
                 (s, b"".join(part[i][1] for part, i in zip(lists, choice, strict=True)))
                 for s, choice in combined(lists, n)
             ]
-            if len(text) <= LONG_PART and len(self.lists) < STORE // 10:
-                self.lists[text, n] = found
+            self.lists.keep({(text, n): found} if len(text) <= LONG_PART else {})
         return found
 
-    def n_best(self, text: str, n: int) -> list[Found]:
-        """The n best segmentations of a raw text, best first."""
-        norm = self.model.normalize(text) if text else ""
-        if not norm:
-            return [(0.0, b"")]
+    def chunks(self, texts: list[str]) -> Coded:
+        """The normalised texts, cut before the words where no piece goes on over a space."""
+        norms = [self.model.normalize(t) if t else "" for t in texts]
         if not self.words_apart:
-            chunks = [norm]
-        elif norm[0] == SPACE and SPACE * 2 not in norm:
-            chunks = norm[1:].split(SPACE)
-            chunks = list(map(SPACE.__add__, chunks))
-        else:
-            chunks = _RUNS.findall(norm)
-        parts = [
-            self.chunk(c) if x is None else x
-            for c, x in zip(chunks, map(self.parts.get, chunks), strict=True)
-        ]
-        scores, ids, gaps = zip(*parts, strict=True)
-        score = float(sum(scores))
-        out = [(score, b"".join(ids))]
-        if n == 1:
-            return out
-        # each of the others changes some parts; n - 1 of those with the least gap suffice
-        gaps = np.array(gaps)
-        if n - 1 < len(gaps):
-            limit = np.partition(gaps, n - 2)[n - 2]
-            changed = np.flatnonzero(gaps < limit)
-            ties = np.flatnonzero(gaps == limit)[: n - 1 - len(changed)]
-            changed = np.sort(np.concatenate([changed, ties])).tolist()
+            return coded(pa.array([[x] if x else [] for x in norms], pa.list_(pa.string())))
+        if all(not x or (x[0] == SPACE and SPACE * 2 not in x) for x in norms):
+            # each but the empty ones begins with a space: what is before it is dropped
+            lists = pc.split_pattern(pa.array([x[1:] if x else None for x in norms], pa.string()), SPACE)
+            found = coded(pc.fill_null(lists, pa.scalar([], pa.list_(pa.string()))))
+            return Coded([SPACE + w for w in found.words], found.codes, found.offsets)
+        return coded(pa.array([_RUNS.findall(x) for x in norms], pa.list_(pa.string())))
+
+    def n_best(self, texts: list[str], n: int) -> list[list[tuple[float, np.ndarray]]]:
+        """The n best segmentations of each raw text, best first: (score, ids)."""
+        found = self.chunks(texts)
+        parts = self.stored.all(found.words, self.solve_all)
+        scores, arrays, gaps = zip(*parts, strict=True) if parts else ((), (), ())
+        best = Gathered(list(arrays), np.dtype(np.int32), found.codes)
+        sums = np.concatenate([[0.0], np.cumsum(np.array(scores, float)[found.codes])])
+        gaps = np.array(gaps, float)[found.codes]
+        exact = np.abs(sums).max() < 2**53 and all(s == int(s) for s in scores)
+        out = []
+        for a, z in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
+            score = sums[z] - sums[a] if exact else sum(scores[c] for c in found.codes[a:z].tolist())
+            ids = best.values[best.ends[a] : best.ends[z]]
+            out.append([(float(score), ids)])
+            changed = self.least(gaps[a:z], n - 1)
+            lists = [self.n_best_of(found.words[found.codes[a + i]], n) for i in changed]
+            rest = score - sum(x[0][0] for x in lists)
+            for total, choice in combined(lists, n)[: n if changed else 0]:
+                if any(choice):
+                    pieces, at = [], best.ends[a]
+                    for i, others, k in zip(changed, lists, choice, strict=True):
+                        if k:
+                            pieces += [best.values[at : best.ends[a + i]], np.frombuffer(others[k][1], np.int32)]
+                            at = best.ends[a + i + 1]
+                    pieces.append(best.values[at : best.ends[z]])
+                    out[-1].append((float(rest + total), np.concatenate(pieces)))
+            del out[-1][n:]
+        return out
+
+    @staticmethod
+    def least(gaps: np.ndarray, n: int) -> list[int]:
+        """Where the n least finite gaps are, the first of equal ones. Each segmentation but the best
+        changes some parts, and the n best others change none but these."""
+        if n < 1:
+            return []
+        if n < len(gaps):
+            limit = np.partition(gaps, n - 1)[n - 1]
+            below = np.flatnonzero(gaps < limit)
+            ties = np.flatnonzero(gaps == limit)[: n - len(below)]
+            places = np.sort(np.concatenate([below, ties]))
         else:
-            changed = range(len(gaps))
-        changed = [i for i in changed if np.isfinite(gaps[i])]
-        lists = [self.n_best_of(chunks[i], n) for i in changed]
-        rest = score - sum(x[0][0] for x in lists)
-        for total, choice in combined(lists, n):
-            if any(choice):
-                other = list(ids)
-                for i, found, k in zip(changed, lists, choice, strict=True):
-                    if k:
-                        other[i] = found[k][1]
-                out.append((float(rest + total), b"".join(other)))
-        return out[:n]
+            places = np.arange(len(gaps))
+        return places[np.isfinite(gaps[places])].tolist()
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of consecutive runs of ids that end at `ends`: bytes of all pieces are gathered
@@ -307,15 +305,11 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(batch), _ROWS):
-        yield batch.slice(i, _ROWS)
-
-
-def int_lists(arrays: list[bytes]) -> pa.Array:
-    sizes = [len(x) // 4 for x in arrays]
-    values = pa.array(np.frombuffer(b"".join(arrays), np.int32))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+def int_lists(arrays: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate([np.zeros(0, np.int32), *arrays])
+    return pa.ListArray.from_arrays(
+        pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values, pa.int32())
+    )
 
 
 def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text") -> DataFrame:
@@ -326,8 +320,8 @@ def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for batch in batches:
-            for part in slices(batch):
-                found = [vocabulary.n_best(x or "", n) for x in part.column(text_col).to_pylist()]
+            for part in slices(batch, text_col):
+                found = vocabulary.n_best([x or "" for x in part.column(text_col).to_pylist()], n)
                 place = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -350,7 +344,7 @@ def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for batch in batches:
-            for part in slices(batch):
+            for part in (batch.slice(i, _ROWS) for i in range(0, len(batch), _ROWS)):
                 lists = part.column(ids_col)
                 ends = np.cumsum(np.array([len(x) if x.is_valid else 0 for x in lists], np.int64))
                 found = vocabulary.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
