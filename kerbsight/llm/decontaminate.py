@@ -36,10 +36,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbsight.llm.common import addressed, rows_of, table, without, workspace
+from kerbsight.llm.words import Gathered, Store, coded, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,22 +54,20 @@ _BLOOM = 1 << 20
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; a full store takes no more."""
+_HASHES = Store(STORE)
 
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) < STORE:
-            self[word] = found
-        return found
 
+def hashes_of(words: list[str]) -> list[bytes]:
+    """The 64-bit hashes of the words in each run of characters without white space."""
+    found = ([xxhash.xxh64_intdigest(w) for w in _WORDS.findall(x.lower())] for x in words)
+    return [np.array(x, np.uint64).tobytes() for x in found]
 
-_HASHES = WordHashes()
 
-
-def word_hashes(text: str) -> np.ndarray:
-    words = _WORDS.findall(text.lower())
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and where each text's end."""
+    words = coded(pc.ascii_split_whitespace(pa.array(texts, pa.string())))
+    found = Gathered(_HASHES.all(words.words, hashes_of), np.dtype(np.uint64), words.codes)
+    return found.values, found.ends[words.offsets[1:]]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -87,10 +87,6 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def popcounts(a: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a)
-
-
 @dataclass
 class Item:
     item_id: object
@@ -120,7 +116,7 @@ class Benchmark:
         self.items: list[Item] = []
         self.holders: dict[int, list[int]] = {}
         for item_id, text in items:
-            words = word_hashes(text or "")
+            words, _ = word_hashes([text or ""])
             h = shingle_hashes(words)
             if not len(h):
                 continue
@@ -129,9 +125,11 @@ class Benchmark:
             item = Item(item_id, len(words), weights, sum(weights.values()))
             sums = bits(h) * np.array([common[s] for s in h.tolist()])[:, None]
             item.fingerprint = int(fingerprints(sums.sum(0)[None])[0])
-            for s in counts:
-                self.holders.setdefault(s, []).append(len(self.items))
+            if len(words) >= SHINGLE:
+                for s in counts:
+                    self.holders.setdefault(s, []).append(len(self.items))
             self.items.append(item)
+        self.any_short = any(x.n_words < SHINGLE for x in self.items)
         self.shingles = np.sort(np.array(list(self.holders), np.uint64))
         self.bloom = np.zeros(_BLOOM, bool)
         self.bloom[(self.shingles & np.uint64(_BLOOM - 1)).astype(np.int64)] = True
@@ -173,7 +171,7 @@ class Benchmark:
             item = numbers[np.repeat(starts[value], size) + inside]
             found.append(np.stack([window, item], axis=1)[np.isin(item, wanted)])
         pairs = np.unique(np.concatenate(found), axis=0)
-        far = popcounts(fps[pairs[:, 0]] ^ self.prints[pairs[:, 1]])
+        far = np.bitwise_count(fps[pairs[:, 0]] ^ self.prints[pairs[:, 1]])
         for (window, item), d in zip(pairs[far <= RADIUS].tolist(), far[far <= RADIUS].tolist(), strict=True):
             yield window, item, d
 
@@ -186,14 +184,26 @@ class Benchmark:
             total += here
         return both / (total + item.total - both)
 
-    def matches(self, text: str) -> list[tuple[object, int, int, int, float]]:
+    def scan(self, texts: list[str] | pa.StringArray) -> Iterator[tuple[int, tuple]]:
+        """(number of the text, match) for all contaminated windows of some texts."""
+        words, ends = word_hashes(texts)
+        h = shingle_hashes(words) if len(words) >= SHINGLE else words[:0]
+        hits = self.hits(h)
+        of = np.searchsorted(ends, hits, "right")
+        inside = hits + SHINGLE <= ends[of] if len(hits) else hits.astype(bool)
+        hits, of = hits[inside], of[inside]
+        some = range(len(ends)) if self.any_short else np.unique(of).tolist()
+        for i in some:
+            a, z = int(ends[i - 1]) if i else 0, int(ends[i])
+            own = hits[np.searchsorted(of, i) : np.searchsorted(of, i, "right")] - a
+            for match in self.matches(words[a:z], h[a : max(a, z - SHINGLE + 1)], own):
+                yield i, match
+
+    def matches(
+        self, words: np.ndarray, h: np.ndarray, hits: np.ndarray
+    ) -> list[tuple[object, int, int, int, float]]:
         """(item id, first word, end word, distance, similarity) of a document's contaminated
         windows."""
-        words = word_hashes(text)
-        h = shingle_hashes(words)
-        hits = self.hits(h)
-        if not len(hits):
-            return self.short(words)
         # windows that hold a hit of an item, by number of words
         wanted: dict[int, dict[int, set[int]]] = {}
         for p in hits.tolist():
@@ -275,7 +285,7 @@ def shingle_weights(benchmark: DataFrame, item_id: str, text: str) -> tuple[dict
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                found = np.unique(shingle_hashes(word_hashes(x or "")))
+                found = np.unique(shingle_hashes(word_hashes([x or ""])[0]))
                 yield pa.record_batch([pa.array(found.view(np.int64))], ["shingle"])
 
     found = benchmark.select(F.col(text).cast("string")).mapInArrow(run, "shingle bigint")
@@ -308,7 +318,7 @@ def find_matches(
     found = []
     for offset in range(0, n, items):
         block = [(x.item_id, x.t) for x in numbered.offset(offset).limit(items).collect()]
-        own = {s for _, t in block for s in shingle_hashes(word_hashes(t)).tolist()}
+        own = {s for _, t in block for s in shingle_hashes(word_hashes([t])[0]).tolist()}
         # at most the shingles of one block
         seen = spark.createDataFrame(
             [(np.uint64(s).astype(np.int64).item(),) for s in own] or [], "shingle bigint"
@@ -330,11 +340,12 @@ def _one_block(docs: DataFrame, index, keep: list[str], text_col: str, item_type
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = index.value
         for batch in batches:
-            place, rows = [], []
-            for i, text in enumerate(batch.column(text_col)):
-                for match in benchmark.matches(text.as_py() or ""):
-                    place.append(i)
+            place, rows, at = [], [], 0
+            for part in slices(batch, text_col):
+                for i, match in benchmark.scan(pc.fill_null(part.column(text_col), "")):
+                    place.append(at + i)
                     rows.append(match)
+                at += len(part)
             columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
             kinds = (None, pa.int32(), pa.int32(), pa.int32(), pa.float64())
             if rows:
