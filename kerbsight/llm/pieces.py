@@ -305,16 +305,19 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def int_lists(arrays: list[np.ndarray]) -> pa.Array:
-    values = np.concatenate([np.zeros(0, np.int32), *arrays])
-    return pa.ListArray.from_arrays(
-        pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values, pa.int32())
-    )
+def nested(found: list[list[tuple[float, np.ndarray]]]) -> pa.Array:
+    """An array of (score, ids) for each text."""
+    flat = [x for of in found for x in of]
+    ids = np.concatenate([np.zeros(0, np.int32), *(x for _, x in flat)])
+    ends = pa.array(np.cumsum([0, *(len(x) for _, x in flat)]), pa.int32())
+    fields = [pa.array([s for s, _ in flat], pa.float64()), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))]
+    each = pa.StructArray.from_arrays(fields, ["score", "ids"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), each)
 
 
 def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text") -> DataFrame:
-    """The other columns of `rows` and one row per segmentation: `rank` (1 is the best), `score`
-    and `ids`."""
+    """The other columns of `rows`, and `n_best`: its segmentations, best first, with their score
+    and ids."""
     keep = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,20 +325,13 @@ def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text"
         for batch in batches:
             for part in slices(batch, text_col):
                 found = vocabulary.n_best([x or "" for x in part.column(text_col).to_pylist()], n)
-                place = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c).take(place) for c in keep),
-                        pa.array([k + 1 for x in found for k in range(len(x))], pa.int32()),
-                        pa.array([s for x in found for s, _ in x], pa.float64()),
-                        int_lists([ids for x in found for _, ids in x]),
-                    ],
-                    [*keep, "rank", "score", "ids"],
+                    [*(part.column(c) for c in keep), nested(found)], [*keep, "n_best"]
                 )
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "rank int, score double, ids array<int>"])
-    return rows.select(*keep, text_col).mapInArrow(run, schema)
+    schema = [*(f"`{c}` {kinds[c]}" for c in keep), "n_best array<struct<score:double,ids:array<int>>>"]
+    return rows.select(*keep, text_col).mapInArrow(run, ", ".join(schema))
 
 
 def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
@@ -358,14 +354,16 @@ def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
-    """Per document and segmentation its rank, score, size and checksum, and whether decoding it
+    """One row per document and segmentation with its rank, score, size and checksum, and whether decoding it
     gives back the text (a checksum of the text travels along instead of the text)."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     rows = rows_of(docs, "doc_id", "text")
     rows = rows.withColumn("_sum", F.xxhash64(F.regexp_replace("_text", SPACE, " ")))
-    decoded = decode(encode(rows, model), model, "ids", "_decoded")
+    each = encode(rows, model).select("_id", "_sum", F.posexplode("n_best").alias("at", "x"))
+    each = each.select("_id", "_sum", (F.col("at") + 1).alias("rank"), "x.score", "x.ids")
+    decoded = decode(each, model, "ids", "_decoded")
     return decoded.select(
         F.col("_id").alias("doc_id"),
         "rank",
