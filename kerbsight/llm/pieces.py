@@ -39,8 +39,11 @@ from kerbsight.llm.common import rows_of, table
 from kerbsight.llm.words import Coded, Gathered, Store, coded, slices
 
 N_BEST = 3
-STORE = 300_000
+STORE = 100_000
 LONG_PART = 64
+SHORT = 24  # characters of a text that is solved together with others
+_TOGETHER = 8192
+_SLICE = 2 << 20  # bytes of text whose segmentations are held at once
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _ROWS = 1024  # rows decoded together
@@ -85,9 +88,13 @@ class Lattice:
 
     def n_best(self, n: int) -> list[Found]:
         """Backward A* search. A queue entry is (minus the score of the best whole path that ends
-        in this suffix, tie-break, position, score of the suffix, linked ids of the suffix)."""
+        in this suffix, tie-break, position, score of the suffix, linked ids of the suffix). Of a
+        position's suffixes only the n best can be part of the n best paths: after n have left the
+        queue the others are passed over, and what n better ones have been queued for isn't queued."""
         queue = [(-self.best[self.size], 0, self.size, 0.0, None)]
         out, made = [], 0
+        left = [0] * (self.size + 1)
+        queued: dict[int, list[float]] = {}  # the n best suffix scores of a position, least first
         while queue and len(out) < n:
             _, _, at, score, suffix = heapq.heappop(queue)
             if not at:
@@ -97,12 +104,21 @@ class Lattice:
                     suffix = suffix[1]
                 out.append((score, b"".join(ids)))
                 continue
+            left[at] += 1
+            if left[at] > n:
+                continue
             # the Viterbi edge first, so that of equal scores the best path's comes out first
-            edges = self.ends[at]
             first = self.last[at]
-            for edge in [first, *(x for x in edges if x is not first)]:
+            for edge in [first, *(x for x in self.ends[at] if x is not first)]:
                 made += 1
                 total = score + edge[1]
+                best = queued.setdefault(edge[0], [])
+                if len(best) < n:
+                    heapq.heappush(best, total)
+                elif total > best[0]:
+                    heapq.heapreplace(best, total)
+                else:
+                    continue
                 heapq.heappush(
                     queue,
                     (-(total + self.best[edge[0]]), made, edge[0], total, (edge[2], suffix)),
@@ -114,6 +130,108 @@ class Lattice:
 Part = tuple[float, bytes, float]
 
 
+class Trie:
+    """The vocabulary as a trie in arrays, to solve the lattices of many short texts at once."""
+
+    def __init__(self, known: dict[str, tuple[float, bytes]]):
+        chars = sorted({c for p in known for c in p})
+        self.char = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        node = {"": 0}
+        keys, targets = [], []
+        for piece in known:
+            for i in range(1, len(piece) + 1):
+                if piece[:i] not in node:
+                    node[piece[:i]] = len(node)
+                    keys.append(node[piece[: i - 1]] * self.width + int(self.char[ord(piece[i - 1])]))
+                    targets.append(node[piece[:i]])
+        order = np.argsort(keys)
+        self.keys = np.array(keys, np.int64)[order]
+        self.targets = np.array(targets, np.int64)[order]
+        self.first = np.full(self.width, -1, np.int64)
+        roots = self.keys < self.width
+        self.first[self.keys[roots]] = self.targets[roots]
+        self.score = np.full(len(node), np.nan)
+        self.piece = np.full(len(node), -1, np.int32)
+        for p, (score, data) in known.items():
+            self.score[node[p]] = score
+            self.piece[node[p]] = np.frombuffer(data, np.int32)[0]
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        key = nodes * self.width + chars
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (chars > 0), self.targets[at], -1)
+
+    def edges(self, chars: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, rows, nodes) of the lattices, by start and length. `chars` has a row per
+        text, zero after its end."""
+        n, size = chars.shape
+        found = []
+        for i in range(size):
+            rows = np.flatnonzero(chars[:, i])
+            nodes = self.first[chars[rows, i]]
+            for j in range(i + 1, size + 1):
+                rows, nodes = rows[nodes >= 0], nodes[nodes >= 0]
+                if not len(rows):
+                    break
+                whole = self.piece[nodes] >= 0
+                if whole.any():
+                    found.append((i, j, rows[whole], nodes[whole]))
+                if j < size:
+                    nodes = self.step(nodes, chars[rows, j])
+        return found
+
+    def solve(self, texts: list[str]) -> list[Part | None]:
+        """As `Pieces.solve`; None for a text with a character that isn't a piece."""
+        if not texts:
+            return []
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        n, size = len(texts), int(lens.max())
+        codes = self.char[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        inside = np.arange(size) < lens[:, None]
+        chars = np.zeros((n, size), np.int32)
+        chars[inside] = codes
+        alone = np.zeros(self.width, bool)
+        alone[1:] = self.piece[self.first[1:]] >= 0
+        fit = (alone[chars] | ~inside).all(axis=1)
+        chars[~fit] = 0
+        best = np.full((n, size + 1), -np.inf)
+        best[:, 0] = 0.0
+        back = np.zeros((n, size + 1), np.int64)
+        last = np.zeros((n, size + 1), np.int32)
+        edges = self.edges(chars)
+        for i, j, rows, nodes in edges:
+            total = best[rows, i] + self.score[nodes]
+            up = total > best[rows, j]
+            rows, nodes = rows[up], nodes[up]
+            best[rows, j], back[rows, j], last[rows, j] = total[up], i, self.piece[nodes]
+        # the best paths, from their ends; on[r, j]: the path enters position j
+        ids = np.zeros((n, size), np.int32)
+        steps, on = np.zeros(n, np.int64), np.zeros((n, size + 1), bool)
+        rows = np.flatnonzero(fit & (lens > 0))
+        at = lens[rows]
+        while len(rows):
+            on[rows, at] = True
+            steps[rows] += 1
+            ids[rows, size - steps[rows]] = last[rows, at]
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        after = np.full((n, size + 1), -np.inf)
+        after[np.arange(n), lens] = 0.0
+        top, gap = best[np.arange(n), lens], np.full(n, np.inf)
+        for i, j, rows, nodes in reversed(edges):
+            total = self.score[nodes] + after[rows, j]
+            after[rows, i] = np.maximum(after[rows, i], total)
+            beside = ~(on[rows, j] & (back[rows, j] == i))
+            rows = rows[beside]
+            gap[rows] = np.minimum(gap[rows], top[rows] - best[rows, i] - total[beside])
+        flat = ids[np.arange(size) >= (size - steps)[:, None]].tobytes()
+        ends = (np.cumsum(steps) * 4).tolist()
+        found = zip(fit.tolist(), top.tolist(), [0, *ends], ends, gap.tolist(), strict=False)
+        return [(t, flat[a:z], g) if ok else None for ok, t, a, z, g in found]
+
+
 class Pieces:
     """A SentencePiece vocabulary, and the answers for parts seen so far."""
 
@@ -150,8 +268,8 @@ class Pieces:
                 self.tree.setdefault(piece[:i], None)
         self.tree |= self.known
         self.stored: Store = Store(STORE, LONG_PART)  # by run of text
-        self.parts: Store = Store(STORE, LONG_PART)
         self.lists: Store = Store(STORE // 10, LONG_PART)
+        self.trie = Trie(self.known)
 
     def unknown(self, char: str) -> tuple[float, bytes]:
         if not self.bytes:
@@ -203,20 +321,26 @@ class Pieces:
                 gap = top - best[i] - total
         return top, b"".join(reversed(path)), gap
 
+    def solve_short(self, texts: list[str]) -> list[Part | None]:
+        """Distinct texts that are short and of known characters together; None for the others."""
+        out: list[Part | None] = [None] * len(texts)
+        short = [i for i, x in enumerate(texts) if len(x) <= SHORT]
+        for lo in range(0, len(short), _TOGETHER):
+            some = short[lo : lo + _TOGETHER]
+            for i, part in zip(some, self.trie.solve([texts[i] for i in some]), strict=True):
+                out[i] = part
+        return out
+
     def solve_all(self, chunks: list[str]) -> list[Part]:
-        """The answers for runs of text that aren't stored, from those of their parts."""
-        split = [[c] if len(c) == 1 else self.split(c) for c in chunks]
-        new = {x for parts in split for x in parts} - self.parts.keys()
-        new = {x: self.solve(x) for x in new}
-        self.parts.keep(new)
-        known, out = self.parts.get, []
-        for parts in split:
-            found = [known(x) or new[x] for x in parts]
-            if len(found) > 1:
-                scores, ids, gaps = zip(*found, strict=True)
-                out.append((sum(scores), b"".join(ids), min(gaps)))
-            else:
-                out.append(found[0])
+        """The answers for distinct runs of text: of those that can't be solved whole, the parts."""
+        out = self.solve_short(chunks)
+        split = {i: self.split(c) for i, c in enumerate(chunks) if out[i] is None}
+        texts = list({x for parts in split.values() for x in parts})
+        parts = dict(zip(texts, self.solve_short(texts), strict=True))
+        parts = {x: self.solve(x) if part is None else part for x, part in parts.items()}
+        for i, of in split.items():
+            scores, ids, gaps = zip(*(parts[x] for x in of), strict=True)
+            out[i] = sum(scores), b"".join(ids), min(gaps)
         return out
 
     def n_best_of(self, text: str, n: int) -> list[Found]:
@@ -323,7 +447,7 @@ def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, _SLICE):
                 found = vocabulary.n_best([x or "" for x in part.column(text_col).to_pylist()], n)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), nested(found)], [*keep, "n_best"]
