@@ -60,12 +60,12 @@ def joined(values: Column) -> Column:
 
 
 def addressed(ws: Workspace, df: DataFrame) -> DataFrame:
-    """`df` with the address of every row in its Parquet files, `(_file, _at)`, so that rows can be
+    """`df` with the address of every row in its Parquet files, `(_src_file, _src_row)`, so that rows can be
     named though ids may be null or repeat. A frame that is not read from files is written first.
     """
     try:
         return df.select("*", "_metadata.file_path", "_metadata.row_index").withColumnsRenamed(
-            {"file_path": "_file", "row_index": "_at"}
+            {"file_path": "_src_file", "row_index": "_src_row"}
         )
     except AnalysisException:
         return addressed(ws, ws.save("rows", df))
@@ -73,5 +73,5 @@ def addressed(ws: Workspace, df: DataFrame) -> DataFrame:
 
 def without(df: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of an addressed frame whose address isn't in `dropped`, as `columns`."""
-    kept = df.join(dropped.select("_file", "_at"), ["_file", "_at"], "left_anti")
+    kept = df.join(dropped.select("_src_file", "_src_row"), ["_src_file", "_src_row"], "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in columns])

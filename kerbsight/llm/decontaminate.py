@@ -365,9 +365,10 @@ def _one_block(docs: DataFrame, index, keep: list[str], text_col: str, item_type
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that have no contaminated window."""
     ws = workspace(spark)
-    rows = addressed(ws, docs).withColumn("_text", F.col("text").cast("string"))
-    found = find_matches(rows, benchmark, ["_file", "_at"])
-    dropped = ws.save("contaminated", found.select("_file", "_at").distinct())
+    rows = addressed(ws, docs)
+    texts = rows.select("_src_file", "_src_row", F.col("text").cast("string").alias("_text"))
+    found = find_matches(texts, benchmark, ["_src_file", "_src_row"])
+    dropped = ws.save("contaminated", found.select("_src_file", "_src_row").distinct())
     return without(rows, dropped, docs.columns)
 
 

@@ -173,7 +173,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of `docs`, an `addressed` frame: `(_file, _at, _id, keep_id, group_size,
+    """One row per row of `docs`, an `addressed` frame: `(_src_file, _src_row, _id, keep_id, group_size,
     kept, text_sha256, found_in)`.
 
     `in_snapshot` tells the rows of the snapshot from those of the incoming batch. `found_in` says
@@ -182,14 +182,14 @@ def exact_dedup(
     text = normalised(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     rows = docs.select(
         F.col(f"`{id_col}`").alias("_id"),
-        "_file",
-        "_at",
+        "_src_file",
+        "_src_row",
         F.coalesce(in_snapshot, F.lit(False)).alias("_old"),
         text.alias("_text"),
     ).withColumn("digest", F.xxhash64("_text"))
     slim = ws.save(
         "digests",
-        rows.select("_id", "_file", "_at", "_old", "digest", F.sha2("_text", 256).alias("sha")),
+        rows.select("_id", "_src_file", "_src_row", "_old", "digest", F.sha2("_text", 256).alias("sha")),
     )
     total = slim.count()
 
@@ -217,7 +217,7 @@ def exact_dedup(
         .agg(F.count("*").alias("group_size"))
         .select("digest", F.sha2("_text", 256).alias("sha"), "group_size")
     )
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_file", "_at"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_src_file", "_src_row"))
     firsts = slim.groupBy("sha").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
     classes = ws.save(
         "classes",
@@ -228,10 +228,10 @@ def exact_dedup(
     )
     found = lookup(slim.drop("_old", "digest"), classes, "sha", "n", total)
     alone = F.col("group_size").isNull()
-    stays = (F.col("first._file") == F.col("_file")) & (F.col("first._at") == F.col("_at"))
+    stays = (F.col("first._src_file") == F.col("_src_file")) & (F.col("first._src_row") == F.col("_src_row"))
     return found.select(
-        "_file",
-        "_at",
+        "_src_file",
+        "_src_row",
         "_id",
         F.when(alone, F.col("_id")).otherwise(F.col("first._id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),

@@ -191,21 +191,20 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     (a class of null ids: its first row)."""
     ws = workspace(spark)
     rows = addressed(ws, docs)
-    named = rows_of(rows, "doc_id", "text").columns
     picked = rows.select(
-        F.col("doc_id").alias(named[0]),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias(named[1]),
-        "_file",
-        "_at",
+        F.col("doc_id").alias("_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
+        "_src_file",
+        "_src_row",
     )
-    found = ws.save("near", near_duplicates(ws, picked, ["_id", "_file", "_at"]))
+    found = ws.save("near", near_duplicates(ws, picked, ["_id", "_src_file", "_src_row"]))
     stays = (
         found.where(F.col("_id").eqNullSafe(F.col("component_id")))
         .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp"))
-        .agg(F.min(F.struct("_file", "_at")).alias("stay"))
+        .agg(F.min(F.struct("_src_file", "_src_row")).alias("stay"))
         .select("stay.*")
     )
-    dropped = found.select("_file", "_at").join(stays, ["_file", "_at"], "left_anti")
+    dropped = found.select("_src_file", "_src_row").join(stays, ["_src_file", "_src_row"], "left_anti")
     return without(rows, dropped, docs.columns)
 
 
