@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbsight.llm.common import table, workspace
+from kerbsight.llm.common import arrow_type, table, workspace
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ def format_chats(
     kind = dict(rows.dtypes)["conv"]
     schema = pa.schema(
         {
-            "conv": _arrow(kind),
+            "conv": arrow_type(rows, "conv"),
             "seq": pa.int64(),
             "turn_no": pa.int64(),
             "segment": pa.string(),
@@ -156,10 +156,6 @@ def format_chats(
     return _sorted(rows, "conv", "turn", "role", "text").mapInArrow(run, f"conv {kind}, {_SEGMENT}")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 class Reader:
     """Reads one conversation back from its segments, a turn at a time, and sums it up."""
 
@@ -202,7 +198,7 @@ def read_chats(segments: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     kind = dict(segments.dtypes)["conv"]
     schema = pa.schema(
         {
-            "conv": _arrow(kind),
+            "conv": arrow_type(segments, "conv"),
             "n_turns": pa.int64(),
             "turns_sha256": pa.string(),
             "loss_chars": pa.int64(),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kerbsight.session import Workspace
 
@@ -55,8 +57,8 @@ def lookup(left: DataFrame, right: DataFrame, on: str, n: str, total: int) -> Da
     )
 
 
-def joined(values: Column) -> Column:
-    return F.array_join(values, ",")
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def addressed(ws: Workspace, df: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbsight.llm.common import addressed, rows_of, table, without, workspace
+from kerbsight.llm.common import addressed, arrow_type, rows_of, table, without, workspace
 from kerbsight.llm.words import Gathered, Store, coded, slices
 
 SHINGLE = 5
@@ -328,7 +328,7 @@ def find_matches(
             for x in counts.join(seen, "shingle").collect()
         }
         index = spark.sparkContext.broadcast(Benchmark(block, common, rare))
-        found.append(_one_block(docs, index, keep, text_col, dict(rows.dtypes)["item_id"]))
+        found.append(_one_block(docs, index, keep, text_col, rows))
     if not found:
         kinds = dict(docs.dtypes)
         schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"item_id {dict(rows.dtypes)['item_id']}", _MATCH])
@@ -336,7 +336,11 @@ def find_matches(
     return reduce(DataFrame.unionByName, found)
 
 
-def _one_block(docs: DataFrame, index, keep: list[str], text_col: str, item_type: str) -> DataFrame:
+def _one_block(
+    docs: DataFrame, index, keep: list[str], text_col: str, benchmark: DataFrame
+) -> DataFrame:
+    own = arrow_type(benchmark, "item_id")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = index.value
         for batch in batches:
@@ -347,7 +351,7 @@ def _one_block(docs: DataFrame, index, keep: list[str], text_col: str, item_type
                     rows.append(match)
                 at += len(part)
             columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
-            kinds = (None, pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            kinds = (own, pa.int32(), pa.int32(), pa.int32(), pa.float64())
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -358,7 +362,7 @@ def _one_block(docs: DataFrame, index, keep: list[str], text_col: str, item_type
                 )
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"item_id {item_type}", _MATCH])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"item_id {dict(benchmark.dtypes)['item_id']}", _MATCH])
     return docs.select(*keep, text_col).mapInArrow(run, schema)
 
 
