@@ -94,6 +94,59 @@ def scan_csv(spark, sf):
     )
 
 
+_SCANNED = [
+    "id", "latitude", "longitude", "violation_type", "offence_code", "created_datetime",
+    "closed_datetime", "police_station", "junction_name", "vehicle_type", "vehicle_number",
+]
+
+
+def scan_csv_mixed_headers(spark, sf):
+    """All records in two sets of files whose headers name the columns in opposite orders."""
+    t = tables(spark, sf)
+    path = t.ws.path("mixed-csv")
+    rows = t.violations.select(*_SCANNED)
+    odd = F.col("id").cast("bigint") % 2 == 1
+    files.sink_csv(rows.where(odd), f"{path}/odd")
+    files.sink_csv(rows.where(~odd).select(*reversed(_SCANNED)), f"{path}/even")
+    return cleaning.coerce_timestamps(files.scan_csv(spark, f"{path}/*")).select(*_SCANNED)
+
+
+def scan_csv_multiline(spark, sf):
+    """Line feeds, quotes and commas within fields of every event."""
+    ws = tables(spark, sf).ws
+    path = ws.path("multiline-csv")
+    text = F.concat(F.lit('a "'), F.col("event_type"), F.lit('",\n'), F.col("user_id").cast("string"), F.lit("\n"))
+    rows = _table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"), text.alias("junction_name")
+    )
+    files.sink_csv(rows, path)
+    return files.scan_csv(spark, path).select("id", "junction_name")
+
+
+def parse_dirty_json(spark, sf):
+    """Every event with one of eight texts, as violation list and as offence list."""
+    kinds = ['["A"] x', '["A","B"]', "[99999999999]", '[112,"x"]', '["112"]', "99999999999", "1.5", '"A" "B"']
+    text = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("t"))
+    codes = C.offence_list(F.col("t"))
+    total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return rows.select(
+        "id", F.array_join(C.violation_list(F.col("t")), "|").alias("names"),
+        F.size(codes).alias("n"), total.alias("code_sum"),
+    )
+
+
+def coerce_zoned_timestamps(spark, sf):
+    """Every event's time with one of six zones; the fourth is ambiguous."""
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    zones = [" Asia/Kolkata", "Z", "-03:00", " IST", " GMT", ""]
+    zone = F.element_at(F.array(*map(F.lit, zones)), (F.col("event_id") % 6 + 1).cast("int"))
+    raw = _table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.concat(text, zone).alias("created_datetime")
+    )
+    return cleaning.coerce_timestamps(raw)
+
+
 def sink_parquet_roundtrip(spark, sf):
     t = tables(spark, sf)
     path = t.ws.path("cleaned")
@@ -136,7 +189,7 @@ def primary_violation(spark, sf):
 def parse_offence_codes(spark, sf):
     df = cleaning.parse_json_columns(violations(spark, sf))
     codes = F.col("offence_code_list")
-    total = F.aggregate(codes, F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
     return df.select("id", F.size(codes).alias("n"), total.alias("code_sum"))
 
 
@@ -516,20 +569,28 @@ def _event_stream(spark, sf) -> DataFrame:
 
     schema = _table(spark, sf, "events").schema
     stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", rates.FILES_PER_BATCH)
+        .parquet(sf)
     )
     return cleaning.enrich(violations_from_events(spark, stream))
 
 
 def stream_sliding_rate(spark, sf):
-    stream = rates.stream_sliding_rate(_event_stream(spark, sf))
-    return rates.run_to_table(tables(spark, sf).ws, stream, "sliding-rate")
+    run = rates.run_buckets(tables(spark, sf).ws, _event_stream(spark, sf), "police_station", 5)
+    return rates.stream_sliding_rate(run)
+
+
+def stream_cell_count_24h(spark, sf):
+    run = rates.run_buckets(tables(spark, sf).ws, _event_stream(spark, sf), "cell_street", 60)
+    return rates.stream_cell_count_24h(run)
 
 
 def stream_alerts(spark, sf):
     t = tables(spark, sf)
-    stream = rates.stream_alerts(_event_stream(spark, sf), _alert_rules(t))
-    return rates.run_to_table(t.ws, stream, "alerts")
+    run = rates.run_buckets(t.ws, _event_stream(spark, sf), "cell_street", 60)
+    return rates.stream_alerts(run, _alert_rules(t))
 
 
 def stream_peak_hour(spark, sf):
@@ -537,7 +598,7 @@ def stream_peak_hour(spark, sf):
     path = t.ws.path("peaks")
     query = rates.write_peaks(_event_stream(spark, sf), path, t.ws.path("peaks-checkpoint"))
     query.awaitTermination()
-    return spark.read.parquet(path)
+    return rates.read_peaks(spark, path)
 
 
 def score_drift(spark, sf):
@@ -561,7 +622,8 @@ def score_drift(spark, sf):
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        scan_csv, sink_parquet_roundtrip, sink_csv_roundtrip, scan_geojson,
+        scan_csv, scan_csv_mixed_headers, scan_csv_multiline, parse_dirty_json,
+        coerce_zoned_timestamps, sink_parquet_roundtrip, sink_csv_roundtrip, scan_geojson,
         parse_violation_types, primary_violation, parse_offence_codes, coerce_timestamps,
         time_features, clean_junction, severity, minmax_normalize, tier_case,
         dq_duplicate_ids, dq_duplicate_lineitem_keys, dq_geo_outliers, dq_closed_before_created,
@@ -577,7 +639,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         junction_search, junction_factors, junction_cells_semi, threshold_alerts,
         dashboard_stats, station_risk_panel, city_totals,
         sliding_rate, running_peak_hour, cell_count_24h, hourly_alerts,
-        stream_sliding_rate, stream_alerts, stream_peak_hour, score_drift,
+        stream_sliding_rate, stream_cell_count_24h, stream_alerts, stream_peak_hour, score_drift,
     )
 }
 _QUERIES |= {

@@ -12,8 +12,22 @@ from kerbsight.functions import fixed
 _ARRAY_START = r"^\s*\["
 _SCALAR_START = r'^\s*["{tfn0-9-]'
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-# A time of day followed by a zone: Z, UTC, +05, +0530 or +05:30.
-_ZONED_TEXT = r"\d:\d\d.*(Z|z|UTC|[+-]\d\d?(:?\d\d)?)$"
+# A time of day followed by an offset, Z, UTC, GMT or a region; and one followed by anything else.
+_TIME = r"\d:\d\d(:\d\d(\.\d+)?)?"
+_ZONED_TEXT = _TIME + r"\s*(Z|z|UTC|GMT|(UTC|GMT)?[+-]\d\d?(:?\d\d)?|[A-Za-z_]+(/[A-Za-z0-9_+-]+)+)\s*$"
+_OTHER_SUFFIX = _TIME + r"\s*[^\s\d:.].*$"
+
+
+def _whole_json(text: Column) -> Column:
+    """The text as a variant; null unless all of it is one JSON value.
+
+    The parser stops at the end of the first value. Inside brackets, and inside braces, what follows
+    the value must be their end; no other text fits both.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.try_variant_get(inside, "$", "array<variant>")
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(values) == 1) & member.isNotNull(), F.get(values, 0))
 
 
 def violation_list(text: Column) -> Column:
@@ -22,25 +36,40 @@ def violation_list(text: Column) -> Column:
     The first character decides which parser can succeed. A parser that fails throws an exception
     per row inside the JVM, several times the cost of parsing.
     """
-    scalar = F.try_variant_get(F.try_parse_json(text), "$", "string")
+    value = _whole_json(text)
+    scalar = F.try_variant_get(value, "$", "string")
     return (
         F.when(text.isNull(), F.array().cast("array<string>"))
         .when(
             text.rlike(_ARRAY_START),
-            F.coalesce(F.from_json(text, "array<string>"), F.array(text)),
+            F.when(
+                value.isNotNull(), F.coalesce(F.from_json(text, "array<string>"), F.array(text))
+            ).otherwise(F.array(text)),
         )
         .when(text.rlike(_SCALAR_START), F.array(F.coalesce(scalar, text)))
         .otherwise(F.array(text))
     )
 
 
+def _code(value: Column) -> Column:
+    """A JSON integer, or one in quotes, as bigint; null for anything else."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(text.rlike(r"^\s*-?\d+\s*$"), F.trim(text).try_cast("bigint"))
+
+
 def offence_list(text: Column) -> Column:
-    """JSON integer array → array; integer → one-element array; anything else → []."""
-    none = F.array().cast("array<int>")
-    number = text.try_cast("int")
-    return F.when(
-        text.rlike(_ARRAY_START), F.coalesce(F.from_json(text, "array<int>"), none)
-    ).otherwise(F.when(number.isNotNull(), F.array(number)).otherwise(none))
+    """JSON array → its codes; JSON scalar → one code; text that isn't JSON → [].
+
+    An element that is no integer is null and keeps its place.
+    """
+    none = F.array().cast("array<bigint>")
+    value = _whole_json(text)
+    elements = F.try_variant_get(value, "$", "array<variant>")
+    return (
+        F.when(text.rlike(_ARRAY_START), F.coalesce(F.transform(elements, _code), none))
+        .when(text.rlike(_SCALAR_START) & value.isNotNull(), F.array(_code(value)))
+        .otherwise(none)
+    )
 
 
 def first_or_unknown(values: Column) -> Column:
@@ -50,13 +79,16 @@ def first_or_unknown(values: Column) -> Column:
 def utc_wall_clock(value: Column, dtype: str) -> Column:
     """UTC time as `timestamp_ntz`, whatever the session time zone; bad text → null.
 
-    Text without a zone is taken as UTC.
+    Text without a zone is taken as UTC. Offsets, Z, UTC, GMT and region names are converted; other
+    zones (abbreviations mean different things in different places) make the text bad.
     """
     if dtype == "timestamp_ntz":
         return value
     if dtype == "string":
-        return F.when(value.rlike(_ZONED_TEXT), _instant_to_utc(value.try_cast("timestamp"))).otherwise(
-            value.try_cast("timestamp_ntz")
+        return (
+            F.when(value.rlike(_ZONED_TEXT), _instant_to_utc(value.try_cast("timestamp")))
+            .when(value.rlike(_OTHER_SUFFIX), F.lit(None).cast("timestamp_ntz"))
+            .otherwise(value.try_cast("timestamp_ntz"))
         )
     return _instant_to_utc(value.try_cast("timestamp"))
 

@@ -21,7 +21,7 @@ def parse_json_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "violation_type_list": listed("violation_type", C.violation_list, "string"),
-            "offence_code_list": listed("offence_code", C.offence_list, "int"),
+            "offence_code_list": listed("offence_code", C.offence_list, "bigint"),
         }
     ).withColumn("primary_violation", C.first_or_unknown(F.col("violation_type_list")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,11 @@ def build_session(app: str = "kerbsight", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        # window state of streams lives on disk, not in the executors' heaps
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     if master:
         builder = builder.master(master)
@@ -24,22 +28,12 @@ def build_session(app: str = "kerbsight", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, where the driver
-    and the executors are one process, may fall back to a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not sc.master.startswith("local"):
+    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``, or else the one
+    set on the context."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="kerbsight-"))
-    return sc.getCheckpointDir().rstrip("/")
+    return found.rstrip("/")
 
 
 class Workspace:
@@ -53,6 +47,9 @@ class Workspace:
         self.spark = spark
         self.root = f"{root or checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
         self._written = 0
+        if root and not spark.sparkContext.getCheckpointDir():
+            # iterative trainers cut their lineage in the context's folder
+            spark.sparkContext.setCheckpointDir(f"{root}/checkpoints")
 
     def path(self, name: str) -> str:
         self._written += 1
@@ -63,6 +60,12 @@ class Workspace:
         df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, path: str) -> None:
+        """Delete one of the run's tables."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def exists(self) -> bool:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)

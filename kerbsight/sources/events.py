@@ -46,13 +46,5 @@ def violations_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def read_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violation records of a data folder.
-
-    A small file is a single split and would keep all but one core idle, so its rows are
-    spread. Larger inputs have more splits than cores and are not shuffled.
-    """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores, "event_id")
-    return violations_from_events(spark, events)
+    """Violation records of a data folder, row by row, whatever its size."""
+    return violations_from_events(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kerbsight.schema import FEATURE, VIOLATIONS, with_optional_columns
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType = VIOLATIONS) -> DataFrame:
+def _first_line(spark: SparkSession, uri: str) -> str | None:
+    """The first line of a file, compressed or not, through the file system Spark reads it with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header. One line of each file is read, by a few threads; the
+    listing raises Spark's PATH_NOT_FOUND for a missing path."""
+    uris = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(lambda uri: _first_line(spark, uri), uris))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for uri, line in zip(uris, lines, strict=True):
+        if line is not None:  # an empty file has neither header nor rows
+            names = next(csv.reader([line.removeprefix("\ufeff")]))
+            found.setdefault(tuple(names), []).append(uri)
+    return found
+
+
+def scan_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = VIOLATIONS,
+    *,
+    multiline: bool = True,
+    malformed: str | None = None,
+) -> DataFrame:
     """CSV with a header and a fixed schema: no inference pass over the data.
 
-    Columns are matched by name, so files may order them differently or leave out optional
-    ones. A missing path raises Spark's PATH_NOT_FOUND.
+    Columns are matched by name, file by file: files that share a header are one scan, and the scans
+    are united by name, so files may order columns differently or leave out optional ones. A
+    missing path raises Spark's PATH_NOT_FOUND.
+
+    Quoted fields may hold line feeds. Such files can't be split; say `multiline=False` for large
+    files that are known to have none. `malformed` names a column for the text of rows that
+    don't have the header's columns or types (null in all others).
     """
-    # The header line of one file is metadata; the rows are only read by the returned plan.
-    header = spark.read.option("header", True).csv(path).columns
     by_name = {f.name: f for f in schema}
-    present = T.StructType(
-        [by_name.get(name, T.StructField(name, T.StringType())) for name in header]
-    )
-    # A quote inside a quoted field may be doubled ("") or escaped; JSON arrays need the former.
-    df = (
-        spark.read.schema(present)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("escape", '"')
-        .csv(path)
-    )
-    return with_optional_columns(df)
+    scans = []
+    groups = _by_header(spark, path)
+    for header, uris in groups.items():
+        present = [by_name.get(name, T.StructField(name, T.StringType())) for name in header]
+        if malformed:
+            present.append(T.StructField(malformed, T.StringType()))
+        reader = (
+            spark.read.schema(T.StructType(present))
+            .option("header", True)
+            .option("mode", "PERMISSIVE")
+            .option("multiLine", multiline)
+            # A quote inside a quoted field may be doubled ("") or escaped; JSON arrays need the former.
+            .option("escape", '"')
+        )
+        if malformed:
+            reader = reader.option("columnNameOfCorruptRecord", malformed)
+        # one header: the path itself keeps the plan small
+        scans.append(reader.csv(path if len(groups) == 1 else uris))
+    if not scans:
+        scans = [spark.createDataFrame([], schema)]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    if schema is VIOLATIONS:
+        return with_optional_columns(df)
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns}
+    return df.withColumns(missing) if missing else df
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +106,10 @@ def sink_parquet(
 
 
 def sink_csv(df: DataFrame, path: str) -> None:
-    """Overwrite a CSV table; the map column of the queue has no CSV form and is dropped."""
+    """Overwrite a CSV table; the map column of the queue has no CSV form and is dropped.
+
+    Fields with line feeds are quoted, as `scan_csv` reads them.
+    """
     df = df.drop("contributing_factors")
     (
         df.write.mode("overwrite")

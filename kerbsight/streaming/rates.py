@@ -1,18 +1,27 @@
 """Sliding violation rates, running peaks, online counts, live alerts and drift.
 
 Every streaming job has a batch twin over the same rows; the twins are what SQL checks.
-Streams drop rows that arrive more than `LATENESS` behind the newest event time.
+
+A stream keeps one count per key and tumbling bucket. Each micro-batch writes the counts it changed to a
+folder of its own, and a reader takes each bucket's newest count, so no window waits for a watermark. Longer
+windows are sums of buckets, made when the counts are read: a row is one state update, not one per window.
+Rows that arrive later than `lateness` behind the newest event time find their state gone and are dropped;
+`run_buckets` reports how many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kerbsight.functions import columns as C
 from kerbsight.session import Workspace
 
 LATENESS = "1 hour"
+FILES_PER_BATCH = 64  # rate limit of file sources
+MAX_BATCHES = 100_000
 _MINUTE_MICROS = 60_000_000
 
 
@@ -36,13 +45,18 @@ def sliding_counts(facts: DataFrame, keys: list[str], width: int, slide: int) ->
     that contain them, not the rows, so a 24-hour window sliding by the hour does not
     multiply the facts by 24.
     """
-    if width % slide:
-        raise ValueError("slide must divide width")
     buckets = (
         facts.where(F.col("created_datetime").isNotNull())
         .groupBy(*keys, _bucket(slide).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
+    return window_sums(buckets, keys, width, slide)
+
+
+def window_sums(buckets: DataFrame, keys: list[str], width: int, slide: int) -> DataFrame:
+    """Sums over sliding windows of counts `(keys, bucket, n)` per bucket of `slide` minutes."""
+    if width % slide:
+        raise ValueError("slide must divide width")
     starts = F.array(
         *[F.timestamp_add("MINUTE", F.lit(-slide * i), F.col("bucket")) for i in range(width // slide)]
     )
@@ -94,58 +108,114 @@ def running_peak_hour(counts: DataFrame) -> DataFrame:
 # -- streams ------------------------------------------------------------------------------
 
 
-def stream_sliding_rate(facts: DataFrame) -> DataFrame:
-    """Streaming form of `sliding_rate`; a window is emitted once the watermark has passed it."""
+def bucket_stream(facts: DataFrame, key: str, minutes: int, lateness: str = LATENESS) -> DataFrame:
+    """Counts of a stream per key and tumbling bucket: `(key, bucket, n)`. State older than
+    `lateness` behind the newest event is given up."""
     return (
-        event_time(facts.where(F.col("police_station").isNotNull()))
-        .withWatermark("event_time", LATENESS)
-        .groupBy(F.window("event_time", "10 minutes", "5 minutes").alias("w"), "police_station")
-        .agg(F.count("*").alias("violations"))
-        .select(
-            "police_station",
-            C.utc_wall_clock(F.col("w.start"), "timestamp").alias("window_start"),
-            "violations",
-            (F.col("violations") / 10).alias("per_minute"),
-        )
+        event_time(facts.where(F.col(key).isNotNull() & F.col("created_datetime").isNotNull()))
+        .withWatermark("event_time", lateness)
+        .groupBy(F.window("event_time", f"{minutes} minutes").alias("w"), key)
+        .agg(F.count("*").alias("n"))
+        .select(key, C.utc_wall_clock(F.col("w.start"), "timestamp").alias("bucket"), "n")
     )
 
 
-def stream_cell_count_24h(facts: DataFrame) -> DataFrame:
-    """Streaming form of `cell_count_24h`."""
-    return (
-        event_time(facts.where(F.col("cell_street").isNotNull()))
-        .withWatermark("event_time", LATENESS)
-        .groupBy(F.window("event_time", "24 hours", "1 hour").alias("w"), "cell_street")
-        .agg(F.count("*").alias("violations"))
-        .select(
-            F.col("cell_street").alias("cell_id"),
-            C.utc_wall_clock(F.col("w.start"), "timestamp").alias("window_start"),
-            "violations",
-        )
-    )
+def write_buckets(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run over all available input. A micro-batch writes the counts that it changed below
+    `batch=<id>`; a batch that is repeated writes the same folder again."""
 
+    def write(counts: DataFrame, batch_id: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Run over all available input into a Parquet table; exactly once per checkpoint."""
     return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_buckets(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest count of every key and bucket."""
+    newest = F.max(F.struct("batch", "n"))
+    changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return (
+        changes.groupBy(key, "bucket").agg(newest.alias("newest")).select(key, "bucket", "newest.n")
+    )
+
+
+@dataclass
+class StreamRun:
+    """What a stream has written, the rows it has read, and those that came too late to count."""
+
+    buckets: DataFrame
+    n_read: int
+    n_dropped: int
+
+
+def run_buckets(
+    ws: Workspace,
+    facts: DataFrame,
+    key: str,
+    minutes: int,
+    lateness: str = LATENESS,
+    path: str | None = None,
+) -> StreamRun:
+    """Drive a stream of facts through all available input.
+
+    `path` names a place of its own for a stream that goes on later with new input: counts and
+    checkpoint stay there. The rows read are observed in the stream itself; those that are in no
+    count were dropped as late.
+    """
+    path = path or ws.path(f"buckets-{key}-{minutes}")
+    spark = ws.spark
+    before = _total(spark, f"{path}/counts", key) if _exists(spark, f"{path}/counts") else 0
+    known = facts.where(F.col(key).isNotNull() & F.col("created_datetime").isNotNull())
+    # every batch of this run must still be listed when it has ended
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(MAX_BATCHES))
+    counted = known.observe("read", F.count("*").alias("n"))
+    query = write_buckets(
+        bucket_stream(counted, key, minutes, lateness), f"{path}/counts", f"{path}/checkpoint"
+    )
+    query.awaitTermination()
+    read = sum(p.observedMetrics["read"].n for p in query.recentProgress if p.observedMetrics)
+    late = read - (_total(spark, f"{path}/counts", key) - before)
+    return StreamRun(read_buckets(spark, f"{path}/counts", key), read, late)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _total(spark: SparkSession, path: str, key: str) -> int:
+    return read_buckets(spark, path, key).agg(F.sum("n").alias("n")).first().n or 0
+
+
+def stream_sliding_rate(run: StreamRun) -> DataFrame:
+    """`sliding_rate` from the 5-minute buckets of a stream."""
+    return window_sums(run.buckets, ["police_station"], 10, 5).withColumn(
+        "per_minute", F.col("violations") / 10
+    )
+
+
+def stream_cell_count_24h(run: StreamRun) -> DataFrame:
+    """`cell_count_24h` from the hourly buckets of a stream."""
+    found = window_sums(run.buckets, ["cell_street"], 24 * 60, 60)
+    return found.withColumnRenamed("cell_street", "cell_id")
+
+
 def write_peaks(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep a table of each station's busiest hour up to date.
 
-    The state is one count per station and hour. Each micro-batch overwrites the
-    table with the peaks of all counts so far, so a repeated batch changes nothing.
+    The state is one count per station and hour. Each micro-batch writes the peaks of all counts
+    so far to a folder of its own; `read_peaks` reads the newest that is complete, so a reader
+    always has a table.
     """
 
-    def replace(counts: DataFrame, _batch_id: int) -> None:
-        running_peak_hour(counts).write.mode("overwrite").parquet(path)
+    def replace(counts: DataFrame, batch_id: int) -> None:
+        running_peak_hour(counts).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         hourly_counts(facts)
@@ -157,48 +227,36 @@ def write_peaks(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def stream_alerts(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hourly counts per cell that exceed the cell's threshold (stream-static join).
+def read_peaks(spark: SparkSession, path: str) -> DataFrame:
+    """The peaks of the newest micro-batch that was written completely."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) or []
+    newest = max(int(x.getPath().getParent().getName().removeprefix("batch=")) for x in done)
+    return spark.read.parquet(f"{path}/batch={newest}")
 
-    `rules(cell_id, threshold)`; a window is reported once, when the watermark closes it.
-    """
-    hourly = (
-        event_time(facts.where(F.col("cell_street").isNotNull()))
-        .withWatermark("event_time", LATENESS)
-        .groupBy(F.window("event_time", "1 hour").alias("w"), "cell_street")
-        .agg(F.count("*").alias("current_count"))
-    )
+
+def _exceeded(hourly: DataFrame, rules: DataFrame) -> DataFrame:
+    named = {"cell_street": "cell_id", "violations": "current_count"}
     return (
-        hourly.withColumnRenamed("cell_street", "cell_id")
+        hourly.withColumnsRenamed(named)
         .join(rules, "cell_id")
         .where(F.col("current_count") > F.col("threshold"))
-        .select(
-            "cell_id",
-            C.utc_wall_clock(F.col("w.start"), "timestamp").alias("window_start"),
-            "current_count",
-            "threshold",
-        )
+        .select("cell_id", "window_start", "current_count", "threshold")
     )
 
 
+def stream_alerts(run: StreamRun, rules: DataFrame) -> DataFrame:
+    """Hourly counts per cell that exceed the cell's threshold, as far as the stream has come.
+    `rules(cell_id, threshold)`."""
+    return _exceeded(window_sums(run.buckets, ["cell_street"], 60, 60), rules)
+
+
 def hourly_alerts(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Batch twin of `stream_alerts`."""
     known = facts.where(F.col("cell_street").isNotNull())
-    hourly = sliding_counts(known, ["cell_street"], 60, 60)
-    return (
-        hourly.withColumnsRenamed({"cell_street": "cell_id", "violations": "current_count"})
-        .join(rules, "cell_id")
-        .where(F.col("current_count") > F.col("threshold"))
-        .select("cell_id", "window_start", "current_count", "threshold")
-    )
-
-
-def run_to_table(ws: Workspace, stream: DataFrame, name: str) -> DataFrame:
-    """Drive a stream through all available input and read what it has written."""
-    path, checkpoint = ws.path(name), ws.path(f"{name}-checkpoint")
-    query = write_append(stream, path, checkpoint)
-    query.awaitTermination()
-    return ws.spark.read.schema(stream.schema).parquet(path)
+    return _exceeded(sliding_counts(known, ["cell_street"], 60, 60), rules)
 
 
 # -- drift --------------------------------------------------------------------------------

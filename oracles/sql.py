@@ -349,8 +349,6 @@ _RELATIONS: list[tuple[str, str, str]] = [
     SELECT police_station, time_bucket(INTERVAL '10 minutes', created_datetime, INTERVAL '5 minutes') FROM f
     WHERE created_datetime IS NOT NULL AND police_station IS NOT NULL) GROUP BY ALL""",
     ),
-    # Time up to which the stream has closed its windows, once it has read everything.
-    ("watermark", "f", "SELECT max(created_datetime) - INTERVAL '1 hour' AS t FROM f"),
     (
         "halves",
         "f line scored",
@@ -759,11 +757,6 @@ ORACLES: dict[str, str] = {
     "sliding_rate": _query(
         "slides", "SELECT *, round(violations / 10e0, 6) AS per_minute FROM slides"
     ),
-    "stream_sliding_rate": _query(
-        "slides watermark",
-        """SELECT slides.*, round(violations / 10e0, 6) AS per_minute FROM slides, watermark
-  WHERE window_start + INTERVAL '10 minutes' <= t""",
-    ),
     "running_peak_hour": _query(
         "f",
         """SELECT police_station, hour_ist::BIGINT AS peak_hour, n AS peak_violations FROM (
@@ -778,11 +771,6 @@ ORACLES: dict[str, str] = {
   count(*) AS violations FROM f, range(24) t(h) WHERE created_datetime IS NOT NULL GROUP BY ALL""",
     ),
     "hourly_alerts": _query("hourly", "SELECT * FROM hourly WHERE current_count > threshold"),
-    "stream_alerts": _query(
-        "hourly watermark",
-        """SELECT hourly.* FROM hourly, watermark WHERE current_count > threshold
-  AND window_start + INTERVAL '1 hour' <= t""",
-    ),
     "score_drift": _query(
         "halves",
         """SELECT bin, coalesce(n_expected, 0) AS n_expected, coalesce(n_actual, 0) AS n_actual,
@@ -794,4 +782,23 @@ ORACLES: dict[str, str] = {
         FROM halves GROUP BY bin))""",
     ),
 }
-ORACLES["stream_peak_hour"] = ORACLES["running_peak_hour"]
+# a stream over all input is its batch twin
+ORACLES |= {
+    "stream_peak_hour": ORACLES["running_peak_hour"],
+    "stream_sliding_rate": ORACLES["sliding_rate"],
+    "stream_cell_count_24h": ORACLES["cell_count_24h"],
+    "stream_alerts": ORACLES["hourly_alerts"],
+    "scan_csv_mixed_headers": ORACLES["scan_csv"],
+    "scan_csv_multiline": """SELECT event_id::VARCHAR AS id,
+  'a "' || event_type || '",' || chr(10) || user_id || chr(10) AS junction_name FROM events""",
+    "parse_dirty_json": """SELECT event_id AS id,
+  CASE event_id % 8 WHEN 0 THEN '["A"] x' WHEN 1 THEN 'A|B' WHEN 2 THEN '99999999999' WHEN 3 THEN '112|x'
+    WHEN 4 THEN '112' WHEN 5 THEN '99999999999' WHEN 6 THEN '1.5' ELSE '"A" "B"' END AS names,
+  CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 7 THEN 0 ELSE 1 END::BIGINT AS n,
+  CASE event_id % 8 WHEN 2 THEN 99999999999 WHEN 5 THEN 99999999999 WHEN 3 THEN 112 WHEN 4 THEN 112
+    ELSE 0 END::BIGINT AS code_sum
+  FROM events""",
+    "coerce_zoned_timestamps": """SELECT event_id AS id, date_trunc('second', ts) + CASE event_id % 6
+  WHEN 0 THEN INTERVAL '-330' MINUTE WHEN 2 THEN INTERVAL '180' MINUTE WHEN 3 THEN NULL
+  ELSE INTERVAL '0' MINUTE END AS created_datetime FROM events""",
+}

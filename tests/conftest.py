@@ -9,7 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from kerbsight.session import build_session
 
     session = build_session(
@@ -20,6 +20,8 @@ def spark():
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")
+    if not (session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()):
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

@@ -24,6 +24,9 @@ def one(spark, expr, value, ddl):
         ('\t ["A"] ', ["A"]),
         ('{"a":1}', ['{"a":1}']),
         ("null and void", ["null and void"]),
+        ('["A"] x', ['["A"] x']),
+        ('["A"]["B"]', ['["A"]["B"]']),
+        ('"A" "B"', ['"A" "B"']),
     ],
 )
 def test_violation_list(spark, text, expected):
@@ -31,7 +34,22 @@ def test_violation_list(spark, text, expected):
 
 
 @pytest.mark.parametrize(
-    "text, expected", [("[112,104]", [112, 104]), ("112", [112]), ("bad", []), (None, [])]
+    "text, expected",
+    [
+        ("[112,104]", [112, 104]),
+        ("112", [112]),
+        ("bad", []),
+        (None, []),
+        ("99999999999", [99999999999]),
+        ("[99999999999]", [99999999999]),
+        ('[112,"x"]', [112, None]),
+        ('["112"]', [112]),
+        ('"112"', [112]),
+        ("1.5", [None]),
+        ("[112] x", []),
+        ("[]", []),
+        ("[null, -3]", [None, -3]),
+    ],
 )
 def test_offence_list(spark, text, expected):
     assert one(spark, C.offence_list, text, "string") == expected
@@ -52,6 +70,14 @@ def test_first_or_unknown(spark):
         ("2024-01-01", dt.datetime(2024, 1, 1)),
         ("garbage", None),
         (None, None),
+        ("2024-01-01 10:00:00 Asia/Kolkata", dt.datetime(2024, 1, 1, 4, 30)),
+        ("2024-01-01 10:00:00 IST", None),
+        ("2024-01-01 10:00:00 EST", None),
+        ("2024-01-01 10:00:00 GMT", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01 10:00:00 UTC", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01 10:00:00-0300", dt.datetime(2024, 1, 1, 13)),
+        ("2024-01-01T10:00", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01 10:00:00.5 Nowhere/Land", None),
     ],
 )
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from kerbsight.functions.hexgrid import CITY
 from kerbsight.operators import heatmap
@@ -19,6 +20,35 @@ def test_csv_keeps_quotes_spaces_and_microseconds(spark, tmp_path):
     assert got["vehicle_type"] is None  # absent in the file
 
 
+def test_files_with_different_headers_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,latitude,longitude\n1,12.9,77.6\n")
+    (tmp_path / "b.csv").write_text("\ufeffid,longitude,extra,latitude\n2,77.5,x,12.8\n3,77.4,y,12.7\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = files.scan_csv(spark, str(tmp_path)).collect()
+    got = {r["id"]: (r["latitude"], r["longitude"], r["extra"]) for r in rows}
+    assert got == {"1": (12.9, 77.6, None), "2": (12.8, 77.5, "x"), "3": (12.7, 77.4, "y")}
+
+
+def test_line_feeds_in_fields_survive(spark, tmp_path):
+    text = 'two\nlines, a "quote"\r\nand more'
+    df = spark.createDataFrame([("1", text), ("2", "plain")], "id string, junction_name string")
+    files.sink_csv(df, str(tmp_path / "x"))
+    got = {r["id"]: r["junction_name"] for r in files.scan_csv(spark, str(tmp_path / "x")).collect()}
+    assert got["2"] == "plain" and got["1"].replace("\r\n", "\n") == text.replace("\r\n", "\n")
+
+
+def test_other_schemas_get_no_violation_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,n\nx,1\n")
+    df = files.scan_csv(spark, str(tmp_path), T.StructType.fromDDL("k string, n int, m double"))
+    assert df.columns == ["k", "n", "m"] and tuple(df.first()) == ("x", 1, None)
+
+
+def test_malformed_rows_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,latitude\n1,12.5\n2,north\n3,12.6,surplus\n")
+    rows = files.scan_csv(spark, str(tmp_path), malformed="_bad").collect()
+    assert {r["id"]: r["_bad"] for r in rows} == {"1": None, "2": "2,north", "3": "3,12.6,surplus"}
+
+
 def test_missing_file_is_reported(spark, tmp_path):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         files.scan_csv(spark, str(tmp_path / "none"))
@@ -71,7 +101,7 @@ def test_workspace_reads_what_it_wrote_and_cleans_up(spark):
 
 
 class FakeSession:
-    """A session on the given master whose configuration names no checkpoint folder."""
+    """A session whose configuration names no checkpoint folder."""
 
     def __init__(self, master, folder=None):
         self.conf = self
@@ -85,15 +115,20 @@ class FakeSession:
         return self.folder
 
     def setCheckpointDir(self, folder):
-        self.folder = f"file:{folder}"
+        self.folder = folder
 
 
-def test_only_a_local_session_may_choose_its_own_folder():
+@pytest.mark.parametrize("master", ["yarn", "local[2]", "local-cluster[2,1,1024]"])
+def test_no_session_chooses_its_own_folder(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        checkpoint_root(FakeSession("yarn"))
-    assert checkpoint_root(FakeSession("yarn", "hdfs:/shared/")) == "hdfs:/shared"
-    local = FakeSession("local[2]")
-    assert checkpoint_root(local) == local.folder
+        checkpoint_root(FakeSession(master))
+    assert checkpoint_root(FakeSession(master, "hdfs:/shared/")) == "hdfs:/shared"
+
+
+def test_a_workspace_with_a_root_gives_the_context_a_folder():
+    session = FakeSession("yarn")
+    assert Workspace(session, "hdfs:/mine").root.startswith("hdfs:/mine/run-")
+    assert session.folder == "hdfs:/mine/checkpoints"
 
 
 def test_unsorted_dates_can_be_written_without_a_shuffle(spark, tmp_path, city):
