@@ -19,14 +19,15 @@ from kerbsight.operators import (
     priority,
     quality,
 )
-from kerbsight.plans.batch import CityTables
+from kerbsight.plans.batch import CityTables, write_tables
 from kerbsight.session import Workspace
 from kerbsight.sources import files
 from kerbsight.sources.events import read_violations
 from kerbsight.streaming import rates
 from oracles.sql import DATE_FROM, DATE_TO, DRIFT_DATE, ORACLES
 
-GBT_ROUNDS = 20
+GBT_ROUNDS = 200
+MIN_R2 = 0.95
 JUNCTION_TEXT = "junction 3"
 JUNCTION_NAME = "Junction 2"
 
@@ -307,6 +308,13 @@ def _heatmap(resolution, start=None, end=None):
     return query
 
 
+def heatmap_metadata(spark, sf):
+    found = tables(spark, sf).heatmap(9, DATE_FROM, DATE_TO)
+    return heatmap.collection_metadata(
+        heatmap.geojson_features(found, STREET), 9, DATE_FROM, DATE_TO
+    )
+
+
 def geojson_features(spark, sf):
     street = tables(spark, sf).heatmap(9)
     found = heatmap.geojson_features(street, STREET)
@@ -393,6 +401,32 @@ def feature_importance(spark, sf):
     return model.metrics.select(F.inline(F.array(*pairs)), "mae", "r2")
 
 
+def congestion_gbt_cells(spark, sf):
+    """Every cell has one score of the boosted model, between 0 and 1."""
+    scored = tables(spark, sf, "gbt").scored
+    return scored.select("cell_id", F.col("congestion_score").between(0, 1).alias("in_range"))
+
+
+def congestion_gbt_model(spark, sf):
+    """What must hold for the boosted model on any input: one row."""
+    t = tables(spark, sf, "gbt")
+    shares = list(t.model.importance.values())
+    score = F.col("congestion_score")
+    fit = t.model.metrics.agg(F.max("r2")).scalar()
+    return t.scored.agg(F.min(score).alias("low"), F.max(score).alias("high")).select(
+        "low",
+        "high",
+        (fit > MIN_R2).alias("fits_held_out_cells"),
+        F.lit(len(shares)).alias("features"),
+        F.lit(all(0 <= x <= 100 for x in shares) and abs(sum(shares) - 100) <= 0.5).alias("shares_sum_to_100"),
+    )
+
+
+def priority_queue_gbt(spark, sf):
+    """The queue of the product path, without the model's own figures."""
+    return _flat_queue(tables(spark, sf, "gbt").queue).drop("congestion_score")
+
+
 def regression_metrics(spark, sf):
     return tables(spark, sf).model.metrics
 
@@ -532,6 +566,28 @@ def station_risk_panel(spark, sf):
     return lookups.risk_panel(cards).join(lookups.score_ranks(t.ws, cards), "name", "left")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> CityTables:
+    """The tables of one input folder as a run has written them, written once per application."""
+    t = tables(spark, sf_dir)
+    if not hasattr(t, "published"):
+        t.published = t.ws.path("published")
+        files.sink_parquet(t.facts, f"{t.published}/cleaned_violations", ["date_ist"])
+        write_tables(t, t.published)
+    return CityTables.open(spark, t.published, method="ols", ws=t.ws)
+
+
+def station_scorecard_stored(spark, sf):
+    return lookups.station_scorecard(stored(spark, sf).scored_stations)
+
+
+def heatmap_stored(spark, sf):
+    return stored(spark, sf).heatmap(9)
+
+
+def heatmap_date_range_stored(spark, sf):
+    return stored(spark, sf).heatmap(9, DATE_FROM, DATE_TO).drop("hq", "hr")
+
+
 def city_totals(spark, sf):
     return tables(spark, sf).totals()
 
@@ -628,16 +684,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         time_features, clean_junction, severity, minmax_normalize, tier_case,
         dq_duplicate_ids, dq_duplicate_lineitem_keys, dq_geo_outliers, dq_closed_before_created,
         dq_shipped_before_ordered, dq_report,
-        hex_bin, hex_centroid, hex_boundary, geojson_features, density_bands,
+        hex_bin, hex_centroid, hex_boundary, heatmap_metadata, geojson_features, density_bands,
         cell_features, station_features, temporal_profile, recurrence_cell, recurrence_station,
         hot_cells, eps_neighbours, dbscan_clusters, hotspot_rank, hotspot_density,
         hotspot_summary, train_test_split, congestion_gbt, feature_importance,
+        congestion_gbt_cells, congestion_gbt_model, priority_queue_gbt,
         regression_metrics, congestion_score, station_congestion,
         priority_queue, priority_top50, station_priority, station_priority_by_count,
         tier_counts, queue_positions, queue_filtered,
         station_scorecard, station_lookup, station_factors, junction_scorecard, junction_lookup,
         junction_search, junction_factors, junction_cells_semi, threshold_alerts,
         dashboard_stats, station_risk_panel, city_totals,
+        station_scorecard_stored, heatmap_stored, heatmap_date_range_stored,
         sliding_rate, running_peak_hour, cell_count_24h, hourly_alerts,
         stream_sliding_rate, stream_cell_count_24h, stream_alerts, stream_peak_hour, score_drift,
     )

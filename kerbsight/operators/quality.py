@@ -9,6 +9,8 @@ from kerbsight.schema import missing_required
 
 GEO_ERROR_SHARE = 0.05
 JUNCTION_WARNING_SHARE = 0.5
+#: The column in which a scan keeps the text of rows that it couldn't read, if it does
+MALFORMED = "_malformed"
 
 
 class ValidationError(RuntimeError):
@@ -76,11 +78,15 @@ def measures(df: DataFrame) -> DataFrame:
         closed_before_created(created, closed).alias("closed_before_created"),
         F.count_if(closed.isNull()).alias("closed_datetime_null"),
         F.count_if(no_junction).alias("no_junction"),
+        F.count_if(
+            F.col(MALFORMED).isNotNull() if MALFORMED in df.columns else F.lit(False)
+        ).alias("malformed_rows"),
     ).withColumns(
         {
             "duplicate_ids": count_duplicates(df, ["id"]).scalar(),
             "has_closed": F.lit(has_closed),
             "has_junction": F.lit(has_junction),
+            "has_malformed": F.lit(MALFORMED in df.columns),
         }
     )
 
@@ -88,6 +94,8 @@ def measures(df: DataFrame) -> DataFrame:
 def report(df: DataFrame) -> DataFrame:
     """Long table `check, status, value, pct, message`, one row per check that applies.
 
+    Rows that the scan couldn't read are counted where it has kept them (`MALFORMED`).
+
     The last row, `summary`, carries the number of passed checks in `value`; as in the
     published reports only duplicate ids withhold a pass, while `status` tells the truth
     about every single check.
@@ -182,6 +190,13 @@ def report(df: DataFrame) -> DataFrame:
                 pct1(junction_share),
             ),
         ),
+        line(
+            "malformed_rows",
+            warn(n("malformed_rows")),
+            n("malformed_rows"),
+            None,
+            F.format_string("Malformed input rows: %,d", n("malformed_rows")),
+        ),
         line(
             "summary",
             F.when(failed > 0, "error").otherwise("ok"),
@@ -195,6 +210,9 @@ def report(df: DataFrame) -> DataFrame:
     )
     skip = F.concat(
         absent,
+        F.when(~n("has_malformed"), F.array(F.lit("malformed_rows"))).otherwise(
+            F.array().cast("array<string>")
+        ),
         F.when(~n("has_junction"), F.array(F.lit("no_junction"))).otherwise(
             F.array().cast("array<string>")
         ),
@@ -207,7 +225,7 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def gate(df: DataFrame) -> list[str]:
-    """Raise on errors, return the warnings. Reads the report, at most seven rows."""
+    """Raise on errors, return the warnings. Reads the report, at most eight rows."""
     found = report(df).where("status != 'ok' AND check != 'summary'").collect()
     errors = [r["message"] for r in found if r["status"] == "error"]
     if errors:

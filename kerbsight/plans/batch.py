@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -140,6 +141,59 @@ class CityTables:
     def close(self) -> None:
         self.ws.close()
 
+    @classmethod
+    def open(cls, spark: SparkSession, out: str, **options) -> CityTables:
+        """The tables that `run` has written below `out`, read instead of built.
+
+        A table is read when it is first used, and built from those before it if no job has
+        committed it. The cleaned facts must be there.
+        """
+        facts = files.scan_parquet(spark, f"{out}/cleaned_violations").drop(quality.MALFORMED)
+        tables = _Stored(spark, facts, **options)
+        tables.out = out
+        tables.facts = facts  # already enriched
+        return tables
+
+
+class _Stored(CityTables):
+    """`CityTables` whose main tables live below `out`."""
+
+    out: str
+
+    def _stored(self, name: str, build) -> DataFrame:
+        return files.build_if_missing(self.spark, f"{self.out}/{name}", build)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return self._stored("cell_features", lambda: CityTables.scored.func(self))
+
+    @cached_property
+    def hotspots(self) -> DataFrame:
+        if files.is_written(self.spark, f"{self.out}/cell_features"):
+            return self.scored.drop("congestion_raw", "congestion_score")
+        return CityTables.hotspots.func(self)
+
+    @cached_property
+    def scored_stations(self) -> DataFrame:
+        return self._stored("station_features", lambda: CityTables.scored_stations.func(self))
+
+    @cached_property
+    def temporal_profile(self) -> DataFrame:
+        return self._stored("temporal_profiles", lambda: CityTables.temporal_profile.func(self))
+
+    def heatmap(
+        self,
+        resolution: int = 9,
+        start: str | dt.date | None = None,
+        end: str | dt.date | None = None,
+    ) -> DataFrame:
+        """The stored features of the whole period; a date range is computed from the facts, of
+        which it reads the folders of its dates."""
+        name = f"{self.out}/heatmap_{'street' if resolution == 9 else 'city'}"
+        if start or end or not files.is_written(self.spark, name):
+            return super().heatmap(resolution, start, end)
+        return files.scan_geojson(self.spark, name).select("feature.properties.*")
+
 
 def run(
     spark: SparkSession,
@@ -152,21 +206,37 @@ def run(
 ) -> CityTables:
     """Clean, validate and score a violations CSV and write every output table below `out`.
 
-    The cleaned facts are written first, partitioned by local date, and all later steps read that
-    table. Raises `ValidationError` when the quality gate finds an error.
+    The cleaned facts are written to a staging folder, partitioned by local date, and validated
+    there. Only when the quality gate finds no error do they replace the facts of the run before;
+    otherwise `ValidationError` is raised and every table below `out` is as it was. All later
+    steps read the published facts.
 
     Bringing the rows of a date together shuffles all facts once. Say `ordered_by_date` for
     input that already arrives by date: each task then writes its few dates without a shuffle.
     """
-    raw = files.scan_csv(spark, csv_path)
-    files.sink_parquet(
-        enrich(raw), f"{out}/cleaned_violations", ["date_ist"], rebalance=not ordered_by_date
-    )
-    facts = files.scan_parquet(spark, f"{out}/cleaned_violations")
-    quality.gate(facts)
+    raw = files.scan_csv(spark, csv_path, malformed=quality.MALFORMED)
+    staging = f"{out}/staging-{uuid.uuid4().hex}"
+    try:
+        files.sink_parquet(enrich(raw), staging, ["date_ist"], rebalance=not ordered_by_date)
+        quality.gate(files.scan_parquet(spark, staging))
+        files.publish(spark, staging, f"{out}/cleaned_violations")
+    finally:
+        files.remove(spark, staging)
+    facts = files.scan_parquet(spark, f"{out}/cleaned_violations").drop(quality.MALFORMED)
 
     tables = CityTables(spark, facts, method=method, rounds=rounds)
     tables.facts = facts  # already enriched
+    try:
+        write_tables(tables, out)
+    except BaseException:
+        tables.close()
+        raise
+    return tables
+
+
+def write_tables(tables: CityTables, out: str) -> None:
+    """Write every table but the facts below `out`."""
+    spark = tables.spark
     files.sink_parquet(tables.temporal_profile, f"{out}/temporal_profiles")
     for name, grid in (("city", CITY), ("street", STREET)):
         cells = heatmap.heatmap(tables.rollup, grid)
@@ -188,6 +258,5 @@ def run(
         {"mae": found["mae"], "r2": found["r2"]},
         model.feature_columns,
     )
-    if method == "gbt":
+    if tables.method == "gbt":
         model.model.write().overwrite().save(f"{out}/model")
-    return tables

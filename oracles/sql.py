@@ -782,8 +782,20 @@ ORACLES: dict[str, str] = {
         FROM halves GROUP BY bin))""",
     ),
 }
-# a stream over all input is its batch twin
+# a stream over all input is its batch twin, and a stored table the one it was written from
 ORACLES |= {
+    "station_scorecard_stored": ORACLES["station_scorecard"],
+    "heatmap_stored": _query("f", f"SELECT {_HEAT_COLUMNS} FROM ({_STREET_HEAT})"),
+    "heatmap_date_range_stored": ORACLES["heatmap_date_range"],
+    "heatmap_metadata": _query(
+        "f",
+        f"""SELECT 9::BIGINT AS resolution, '{DATE_FROM}' AS start, '{DATE_TO}' AS "end",
+  count(DISTINCT cell_street)::BIGINT AS feature_count FROM f WHERE {_RANGE}""",
+    ),
+    "congestion_gbt_cells": _query("cells", "SELECT cell_id, true AS in_range FROM cells"),
+    "congestion_gbt_model": """SELECT 0e0 AS low, 1e0 AS high, true AS fits_held_out_cells,
+  7::BIGINT AS features, true AS shares_sum_to_100""",
+    "priority_queue_gbt": f"SELECT * EXCLUDE (congestion_score) FROM ({ORACLES['priority_queue']})",
     "stream_peak_hour": ORACLES["running_peak_hour"],
     "stream_sliding_rate": ORACLES["sliding_rate"],
     "stream_cell_count_24h": ORACLES["cell_count_24h"],

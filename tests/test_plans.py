@@ -32,11 +32,40 @@ def test_run_writes_every_table(spark, tmp_path, violations, city):
     tables.close()
 
 
-def test_run_stops_at_the_gate(spark, tmp_path, violations):
-    raw = str(tmp_path / "raw")
-    files.sink_csv(violations.withColumn("latitude", F.lit(0.0)), raw)
+def tree(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in Path(folder).rglob("*") if p.is_file()}
+
+
+def test_a_rejected_input_leaves_all_outputs_as_they_were(spark, tmp_path, violations):
+    raw, bad, out = (str(tmp_path / x) for x in ("raw", "bad", "out"))
+    files.sink_csv(violations, raw)
+    run(spark, raw, out, method="ols").close()
+    before = tree(out)
+    files.sink_csv(violations.withColumn("latitude", F.lit(0.0)), bad)
     with pytest.raises(ValidationError, match="geo outliers"):
-        run(spark, raw, str(tmp_path / "out"), method="ols")
+        run(spark, bad, out, method="ols")
+    assert tree(out) == before
+    files.sink_csv(violations.limit(300), raw)
+    run(spark, raw, out, method="ols").close()
+    assert spark.read.parquet(f"{out}/cleaned_violations").count() == 300
+    assert not [p for p in Path(out).iterdir() if p.name.startswith("staging")]
+
+
+def test_stored_tables_are_read_and_missing_ones_built(spark, tmp_path, violations, ws):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    files.sink_csv(violations, raw)
+    built = run(spark, raw, out, method="ols")
+    key = ["police_station", "violation_count", "congestion_score"]
+    want = sorted(map(tuple, built.scored_stations.select(*key).collect()))
+    built.close()  # nothing of the run's workspace is needed any more
+    opened = CityTables.open(spark, out, method="ols", ws=ws)
+    assert sorted(map(tuple, opened.scored_stations.select(*key).collect())) == want
+    assert "rollup" not in vars(opened) and "cells" not in vars(opened)
+    assert opened.heatmap(9).count() == opened.scored.count()
+    files.remove(spark, f"{out}/station_features")
+    again = CityTables.open(spark, out, method="ols", ws=ws)
+    assert sorted(map(tuple, again.scored_stations.select(*key).collect())) == want
+    assert files.is_written(spark, f"{out}/station_features")
 
 
 def test_unknown_method(spark, violations):

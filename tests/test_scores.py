@@ -88,9 +88,9 @@ def test_all_scores_lie_in_the_unit_interval(city):
 
 
 def test_trees_fit_about_as_well_as_the_line(spark, violations, city):
-    model = congestion.train_gbt(city.hotspots, rounds=10)
+    model = congestion.train_gbt(city.hotspots, rounds=200)
     line, trees = city.model.metrics.first(), model.metrics.first()
-    assert trees["r2"] > line["r2"] - 0.4
+    assert trees["r2"] > line["r2"] - 0.02
     assert sum(model.importance.values()) == pytest.approx(100, abs=0.5)
     evaluated = congestion.evaluate(model, city.hotspots)
     assert evaluated["mae"] == pytest.approx(trees["mae"]) and evaluated["r2"] == pytest.approx(trees["r2"])
