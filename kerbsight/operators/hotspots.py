@@ -81,12 +81,11 @@ def dbscan(ws: Workspace, hot: DataFrame, params: HotspotParams = HotspotParams(
         "pairs",
         eps_neighbours(numbered.select("id", "hq", "hr", "lat", "lng"), params.grid, params.eps_deg),
     )
-    core = ws.save(
-        "core",
+    core = (
         pairs.groupBy(F.col("a").alias("node"))
         .agg(F.count("*").alias("degree"))
         .where(F.col("degree") >= params.min_samples)
-        .select("node"),
+        .select("node")
     )
     # A cell occurs in at most as many pairs as there are offsets: these joins cannot be skewed.
     to_core = pairs.join(core.withColumnRenamed("node", "b"), "b", "left_semi")

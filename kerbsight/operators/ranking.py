@@ -5,9 +5,10 @@ None of them gathers a group, or the whole table, in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kerbsight.session import Workspace
 
@@ -78,14 +79,21 @@ def grouped_percentile(
     )
 
 
+def salt_count(spark: SparkSession) -> int:
+    """The square root of the number of shuffle partitions: a key that a third of all rows share
+    gets that many tasks, and the side that is copied grows no more than that."""
+    return math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+
+
 def salted_lookup(
-    left: DataFrame, right: DataFrame, on: str, spread: Sequence[str], salts: int = 16
+    left: DataFrame, right: DataFrame, on: str, spread: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """Left join to a table with unique keys when many left rows may share one key.
 
     Left rows of a key go to `salts` tasks, chosen by the `spread` columns; every right row is
-    copied once per salt. No hint: the measured size decides between broadcast and shuffle.
+    copied once per salt (see `salt_count` for the default). No hint: the measured size decides between broadcast and shuffle.
     """
+    salts = salts or salt_count(left.sparkSession)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     copies = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))

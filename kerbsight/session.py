@@ -56,7 +56,9 @@ class Workspace:
         return f"{self.root}/{self._written:04d}-{name}"
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        path = self.path(name)
+        return self.save_at(self.path(name), df)
+
+    def save_at(self, path: str, df: DataFrame) -> DataFrame:
         df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
