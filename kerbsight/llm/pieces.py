@@ -42,8 +42,8 @@ N_BEST = 3
 STORE = 100_000
 LONG_PART = 64
 SHORT = 24  # characters of a text that is solved together with others
-_TOGETHER = 8192
-_SLICE = 2 << 20  # bytes of text whose segmentations are held at once
+_TOGETHER = 4096
+_SLICE = 4 << 20  # bytes of text whose segmentations are held at once
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _ROWS = 1024  # rows decoded together
@@ -130,6 +130,41 @@ class Lattice:
 Part = tuple[float, bytes, float]
 
 
+class Decoder:
+    """The bytes of all pieces."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        m = SentencePieceProcessor(model_file=path)
+        text = [self.letters_of(m, i) for i in range(m.vocab_size())]
+        self.sizes = np.array([len(x) for x in text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(text), np.uint8)
+
+    @staticmethod
+    def letters_of(model, i: int) -> bytes:
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            return bytes([int(piece[3:5], 16)])
+        if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            return b""
+        return piece.replace(SPACE, " ").encode()
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of consecutive runs of ids that end at `ends`: bytes of all pieces are gathered
+        at once from the vocabulary's."""
+        sizes = self.sizes[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(stops[-1]) + np.repeat(self.starts[ids] - stops[:-1], sizes)
+        data, out, at = self.letters[place].tobytes(), [], 0
+        for end in stops[ends].tolist():
+            skip = data[at : at + 1] == b" " and end > at
+            out.append(data[at + skip : end].decode("utf-8", "replace"))
+            at = end
+        return out
+
+
 class Trie:
     """The vocabulary as a trie in arrays, to solve the lattices of many short texts at once."""
 
@@ -241,20 +276,12 @@ class Pieces:
         self.model = m = SentencePieceProcessor(model_file=path)
         self.known: dict[str, tuple[float, bytes]] = {}
         self.bytes: dict[int, bytes] = {}
-        self.text: list[bytes] = []
         for i in range(m.vocab_size()):
             piece, data = m.id_to_piece(i), np.int32(i).tobytes()
             if m.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = data
-                self.text.append(bytes([int(piece[3:5], 16)]))
-            elif m.is_control(i) or m.is_unknown(i) or m.is_unused(i):
-                self.text.append(b"")
-            else:
+            elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.known[piece] = (m.get_score(i), data)
-                self.text.append(piece.replace(SPACE, " ").encode())
-        self.sizes = np.array([len(x) for x in self.text], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.letters = np.frombuffer(b"".join(self.text), np.uint8)
         self.unknown_id = np.int32(m.unk_id()).tobytes()
         self.lowest = min((x[0] for x in self.known.values()), default=0.0) - 10.0
         self.longest = max(map(len, self.known), default=1)
@@ -324,7 +351,8 @@ class Pieces:
     def solve_short(self, texts: list[str]) -> list[Part | None]:
         """Distinct texts that are short and of known characters together; None for the others."""
         out: list[Part | None] = [None] * len(texts)
-        short = [i for i, x in enumerate(texts) if len(x) <= SHORT]
+        # by length: a batch takes as many steps as its longest text has characters
+        short = sorted((i for i, x in enumerate(texts) if len(x) <= SHORT), key=lambda i: len(texts[i]))
         for lo in range(0, len(short), _TOGETHER):
             some = short[lo : lo + _TOGETHER]
             for i, part in zip(some, self.trie.solve([texts[i] for i in some]), strict=True):
@@ -409,19 +437,6 @@ class Pieces:
             places = np.arange(len(gaps))
         return places[np.isfinite(gaps[places])].tolist()
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """The texts of consecutive runs of ids that end at `ends`: bytes of all pieces are gathered
-        at once from the vocabulary's."""
-        sizes = self.sizes[ids]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.arange(stops[-1]) + np.repeat(self.starts[ids] - stops[:-1], sizes)
-        data, out, at = self.letters[place].tobytes(), [], 0
-        for end in stops[ends].tolist():
-            skip = data[at : at + 1] == b" " and end > at
-            out.append(data[at + skip : end].decode("utf-8", "replace"))
-            at = end
-        return out
-
 
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
@@ -429,6 +444,11 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def nested(found: list[list[tuple[float, np.ndarray]]]) -> pa.Array:
     """An array of (score, ids) for each text."""
     flat = [x for of in found for x in of]
@@ -462,7 +482,7 @@ def decode(df: DataFrame, model: str, ids_col: str, text_col: str) -> DataFrame:
     """`df` with the text of its ids in `text_col`; null ids give a null text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pieces(model)
+        vocabulary = decoder(model)
         for batch in batches:
             for part in (batch.slice(i, _ROWS) for i in range(0, len(batch), _ROWS)):
                 lists = part.column(ids_col)
@@ -484,7 +504,7 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     rows = rows_of(docs, "doc_id", "text")
-    rows = rows.withColumn("_sum", F.xxhash64(F.regexp_replace("_text", SPACE, " ")))
+    rows = rows.withColumn("_sum", F.xxhash64(F.replace(F.col("_text"), F.lit(SPACE), F.lit(" "))))
     each = encode(rows, model).select("_id", "_sum", F.posexplode("n_best").alias("at", "x"))
     each = each.select("_id", "_sum", (F.col("at") + 1).alias("rank"), "x.score", "x.ids")
     decoded = decode(each, model, "ids", "_decoded")

@@ -120,7 +120,7 @@ def test_documents_round_trip(spark, odd, odd_rows):
 
 def test_replaced_spaces_come_back_as_spaces(model):
     (found,) = model.n_best(["a▁b"], 1)
-    assert model.decode(found[0][1], np.array([len(found[0][1])])) == ["a b"]
+    assert P.Decoder(MODEL).decode(found[0][1], np.array([len(found[0][1])])) == ["a b"]
 
 
 def test_nothing_and_other_columns(spark, nothing, odd):
