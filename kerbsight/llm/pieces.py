@@ -39,11 +39,11 @@ from kerbsight.llm.common import rows_of, table
 from kerbsight.llm.words import Coded, Gathered, Store, coded, slices
 
 N_BEST = 3
-STORE = 100_000
+STORE = 60_000
 LONG_PART = 64
 SHORT = 24  # characters of a text that is solved together with others
 _TOGETHER = 4096
-_SLICE = 4 << 20  # bytes of text whose segmentations are held at once
+_SLICE = 6 << 20  # bytes of text whose segmentations are held at once
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _ROWS = 1024  # rows decoded together
@@ -351,8 +351,10 @@ class Pieces:
     def solve_short(self, texts: list[str]) -> list[Part | None]:
         """Distinct texts that are short and of known characters together; None for the others."""
         out: list[Part | None] = [None] * len(texts)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        short = np.flatnonzero(lens <= SHORT)
         # by length: a batch takes as many steps as its longest text has characters
-        short = sorted((i for i, x in enumerate(texts) if len(x) <= SHORT), key=lambda i: len(texts[i]))
+        short = short[np.argsort(lens[short], kind="stable")].tolist()
         for lo in range(0, len(short), _TOGETHER):
             some = short[lo : lo + _TOGETHER]
             for i, part in zip(some, self.trie.solve([texts[i] for i in some]), strict=True):
@@ -399,9 +401,10 @@ class Pieces:
         parts = self.stored.all(found.words, self.solve_all)
         scores, arrays, gaps = zip(*parts, strict=True) if parts else ((), (), ())
         best = Gathered(list(arrays), np.dtype(np.int32), found.codes)
-        sums = np.concatenate([[0.0], np.cumsum(np.array(scores, float)[found.codes])])
+        own = np.array(scores, float)
+        sums = np.concatenate([[0.0], np.cumsum(own[found.codes])])
         gaps = np.array(gaps, float)[found.codes]
-        exact = np.abs(sums).max() < 2**53 and all(s == int(s) for s in scores)
+        exact = np.abs(sums).max() < 2**53 and bool((own == np.floor(own)).all())
         out = []
         for a, z in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
             score = sums[z] - sums[a] if exact else sum(scores[c] for c in found.codes[a:z].tolist())
