@@ -190,3 +190,82 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(F.col("spans")).alias("spans"),
         "n_entropy",
     )
+
+
+def _sql() -> str:
+    """The same in SQL: matches and what lies between them are unnested, running sums of their
+    lengths are the places; entropy sums are counted anew for every window."""
+
+    def places(name: str, source: str, key: str, text: str, regex: str) -> str:
+        quoted = regex.replace("'", "''")
+        return f"""
+{name} AS (
+  SELECT {key}, m[i] AS value, CAST(sum(length(p[i]) + length(m[i])) OVER w - length(m[i]) AS BIGINT) AS pos
+  FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (
+    SELECT {key}, regexp_extract_all({text}, '{quoted}') AS m, string_split_regex({text}, '{quoted}') AS p
+    FROM {source}))
+  WINDOW w AS (PARTITION BY {key} ORDER BY i))"""
+
+    assign = ASSIGN.replace("*+", "*").replace("++", "+")
+    value = assign.replace("'", "''")
+    kinds = [
+        ("assign", f"length(regexp_extract(value, '{value}', 2)) >= {ASSIGN_VALUE}"),
+        ("access", "true"),
+        ("hex", "true"),
+    ]
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, pos, {k} AS o, '{name}' AS kind, pos + length(value) AS stop FROM {name}s WHERE {ok}"
+        for k, (name, ok) in enumerate(kinds)
+    )
+    allowed = " OR ".join(f"regexp_matches(value, '{a}')" for a in ALLOWED)
+    parts = [
+        "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
+        places("assigns", "docs", "doc_id", "text", assign).strip(),
+        places("accesss", "docs", "doc_id", "text", "AKIA[A-Z0-9]{14,}").strip(),
+        places("hexs", "docs", "doc_id", "text", "[0-9a-f]{16,}").strip(),
+        places("runs", "docs", "doc_id", "text", f"[A-Za-z0-9+/_=-]{{{WINDOW},}}").strip(),
+        f"base AS ({base})",
+        f"""cand AS (
+  SELECT doc_id, pos AS run_at, value AS run, row_number() OVER () AS rid FROM runs
+  WHERE regexp_matches(value, '[0-9]') AND NOT ({allowed}))""",
+    ]
+    hot = []
+    for c in CLASSES:
+        regex = c.runs.replace("}+", "}")
+        parts.append(places(f"{c.name}_runs", "cand", "rid, doc_id, run_at", "run", regex).strip().replace("PARTITION BY rid, doc_id, run_at", "PARTITION BY rid"))
+        parts.append(
+            f"""{c.name}_windows AS (
+  SELECT doc_id, run_at + pos AS a, value, unnest(generate_series(0, length(value) - {WINDOW})) AS k,
+         run_at, pos FROM {c.name}_runs),
+{c.name}_sums AS (
+  SELECT doc_id, a, k, CAST(sum(round(n * log2(n) * {UNIT})) AS BIGINT) AS s
+  FROM (SELECT doc_id, a, k, ch, count(*) AS n
+        FROM (SELECT doc_id, a, k, unnest(string_split(substr(value, k + 1, {WINDOW}), '')) AS ch FROM {c.name}_windows)
+        GROUP BY ALL) GROUP BY ALL),
+{c.name}_hot AS (
+  SELECT doc_id, a + min(k) AS pos, a + max(k) + {WINDOW} AS stop FROM {c.name}_sums
+  WHERE s <= {limit(c.bits)} GROUP BY doc_id, a)"""
+        )
+        hot.append(f"SELECT * FROM {c.name}_hot")
+    parts.append(
+        f"""extra AS (
+  SELECT DISTINCT h.doc_id, h.pos, 3 AS o, 'entropy' AS kind, h.stop FROM ({" UNION ".join(hot)}) h
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.pos < h.stop AND h.pos < b.stop))"""
+    )
+    spelled = "string_agg(kind || ':' || pos || ':' || stop, ',' ORDER BY pos, o, kind, stop)"
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM docs d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'entropy') AS n_entropy,
+         string_agg(kind || ':' || pos || ':' || stop, ',' ORDER BY pos, o) FILTER (WHERE o < 3) AS base_spans,
+         {spelled} AS spans
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) GROUP BY doc_id) s ON s.doc_id = d.doc_id"""
+    )
+
+
+OP7_SQL = _sql()

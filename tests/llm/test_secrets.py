@@ -104,3 +104,17 @@ def test_the_limit_is_the_entropy(bits):
         == (math.log2(20) - sum(n * math.log2(n) for n in c) / 20 >= bits - 1e-9)
         for c in ([1] * 20, [2] * 10, [5] * 4, [4] * 5, [3] * 6 + [2], [2] * 3 + [1] * 14, [2] * 5 + [1] * 10, [3, 3] + [1] * 14)
     )
+
+
+def test_the_sql_gives_the_same(spark, frame, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(texts()) if "é" not in t]
+    folder = f"{tmp_path}/x"
+    frame(rows).write.parquet(f"{folder}/documents.parquet")
+    got = S.op7_secret_scan(spark, folder).toPandas().sort_values("doc_id", ignore_index=True)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = con.execute(S.OP7_SQL).df().sort_values("doc_id", ignore_index=True)[list(got.columns)]
+    assert got.to_dict("records") == want.to_dict("records")
+    assert got["n_entropy"].sum() > 20
