@@ -43,10 +43,10 @@ STORE = 60_000
 LONG_PART = 64
 SHORT = 24  # characters of a text that is solved together with others
 _TOGETHER = 4096
-_SLICE = 6 << 20  # bytes of text whose segmentations are held at once
+_SLICE = 3 << 20  # bytes of text whose segmentations are held at once
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_ROWS = 1024  # rows decoded together
+_ROWS = 256  # rows of an outgoing batch, and decoded together
 
 #: score, ids as int32 bytes
 Found = tuple[float, bytes]
@@ -472,9 +472,11 @@ def encode(rows: DataFrame, model: str, n: int = N_BEST, text_col: str = "_text"
         for batch in batches:
             for part in slices(batch, text_col, _SLICE):
                 found = vocabulary.n_best([x or "" for x in part.column(text_col).to_pylist()], n)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), nested(found)], [*keep, "n_best"]
-                )
+                for i in range(0, len(part), _ROWS):
+                    columns = [part.column(c).slice(i, _ROWS) for c in keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, nested(found[i : i + _ROWS])], [*keep, "n_best"]
+                    )
 
     kinds = dict(rows.dtypes)
     schema = [*(f"`{c}` {kinds[c]}" for c in keep), "n_best array<struct<score:double,ids:array<int>>>"]
