@@ -26,6 +26,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         end = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers are kept; what a batch needed isn't
 
 
 @dataclass
