@@ -126,7 +126,7 @@ def links(ws: Workspace, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             F.array(*[F.struct(F.lit(i).alias("start"), F.lit(_signed(m)).alias("matched")) for i, m in table_of])
         ).alias("t"),
     ).select("fp", "t.*")
-    masks, found = [m for _, m in table_of], []
+    found = []
     while True:
         key = F.col("fp").bitwiseAND(F.col("matched"))
         level = ws.save("buckets", level.withColumn("key", key))
@@ -142,15 +142,18 @@ def links(ws: Workspace, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             & (F.bit_count(diff) <= RADIUS)
         )
         found.append(ws.save("links", pair.select(F.col("fp").alias("a"), F.col("other").alias("b"))))
-        if sizes.where(F.col("n") > bucket).isEmpty():
+        large = sizes.where(F.col("n") > bucket)
+        # masks are made by depth, not by data: at most four times as many with each level
+        masks = [r.matched for r in large.select("matched").distinct().collect()]
+        if not masks:
             break
-        finer = {m: _blocks(m) for m in masks}
-        masks = sorted({m | x for m, xs in finer.items() for x in xs})
-        parts = F.array(*[F.array(*[F.lit(_signed(m | x)) for x in xs]) for m, xs in finer.items()])
-        place = F.array_position(F.array(*[F.lit(_signed(m)) for m in finer]), F.col("matched"))
-        large = level.join(sizes.where(F.col("n") > bucket).select(*keys), keys)
-        level = large.select(
-            "fp", "start", F.explode(F.element_at(parts, place.cast("int"))).alias("matched")
+        finer = [(m, _signed((m % (1 << 64)) | x)) for m in masks for x in _blocks(m % (1 << 64))]
+        children = ws.spark.createDataFrame(finer, "matched bigint, finer bigint")
+        level = (
+            level.join(large.select(*keys), keys)
+            .join(F.broadcast(children), "matched")
+            .select("fp", "start", F.col("finer").alias("matched"))
+            .distinct()  # a smaller bucket may lie in several larger ones
         )
     out = found[0]
     for more in found[1:]:
