@@ -133,7 +133,9 @@ def links(ws: Workspace, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
         sizes = level.groupBy("start", "matched", "key").agg(F.count("*").alias("n")).where("n > 1")
         sizes = ws.save("bucket-sizes", sizes)
         keys = ["start", "matched", "key"]
-        small = level.join(sizes.where(F.col("n") <= bucket).select(*keys), keys)
+        # with three bits left all pairs are links, and there are at most eight fingerprints
+        is_large = (F.col("n") > bucket) & (F.bit_count("matched") < 64 - RADIUS)
+        small = level.join(sizes.where(~is_large).select(*keys), keys)
         right = small.withColumnRenamed("fp", "other")
         diff = F.col("fp").bitwiseXOR(F.col("other"))
         pair = small.join(right, keys).where(
@@ -142,7 +144,7 @@ def links(ws: Workspace, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             & (F.bit_count(diff) <= RADIUS)
         )
         found.append(ws.save("links", pair.select(F.col("fp").alias("a"), F.col("other").alias("b"))))
-        large = sizes.where(F.col("n") > bucket)
+        large = sizes.where(is_large)
         # masks are made by depth, not by data: at most four times as many with each level
         masks = [r.matched for r in large.select("matched").distinct().collect()]
         if not masks:
