@@ -138,3 +138,18 @@ DENSITY_BANDS = [
     (0.2, "Medium Density"),
     (None, "Low Density"),
 ]
+
+# Messages of the quality report.
+DUPLICATE_IDS = "Duplicate IDs: %d"
+TOO_MANY_OUTLIERS = "Too many geo outliers: %,d (%.1f%%)"
+SOME_OUTLIERS = "Geo outliers (outside Bengaluru bbox): %,d (%.1f%%)"
+CREATED_NULL = "created_datetime NULL: %,d"
+CLOSED_BEFORE_CREATED = "closed_datetime < created_datetime: %,d rows"
+MANY_WITHOUT_JUNCTION = (
+    "junction_name is 'No Junction' or NULL for %,d rows (%.1f%%) — "
+    "use police_station or H3 as spatial grouping instead"
+)
+
+# Confidence of a score card: base, share that grows with the rows, rows at which it is full.
+STATION_CONFIDENCE = (0.85, 0.13, 5000)
+JUNCTION_CONFIDENCE = (0.80, 0.18, 1000)

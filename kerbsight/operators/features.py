@@ -113,8 +113,20 @@ def _hour_mode() -> Column:
     return _mode("hour", str(fixed.DEFAULT_HOUR)).cast("int")
 
 
-def recurrence(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct vehicles per group and the share of them seen more than once.
+def visits(facts: DataFrame) -> DataFrame:
+    """Rows per vehicle, cell and station: `(street_q, street_r, police_station, vehicle_number, n)`.
+
+    The one table at vehicle cardinality. A hot cell is spread over its vehicles, a hot vehicle over its
+    cells, and both are combined map-side. All recurrences are sums over it.
+    """
+    known = facts.where(F.col("vehicle_number").isNotNull())
+    keys = [*STREET_KEY, "police_station", "vehicle_number"]
+    return known.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def recurrence(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct vehicles per group and the share of them seen more than once, from facts or from
+    `visits`.
 
     Grouping by (group, vehicle) first spreads a hot group over all tasks and replaces a
     distinct count; rows without a vehicle are left out.
@@ -122,11 +134,10 @@ def recurrence(facts: DataFrame, keys: list[str]) -> DataFrame:
     present = F.col("vehicle_number").isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
-    visits = (
-        facts.where(present).groupBy(*keys, "vehicle_number").agg(F.count("*").alias("visits"))
-    )
+    count = F.sum("n") if "n" in rows.columns else F.count("*")
+    seen = rows.where(present).groupBy(*keys, "vehicle_number").agg(count.alias("visits"))
     return (
-        visits.groupBy(*keys)
+        seen.groupBy(*keys)
         .agg(
             F.count("*").alias("unique_vehicles"),
             F.count_if(F.col("visits") > 1).alias("repeat_vehicles"),
@@ -135,27 +146,27 @@ def recurrence(facts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _with_recurrence(groups: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    stats = recurrence(facts, keys).drop("repeat_vehicles")
+def _with_recurrence(groups: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    stats = recurrence(rows, keys).drop("repeat_vehicles")
     return groups.join(stats, keys, "left").fillna(
         {"unique_vehicles": 0, "recurrence_score": 0.0}
     )
 
 
-def cell_features(facts: DataFrame, counts: DataFrame, grid: HexGrid = STREET) -> DataFrame:
-    """One row per cell. `hq`, `hr` are the cell's axial coordinates."""
+def cell_features(rows: DataFrame, counts: DataFrame, grid: HexGrid = STREET) -> DataFrame:
+    """One row per cell, from facts or `visits` and the rollup. `hq`, `hr` are the cell's axial coordinates."""
     keys = STREET_KEY if grid.prefix == STREET.prefix else CITY_KEY
     located = counts.where(F.col(keys[0]).isNotNull())
     values = value_counts(located, keys, station=F.col("police_station"))
     on_weekday = F.sum(F.when(_is("weekday") & (F.col("value") < "5"), F.col("n_rows")))
-    rows = _rows("violation")
+    n_rows = _rows("violation")
     cells = values.groupBy(*keys).agg(
         F.sum(F.when(_is("violation"), F.col("n_ids"))).alias("violation_count"),
-        (_severity_sum().cast("double") / rows).alias("severity_mean"),
+        (_severity_sum().cast("double") / n_rows).alias("severity_mean"),
         _severity_sum().cast("double").alias("severity_sum"),
         _hour_mode().alias("hour_peak"),
         _hour_std().alias("hour_std"),
-        (F.coalesce(on_weekday, F.lit(0)) / rows).alias("weekday_pct"),
+        (F.coalesce(on_weekday, F.lit(0)) / n_rows).alias("weekday_pct"),
         _distinct("vehicle").alias("vehicle_diversity"),
         _mode("violation", fixed.UNKNOWN).alias("top_violation"),
         _mode("vehicle", fixed.UNKNOWN).alias("top_vehicle"),
@@ -163,7 +174,7 @@ def cell_features(facts: DataFrame, counts: DataFrame, grid: HexGrid = STREET) -
     )
     q, r = F.col(keys[0]), F.col(keys[1])
     lat, lng = grid.centroid(q, r)
-    return _with_recurrence(cells, facts, keys).select(
+    return _with_recurrence(cells, rows, keys).select(
         grid.cell_id(q, r).alias("cell_id"),
         "violation_count",
         "severity_mean",
@@ -184,8 +195,8 @@ def cell_features(facts: DataFrame, counts: DataFrame, grid: HexGrid = STREET) -
     )
 
 
-def station_features(facts: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per station; rows without a station are left out.
+def station_features(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per station, from facts or `visits` and the rollup; rows without a station are left out.
 
     `unique_cells_*` count every cell with a row of the station, also cells where another
     station has the majority.
@@ -207,7 +218,7 @@ def station_features(facts: DataFrame, counts: DataFrame) -> DataFrame:
         _mode("violation", fixed.UNKNOWN).alias("top_violation"),
         _mode("vehicle", fixed.UNKNOWN).alias("top_vehicle"),
     )
-    return _with_recurrence(stations, facts, ["police_station"])
+    return _with_recurrence(stations, rows, ["police_station"])
 
 
 def temporal_profile(counts: DataFrame, grid: HexGrid = STREET) -> DataFrame:

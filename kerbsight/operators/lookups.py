@@ -17,6 +17,11 @@ def _same_text(column: str, value: str) -> Column:
 # -- stations -----------------------------------------------------------------------------
 
 
+def _confidence(rows: Column, steps: tuple[float, float, int]) -> Column:
+    base, share, full = steps
+    return F.lit(base) + F.lit(share) * (F.least(rows, F.lit(full)) / full)
+
+
 def station_scorecard(stations: DataFrame, name: str | None = None) -> DataFrame:
     """Score card of every station, or of the one with the given name in any case."""
     if name is not None:
@@ -32,7 +37,7 @@ def station_scorecard(stations: DataFrame, name: str | None = None) -> DataFrame
         F.col("recurrence_score").alias("recurrence_rate"),
         F.col("severity_mean").alias("severity_index"),
         F.col("hour_peak").alias("peak_hour"),
-        (F.lit(0.85) + F.lit(0.13) * (F.least(n, F.lit(5000)) / 5000)).alias("confidence_score"),
+        _confidence(n, fixed.STATION_CONFIDENCE).alias("confidence_score"),
     )
 
 
@@ -114,9 +119,7 @@ def junction_scorecard(pairs: DataFrame, cells: DataFrame) -> DataFrame:
         F.coalesce("recurrence", F.lit(0.0)).alias("recurrence_rate"),
         F.coalesce("severity", F.lit(0.5)).alias("severity_index"),
         F.coalesce("top.hour_peak", F.lit(fixed.DEFAULT_HOUR)).alias("peak_hour"),
-        (F.lit(0.80) + F.lit(0.18) * (F.least("rows", F.lit(1000)) / 1000)).alias(
-            "confidence_score"
-        ),
+        _confidence(F.col("rows"), fixed.JUNCTION_CONFIDENCE).alias("confidence_score"),
         F.coalesce("top.police_station", F.lit("Unknown")).alias("police_station"),
         F.coalesce("top.top_violation", F.lit("Unknown")).alias("top_violation"),
     )

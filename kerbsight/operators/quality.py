@@ -130,10 +130,10 @@ def report(df: DataFrame) -> DataFrame:
     )
     geo_text = F.when(
         geo_status == "error",
-        F.format_string("Too many geo outliers: %,d (%.1f%%)", n("geo_outliers"), C.round_printf(geo_share * 100, 1)),
+        F.format_string(fixed.TOO_MANY_OUTLIERS, n("geo_outliers"), C.round_printf(geo_share * 100, 1)),
     ).otherwise(
         F.format_string(
-            "Geo outliers (outside Bengaluru bbox): %,d (%.1f%%)",
+            fixed.SOME_OUTLIERS,
             n("geo_outliers"),
             C.round_printf(geo_share * 100, 1),
         )
@@ -152,7 +152,7 @@ def report(df: DataFrame) -> DataFrame:
             warn(n("duplicate_ids")),
             n("duplicate_ids"),
             None,
-            F.format_string("Duplicate IDs: %d", n("duplicate_ids")),
+            F.format_string(fixed.DUPLICATE_IDS, n("duplicate_ids")),
         ),
         line("geo_outliers", geo_status, n("geo_outliers"), pct1(geo_share), geo_text),
         line(
@@ -160,7 +160,7 @@ def report(df: DataFrame) -> DataFrame:
             warn(n("created_datetime_null")),
             n("created_datetime_null"),
             None,
-            F.format_string("created_datetime NULL: %,d", n("created_datetime_null")),
+            F.format_string(fixed.CREATED_NULL, n("created_datetime_null")),
         ),
         line(
             "closed_before_created",
@@ -168,7 +168,7 @@ def report(df: DataFrame) -> DataFrame:
             n("closed_before_created"),
             None,
             F.format_string(
-                "closed_datetime < created_datetime: %,d rows", n("closed_before_created")
+                fixed.CLOSED_BEFORE_CREATED, n("closed_before_created")
             ),
         ),
         line(
@@ -184,8 +184,7 @@ def report(df: DataFrame) -> DataFrame:
             n("no_junction"),
             pct1(junction_share),
             F.format_string(
-                "junction_name is 'No Junction' or NULL for %,d rows (%.1f%%) — "
-                "use police_station or H3 as spatial grouping instead",
+                fixed.MANY_WITHOUT_JUNCTION,
                 n("no_junction"),
                 pct1(junction_share),
             ),

@@ -44,7 +44,12 @@ class CityTables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return enrich(self.violations)
+        """Parsed, cleaned and located once; every later scan reads the columns it uses."""
+        return self.ws.save("facts", enrich(self.violations))
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        return self.ws.save("visits", features.visits(self.facts))
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -52,11 +57,11 @@ class CityTables:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self.ws.save("cells", features.cell_features(self.facts, self.rollup))
+        return self.ws.save("cells", features.cell_features(self.visits, self.rollup))
 
     @cached_property
     def stations(self) -> DataFrame:
-        return self.ws.save("stations", features.station_features(self.facts, self.rollup))
+        return self.ws.save("stations", features.station_features(self.visits, self.rollup))
 
     @cached_property
     def temporal_profile(self) -> DataFrame:

@@ -143,3 +143,16 @@ def test_feature_plans_stay_in_the_jvm(city):
     for df in (city.cells, city.stations, features.cell_features(city.facts, city.rollup)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Window" not in plan and "CartesianProduct" not in plan
+
+
+def test_recurrence_from_visits_equals_that_from_facts(city):
+    visits = features.visits(city.facts)
+    for keys in (["street_q", "street_r"], ["police_station"]):
+        rows = lambda df: sorted(map(tuple, features.recurrence(df, keys).collect()))  # noqa: B023, E731
+        assert rows(visits) == rows(city.facts)
+
+
+def test_cells_and_stations_scan_no_facts(city):
+    for df in (features.cell_features(city.visits, city.rollup), features.station_features(city.visits, city.rollup)):
+        assert not any("-facts" in f for f in df.inputFiles())
+        assert any("-visits" in f for f in df.inputFiles())
