@@ -15,21 +15,35 @@ from kerbsight.session import Workspace
 HOT_SHARE = 1000
 
 
-def importable(spark: SparkSession) -> None:
+ARROW_BYTES = 8 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, besides the places a
-    cluster's own configuration names."""
+    cluster's own configuration names; and bound what they are handed at once by bytes, since ten
+    thousand long documents, the limit by rows, may be gigabytes. A lower limit stays."""
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    spark.conf.set(_ARROW_LIMIT, str(min(ARROW_BYTES, _bytes(spark.conf.get(_ARROW_LIMIT)))))
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 10, "m": 20, "g": 30}
+    number = text.lower().rstrip("b")
+    if number and number[-1] in units:
+        return int(number[:-1]) << units[number[-1]]
+    return int(number)
 
 
 def workspace(spark: SparkSession) -> Workspace:
     """Tables of one call, below ``spark.checkpoint.dir``."""
-    importable(spark)
+    prepare(spark)
     return Workspace(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

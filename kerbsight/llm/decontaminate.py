@@ -48,7 +48,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 ITEMS = 1024
-STORE = 150_000
+STORE = 60_000
 _WORDS = re.compile(r"[^\W_]+")
 _BLOOM = 1 << 20
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
