@@ -19,6 +19,9 @@ most `BUCKET` for each row of a bucket, at any size and however many near copies
 
 Equal fingerprints are one node of the graph, so copies cost nothing after the first grouping.
 
+`keep_one`, the pipeline's stage, has another contract: shingles of five words and a similarity of 0.8
+or more, where three bits reach only almost identical texts (see below).
+
 Defined results: a null text is an empty one and has fingerprint zero, as has any text without
 words; the class id is the smallest id that isn't null (null where all are); repeated rows are
 returned once each; an empty table gives no rows. Other columns are ignored.
@@ -191,9 +194,211 @@ def near_duplicates(
     )
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, with one of each class: the first row with its class id
-    (a class of null ids: its first row)."""
+# -- classes by the similarity of shingle sets ------------------------------------------------
+#
+# Two texts are linked when their sets of `shingle` words have a Jaccard similarity of 4/5 or more. No
+# radius of fingerprints gives just these pairs, so they are found exactly, by prefixes: order the shingles of all texts in
+# any one way; the first n - ceil(4n/5) + 1 of a set of n share one with those of every set linked to it.
+# Frequent shingles, known from a sample, come last in the order, so few sets meet at one. Three steps:
+# each set is compared with one or two leaders of the shingles it meets others at, which joins large
+# classes; sets that are in one class by then are compared no more; all others that meet are.
+# Before the sets themselves are compared, sizes and parity bitmaps are: these differ in at most as
+# many bits as the sets in elements, which is at most a ninth of both sizes.
+
+SIMILAR_SHINGLE = 5
+PARITY = [f"b{i}" for i in range(4)]
+SAMPLE = 4_000
+FREQUENT = 65_536
+SALTS = 32
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    found = shingles(text, size)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, 42) for s in found), np.uint64, len(found)))
+
+
+def prefix_of(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: infrequent ones by hash, then the others by count."""
+    if not len(own):
+        return own
+    size = len(own) - (4 * len(own) + 4) // 5 + 1
+    rank = np.zeros(len(own), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        rank = np.where(frequent[at] == own, counts[at], 0)
+    return own[np.lexsort((own, rank))[:size]]
+
+
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of over a thousandth of some rows, and their counts. They decide what is fast, not
+    what is found."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(shingle_set(x, shingle).view(np.int64))], ["s"])
+
+    share = rows.count() // SAMPLE + 1
+    some = rows.where(F.pmod(F.xxhash64("_src_file", "_src_row"), F.lit(share)) == 0)
+    n = some.count()
+    counts = some.select("_text").mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n"))
+    top = counts.where((F.col("n") > 2) & (F.col("n") * 1000 >= n)).orderBy(F.desc("n"), "s").limit(FREQUENT)
+    found = sorted((x.s % (1 << 64), x.n) for x in top.collect())
+    return np.array([s for s, _ in found], np.uint64), np.array([k for _, k in found], np.int64)
+
+
+def shingle_sets(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
+    """`keep`, `node` (a hash of the set), `size`, the parity bitmap and the prefix of each row."""
+    index = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, bits, prefixes = [], [], [], []
+            for x in batch.column("_text"):
+                own = shingle_set(x.as_py(), shingle)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
+                sizes.append(len(own))
+                odd = np.bincount(((own >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                bits.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                prefixes.append(prefix_of(own, *index.value).view(np.int64))
+            columns = np.array(bits, np.int64).reshape(-1, len(PARITY)).T
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in keep),
+                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int64()),
+                    *(pa.array(np.ascontiguousarray(c)) for c in columns),
+                    pa.array(prefixes, pa.list_(pa.int64())),
+                ],
+                [*keep, "node", "size", *PARITY, "prefix"],
+            )
+
+    kinds = dict(rows.dtypes)
+    schema = [*(f"`{c}` {kinds[c]}" for c in keep), "node bigint", "size bigint"]
+    schema += [*(f"{b} bigint" for b in PARITY), "prefix array<bigint>"]
+    return rows.select(*keep, "_text").mapInArrow(run, ", ".join(schema))
+
+
+def may_be_similar(left: str, right: str) -> Column:
+    """What holds of all linked sets, by the columns of two prefixes."""
+    x, y = F.col(f"{left}size"), F.col(f"{right}size")
+    bits = [F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in PARITY]
+    return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (9 * sum(bits[1:], bits[0]) <= x + y)
+
+
+def _with(ws: Workspace, pairs: DataFrame, side: str, facts: DataFrame) -> DataFrame:
+    """`pairs`, a written table, with the facts of its nodes `side`, named `side_...`."""
+    sizes = pairs.groupBy(side).agg(F.count("*").alias("_n"))
+    named = facts.select(*(F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in facts.columns))
+    return lookup(pairs, ws.save("facts", named.join(sizes, side)), side, "_n", pairs.count())
+
+
+def sets_of(ws: Workspace, nodes: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+    """`(node, set)` of some nodes, made from the texts anew."""
+    # a written table: where it is small the texts are not shuffled
+    at = ws.save("addresses", firsts.join(nodes, "node").select("node", "_src_file", "_src_row"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column("_text")]
+            sets = pa.array(own, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "set"])
+
+    texts = rows.join(at, ["_src_file", "_src_row"]).select("node", "_text")
+    return ws.save("shingle-sets", texts.mapInArrow(run, "node bigint, set array<bigint>"))
+
+
+def similar(ws: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct `pairs(a, b)`, a written table, whose sets are similar."""
+    first = ws.save("first-sets", _with(ws, pairs, "a", sets))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    holds = 9 * both >= 4 * (F.size("a_set") + F.size("b_set"))
+    return ws.save("similar", _with(ws, first, "b", sets).where(holds).select("a", "b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _roots(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """`(node, root)` of the nodes that have edges."""
+    both = ws.save("both", edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return connected_components(ws, both.select(F.col("a").alias("node")).distinct(), both)
+
+
+def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
+    """`rows(_id, _text, _src_file, _src_row)` without the text, and `root`, the same in all rows of a class."""
+    marked = ws.save("sets", shingle_sets(rows, ["_id", "_src_file", "_src_row"], shingle))
+    address = ["_src_file", "_src_row"]
+    firsts = marked.groupBy("node").agg(
+        F.min(F.struct(*address)).alias("at"), F.count("*").alias("n"),
+        *(F.max(c).alias(c) for c in ("size", *PARITY)),
+    )
+    firsts = ws.save("firsts", firsts.select("node", "n", "at.*", "size", *PARITY))
+    facts = firsts.select("node", "size", *PARITY)
+    members = marked.select("node", F.explode("prefix").alias("bucket"))
+    total = marked.agg(F.sum(F.size("prefix")).alias("n")).first().n or 0
+    # the order of the members of a bucket is its own, so that leaders differ
+    own = F.col("node").bitwiseXOR(F.col("bucket"))
+    met = members.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count("*").alias("n"))
+    met = met.where("n > 1").select("bucket", "n", *(F.col(c).bitwiseXOR(F.col("bucket")).alias(c) for c in ("low", "high")))
+    met = lookup(members, ws.save("leaders", met), "bucket", "n", total)
+    met = ws.save("met", met.where("low IS NOT NULL").distinct())
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Of pairs of nodes those that the sizes and bitmaps admit."""
+        pairs = ws.save("pairs", pairs.where("a != b").distinct())
+        half = ws.save("half", _with(ws, pairs, "a", facts))
+        return _with(ws, half, "b", facts).where(may_be_similar("a_", "b_")).select("a", "b")
+
+    pairs = met.select("node", F.explode(F.array("low", "high")).alias("other"))
+    near = ws.save("near-leaders", compared(pairs.select(*_ordered("node", "other"))))
+    sets = sets_of(ws, _ends(near), rows, firsts, shingle)
+    # one partner each, the same for many
+    chosen = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = similar(ws, ws.save("chosen", chosen), sets)
+
+    roots = ws.save("roots", _roots(ws, edges))
+    for side in ("a", "b"):
+        near = ws.save("led", _with(ws, near, side, roots))
+    apart = near.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    edges = edges.unionByName(similar(ws, ws.save("apart", apart), sets))
+
+    roots = _roots(ws, edges)
+    left = met.select("bucket", "node").join(roots, "node", "left")
+    left = ws.save("left", left.select("bucket", "node", F.coalesce("root", "node").alias("root")))
+    mixed = left.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).where("low != high")
+    mixed = ws.save("mixed", mixed.select("bucket", "n"))
+    left = lookup(left, mixed.withColumn("in", F.col("n")), "bucket", "n", left.count()).where("`in` IS NOT NULL")
+    left = ws.save("mixed-members", left.join(facts, "node"))
+    # a large bucket is spread: each row is in one part on the left, in all on the right
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("in") / BUCKET)).cast("int")
+    one = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    all_ = left.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    all_ = all_.select("bucket", "salt", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "size", *PARITY)))
+    rest = one.join(all_, ["bucket", "salt"]).where(
+        (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & may_be_similar("", "o_")
+    )
+    rest = ws.save("rest", rest.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    more = _ends(rest).join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(sets_of(ws, more, rows, firsts, shingle))
+    edges = edges.unionByName(similar(ws, rest, sets))
+
+    roots = firsts.select("node", "n").join(_roots(ws, edges), "node", "left")
+    roots = ws.save("roots", roots.select("node", "n", F.coalesce("root", "node").alias("root")))
+    return lookup(marked.select("_id", *address, "node"), roots, "node", "n", marked.count()).drop("node")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """The rows of `docs`, all columns, with one of each class of similar texts: the first of those with
+    the smallest id (a class of null ids: its first row)."""
     ws = workspace(spark)
     rows = addressed(ws, docs)
     picked = rows.select(
@@ -202,15 +407,11 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "_src_file",
         "_src_row",
     )
-    found = ws.save("near", near_duplicates(ws, picked, ["_id", "_src_file", "_src_row"]))
-    stays = (
-        found.where(F.col("_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp"))
-        .agg(F.min(F.struct("_src_file", "_src_row")).alias("stay"))
-        .select("stay.*")
-    )
+    found = ws.save("near", similar_classes(ws, picked, shingle))
+    first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_src_file", "_src_row")
+    stays = found.groupBy("root").agg(F.min(first).alias("stay")).select("stay.*")
     dropped = found.select("_src_file", "_src_row").join(stays, ["_src_file", "_src_row"], "left_anti")
-    return without(rows, dropped, docs.columns)
+    return without(rows, ws.save("dropped", dropped), docs.columns)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,17 @@ def test_each_stage_takes_effect_and_keeps_the_rest(spark, ws, folder):
     assert all(r["ids"] for r in encoded if (rows[r["doc_id"]] or "").strip())
 
 
+def test_near_copies_go(spark, folder):
+    """3001 has all but one word of 3000; in 6001 every 60th word of 6000 is another."""
+    path, rows = folder
+    more = [" ".join(WORDS[100:400]), " ".join("edit" if i % 60 == 30 else WORDS[i] for i in range(100, 400))]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", None, "x", 7, "y", "z", 1) for i, t in [*rows.items(), *zip((6000, 6001), more)]], DOCS
+    )
+    left = {r["doc_id"] for r in P.drop_near_copies(spark, docs, path).collect()}
+    assert {3000, 6000} <= left and not {3001, 6001} & left
+
+
 def test_run_gives_what_the_stages_give(spark, folder):
     path, _ = folder
     got = P.run(spark, path)

@@ -110,3 +110,53 @@ def test_one_of_each_class_stays(spark, odd):
     got = S.keep_one(spark, odd)
     assert got.columns == odd.columns
     assert sorted(r["doc_id"] or -1 for r in got.collect()) == [-1, 1, 4, 7, 8, 9]
+
+
+def similar_texts(seed):
+    """Texts with copies that have some words replaced, dropped or added, around a similarity of 0.8."""
+    rng, rows = random.Random(seed), []
+    for _ in range(12):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(30, 200))]
+        for _ in range(rng.randrange(1, 8)):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(2, len(words) // 40))):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(99)}"
+            rows.append(" ".join(words[: len(words) - rng.randrange(0, len(words) // 6)]))
+    # a large class with an edit each
+    common = [f"c{i}" for i in range(120)]
+    rows += [" ".join([*common[:i], f"own{i}", *common[i + 1 :]]) for i in range(100)]
+    return [(i, t) for i, t in enumerate(rows)] + [(900, "a b"), (901, "A  b"), (902, ""), (903, None)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_of_each_similar_class_stays(spark, frame, seed):
+    rows = similar_texts(seed)
+    sets = {i: set(S.shingles(t or "", 5)) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    want = {find(i) for i in sets}
+    got = [r["doc_id"] for r in S.keep_one(spark, frame(rows)).collect()]
+    assert sorted(got) == sorted(want) and 10 < len(want) < len(rows) / 2
+
+
+def test_similar_texts_far_apart_in_bits_are_one_class(spark, frame):
+    """Of 300 words two differ, so 286 of 306 shingles are in both; three bits did not link them."""
+    words = [f"w{i}" for i in range(300)]
+    edited = [*words[:100], "edit", *words[101:200], "edit", *words[201:]]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:200]))]
+    assert sorted(r["doc_id"] for r in S.keep_one(spark, frame(rows)).collect()) == [1, 3]
+
+
+def test_unrelated_texts_with_one_id_are_two_classes(spark, frame):
+    rows = [(1, "one text that is here with its own words"), (1, "another thing that nobody wrote before today")]
+    assert S.keep_one(spark, frame([*rows, rows[0]])).count() == 2
