@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 4).
 
 Words are runs of letters and digits, lower-cased; shingles are five words (an item of fewer words: the
-whole item). A document's window for an item has as many words as the item. A window is contaminated
+whole item). A document's window for an item has as many words as the item; a document of
+fewer words is one window as a whole. A window is contaminated
 when its weighted shingle similarity to the item, sum of min over sum of max of the shingles' weights, is 0.8 or
 more. A shingle weighs its count times ln(1 + items / items that have it), so what many items
 share says little.
@@ -208,7 +209,7 @@ class Benchmark:
         wanted: dict[int, dict[int, set[int]]] = {}
         for p in hits.tolist():
             for i in self.holders[int(h[p])]:
-                n = self.items[i].n_words
+                n = min(self.items[i].n_words, len(words))
                 size = max(1, n - SHINGLE + 1)
                 starts = wanted.setdefault(n, {}).setdefault(i, set())
                 starts.update(range(max(0, p - size + 1), min(p, len(words) - n) + 1))
@@ -230,7 +231,7 @@ class Benchmark:
                             found.setdefault(i, []).append((s, at, d))
         out = self.short(words)
         for i, windows in found.items():
-            out += self.best(self.items[i], windows)
+            out += self.best(self.items[i], windows, len(words))
         return sorted(out, key=lambda x: (x[1], x[2], str(x[0])))
 
     def window_prints(self, h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -268,14 +269,14 @@ class Benchmark:
         return out
 
     @staticmethod
-    def best(item: Item, windows: list[tuple[float, int, int]]) -> list[tuple]:
-        """The most similar windows that don't overlap a better one."""
+    def best(item: Item, windows: list[tuple[float, int, int]], n_words: int) -> list[tuple]:
+        """The most similar windows, of a document of `n_words`, that don't overlap a better one."""
         out: list[tuple] = []
         taken: list[int] = []
         for s, at, d in sorted(windows, key=lambda x: (-x[0], x[1])):
             if all(abs(at - x) >= item.n_words for x in taken):
                 taken.append(at)
-                out.append((item.item_id, at, at + item.n_words, d, s))
+                out.append((item.item_id, at, min(at + item.n_words, n_words), d, s))
         return out
 
 

@@ -123,3 +123,29 @@ def test_contaminated_rows_go(spark, frame, benchmark):
     got = D.drop_contaminated(spark, frame(rows), benchmark)
     assert got.columns == frame(rows).columns
     assert sorted(r["text"] or "" for r in got.collect()) == sorted(["", "clean", rows[0][1]])
+
+
+def test_documents_shorter_than_an_item_are_windows(spark, frame, benchmark):
+    """Items cut at their end or start, or without one word: each as the whole document."""
+    words = {i: [w.lower() for w in D._WORDS.findall(t or "")] for i, t in ITEMS}
+    rows = []
+    for i, own in list(words.items())[:30]:
+        for part in (own[: len(own) * 9 // 10], own[2:], own[:-1], own[1:], own[: len(own) // 2]):
+            rows.append((len(rows), " ".join(part)))
+        rows.append((len(rows), " ".join(own[: len(own) // 2] + own[len(own) // 2 + 1 :])))
+    gram = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    have = Counter(s for w in words.values() for s in set(gram(w)))
+    n_items = sum(t is not None for _, t in ITEMS)
+    total = lambda c: sum(n * math.log(1 + n_items / have[s]) if s in have else n * math.log(1 + n_items) for s, n in c.items())
+    want = {}
+    for d, text in rows:
+        w = text.split()
+        for i, own in words.items():
+            if len(w) < len(own):
+                a, b = Counter(gram(own)), Counter(gram(w))
+                s = total(a & b) / total(a | b)
+                if s >= 0.8 - 1e-9:
+                    want[d, i] = (0, len(w), round(s, 9))
+    found = D.find_matches(rows_of(frame(rows), "doc_id", "text"), benchmark, ["_id"]).collect()
+    got = {(r["_id"], r["item_id"]): (r["start"], r["end"], round(r["similarity"], 9)) for r in found}
+    assert got == want and len(want) > 60
