@@ -2,6 +2,7 @@
 
 from kerbsight.llm.chat import OP2_SQL, op2_chat_format
 from kerbsight.llm.decontaminate import op4_decontaminate
+from kerbsight.llm.divergence import OP11_SQL, op11_source_divergence
 from kerbsight.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from kerbsight.llm.pii import op3_personal_data
 from kerbsight.llm.pieces import op1_sentencepiece
@@ -11,5 +12,5 @@ from kerbsight.llm.token_files import op10_token_files
 from kerbsight.llm.toxicity import op9_toxicity
 from kerbsight.llm.urls import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_personal_data, op4_decontaminate, op5_simhash_dedup, op6_url_filter, op7_secret_scan, op8_exact_dedup, op9_toxicity, op10_token_files)}
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op7_secret_scan": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_personal_data, op4_decontaminate, op5_simhash_dedup, op6_url_filter, op7_secret_scan, op8_exact_dedup, op9_toxicity, op10_token_files, op11_source_divergence)}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op7_secret_scan": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL}
