@@ -17,9 +17,10 @@ likely to be hit are made, about a thousand a document however long it is; the f
     jointly with both sizes, which are known. A pair goes if 0.85 is e^`DOUBT` times less likely than the estimate
     (six standard deviations).
  4. The others are verified on their full sets: the best of each node first, then those that are still in different classes.
- 5. Buckets that hold nodes of several classes are left: large ones are cut by further registers, into `CHILDREN` buckets by `WIDTH`
-    registers each, as often as needed, and in those of at most `BUCKET` nodes those of different classes are
-    compared as in 3 and 4. Nodes of one class never are, so copies are not expanded into pairs.
+ 5. Buckets that hold nodes of several classes are left. In those with at most `BUCKET` nodes outside their largest class, these are
+    compared, as in 3 and 4, with all that are in other classes. Larger ones are cut into `CHILDREN` buckets by `WIDTH` further registers each, other
+    ones for every bucket; a pair of similarity 0.85 stays together with a probability of 0.95, in each of the 18 buckets it shares on average. Nodes
+    of one class are never compared, so copies are not expanded into pairs.
 
 Sets are never joined to pairs: a verified pair's second set is streamed past the first (`against`), and only the verdict is written. A node with very
 many partners is spread over several tasks.
@@ -54,8 +55,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE = 1.001, 20
 DOUBT = 18
 LEAST = 6  # 6 of 7 shingles is the first similarity from 0.85 to below 1
-BUCKET, CHILDREN, WIDTH, STRIDE = 64, 4, 4, 37
-DEEPEST = REGISTERS // (CHILDREN * WIDTH)
+BUCKET, CHILDREN, WIDTH, GROUPS, STRIDE = 64, 4, 4, 25, 37
+DEEPEST = 6
 PARTNERS = 1024
 _ADDRESS = ["_src_file", "_src_row"]
 
@@ -158,12 +159,12 @@ def mark(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def against(
-    ws: Workspace, pairs: DataFrame, own: DataFrame, judge: Callable[..., tuple[np.ndarray, ...]], result: str
+    ws: Workspace, pairs: DataFrame, own: DataFrame, judge: Callable[..., tuple], result: str
 ) -> DataFrame:
     """`pairs(a, b)`, a written table, compared by `own(node, own binary)`.
 
-    The tasks get each b followed by its a, and hold the one and a batch of the others. `judge(b, list of a)` gives
-    which of them stay and the values of the columns `result`.
+    The tasks get each b followed by its a, and hold a batch and the last b before it. `judge(all b, the place of each a's b
+    among them, all a)` gives which pairs stay and the values of the columns `result`.
     """
     counts = pairs.groupBy("b").agg(F.count("*").alias("_n"))
     counts = ws.save("partners", counts.withColumn("parts", F.ceil(F.col("_n") / PARTNERS)))
@@ -175,24 +176,19 @@ def against(
     both = heads.unionByName(others).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
+        heads = []
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.asarray(a.is_null()))
-            values = batch.column("own")
-            cuts = [0, *starts.tolist(), len(batch)]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                if at in starts and at < end:
-                    head, at = values[at].as_py(), at + 1
-                if at >= end:
-                    continue
-                stays, *found = judge(head, [values[i].as_py() for i in range(at, end)])
-                keys = a.slice(at, end - at).to_numpy(zero_copy_only=False).astype(np.int64)[stays]
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(b[at:end][stays]), *(pa.array(x[stays]) for x in found)],
-                        ["a", "b", *names],
-                    )
+            is_head = np.asarray(batch.column("a").is_null())
+            # the last one of the batch before goes on
+            heads = heads[-1:] + [x.as_py() for x in batch.column("own").filter(pa.array(is_head))]
+            which = (np.cumsum(is_head) + len(heads) - is_head.sum() - 1)[~is_head]
+            if not len(which):
+                continue
+            rest = batch.filter(pa.array(~is_head))
+            stays, *found = judge(heads, which, rest.column("own").to_pylist())
+            stays = pa.array(stays)
+            out = [rest.column("a"), rest.column("b"), *(pa.array(x) for x in found)]
+            yield pa.RecordBatch.from_arrays([x.filter(stays) for x in out], ["a", "b", *names])
 
     names = [x.split()[0] for x in result.split(",") if x.strip()]
     return both.select("b", "a", "own").mapInArrow(run, f"a bigint, b bigint{', ' + result if result else ''}")
@@ -202,20 +198,20 @@ def _sketched(x: bytes) -> tuple[np.ndarray, int]:
     return np.frombuffer(x, np.uint16, REGISTERS), int.from_bytes(x[2 * REGISTERS :], "big")
 
 
-def plausible(head: bytes, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def plausible(heads: list[bytes], which: np.ndarray, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Registers followed by the size of the set: whether pairs may be linked, and their estimates."""
-    b, size_b = _sketched(head)
-    found = [_sketched(x) for x in others]
-    a, size_a = np.stack([x for x, _ in found]), np.array([n for _, n in found], np.float64)
-    best, doubt = estimate(a, b, size_a, np.full(len(a), float(size_b)))
+    first, second = ([_sketched(x) for x in own] for own in (others, heads))
+    a, size_a = np.stack([x for x, _ in first]), np.array([n for _, n in first], np.float64)
+    b, size_b = np.stack([x for x, _ in second]), np.array([n for _, n in second], np.float64)
+    best, doubt = estimate(a, b[which], size_a, size_b[which])
     return (best >= PERCENT / 100) | (doubt <= DOUBT), best
 
 
-def linked(head: bytes, others: list[bytes]) -> tuple[np.ndarray]:
+def linked(heads: list[bytes], which: np.ndarray, others: list[bytes]) -> tuple[np.ndarray]:
     """Full sets: whether pairs are linked."""
-    b, out = np.frombuffer(head, np.uint64), []
-    for x in others:
-        a = np.frombuffer(x, np.uint64)
+    out = []
+    for i, x in zip(which.tolist(), others, strict=True):
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(heads[i], np.uint64)
         merged = np.sort(np.concatenate([a, b]), kind="stable")  # two sorted runs
         both = int(np.count_nonzero(merged[1:] == merged[:-1]))
         out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
@@ -296,24 +292,30 @@ def cross_pairs(ws: Workspace, met: DataFrame, nodes: DataFrame, roots: DataFram
     found, depth = [], 0
     while True:
         level = ws.save("level", level)
-        mixed = level.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = ws.save("mixed", mixed.where("low != high").select("bucket", "n"))
-        large = (F.col("n") > bucket) & F.lit(depth < DEEPEST)
-        members = level.join(mixed.where(~large).select("bucket"), "bucket")
-        others = members.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root")))
-        pair = members.join(others, "bucket").where(
-            (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _close(F.col("size"), F.col("o_size"))
-        )
-        found.append(ws.save("met-pairs", pair.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()))
+        # all pairs of two classes have one that isn't in the bucket's largest class
+        per = level.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        mixed = per.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("major"))
+        mixed = mixed.select("bucket", F.col("major.root").alias("major"), (F.col("n") - F.col("major.c")).alias("others"))
+        mixed = ws.save("mixed", mixed.where("others > 0"))
+        large = (F.col("others") > bucket) & F.lit(depth < DEEPEST)
+        members = level.join(mixed.where(~large), "bucket").select("bucket", "node", "size", "root", "major")
+        others = members.where("root != major").select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root")))
+        meet = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("o_node")))
+        pair = members.join(others, "bucket").where(meet & _close(F.col("size"), F.col("o_size")))
+        found.append(ws.save("met-pairs", pair.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()))
         if mixed.where(large).isEmpty():
             break
-        keys = []
-        for child in range(CHILDREN):
-            at = [((depth * CHILDREN + child) * WIDTH + k) * STRIDE % REGISTERS for k in range(WIDTH)]
-            own = [F.substring("registers", 2 * i + 1, 2) for i in at]
-            keys.append(F.xxhash64(F.lit(child), "bucket", *own))
-        split = level.join(mixed.where(large).select("bucket"), "bucket").join(nodes.select("node", "registers"), "node")
-        level = split.select(F.explode(F.array(*keys)).alias("bucket"), "node", "size", "root")
+        # every bucket is cut by other groups of registers, or a pair that is unlucky in one would be so in all
+        keys, first = [], depth % 2 * GROUPS
+        for group in range(first, first + GROUPS):
+            at = [(group * WIDTH + k) * STRIDE % REGISTERS for k in range(WIDTH)]
+            keys.append(F.xxhash64(F.lit(group), *(F.substring("registers", 2 * i + 1, 2) for i in at)))
+        turn = F.pmod(F.xxhash64("bucket"), F.lit(GROUPS))
+        own = [F.get("keys", F.pmod(turn + i * 7, F.lit(GROUPS)).cast("int")) for i in range(CHILDREN)]
+        # a few hashes a node are joined, not its registers
+        crowded = level.join(mixed.where(large).select("bucket"), "bucket")
+        split = crowded.join(nodes.select("node", F.array(*keys).alias("keys")), "node").select("*", F.explode(F.array(*own)).alias("key"))
+        level = split.select(F.xxhash64("bucket", "key").alias("bucket"), "node", "size", "root")
         depth += 1
     out = found[0]
     for more in found[1:]:
