@@ -28,6 +28,8 @@ from oracles.sql import DATE_FROM, DATE_TO, DRIFT_DATE, ORACLES
 
 GBT_ROUNDS = 200
 MIN_R2 = 0.95
+FEED_FILES = 6
+FEED_LATENESS = "400 days"  # the feed's files may come in any order
 JUNCTION_TEXT = "junction 3"
 JUNCTION_NAME = "Junction 2"
 
@@ -649,6 +651,34 @@ def stream_alerts(spark, sf):
     return rates.stream_alerts(run, _alert_rules(t))
 
 
+def _timed_feed(spark, sf) -> DataFrame:
+    """All events in files of an id range each, as a stream of one file per micro-batch. The files may come in any order."""
+    from kerbsight.sources.events import violations_from_events
+
+    t = tables(spark, sf)
+    if not hasattr(t, "feed"):
+        t.feed = t.ws.path("feed")
+        _table(spark, sf, "events").repartitionByRange(FEED_FILES, "event_id").write.parquet(t.feed)
+    events = spark.readStream.schema(_table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(t.feed)
+    return cleaning.enrich(violations_from_events(spark, events))
+
+
+def stream_alerts_live(spark, sf):
+    """Alerts logged in the micro-batches that crossed the thresholds, with the counts of the stream's end."""
+    t = tables(spark, sf)
+    rules = t.ws.save("alert-rules", _alert_rules(t))
+    return rates.crossed_windows(rates.run_alerts(t.ws, _timed_feed(spark, sf), rules, FEED_LATENESS))
+
+
+def stream_rate_without_copies(spark, sf):
+    """Every event comes twice."""
+    feed = _timed_feed(spark, sf)
+    run = rates.run_buckets(
+        tables(spark, sf).ws, feed.unionByName(feed), "police_station", 5, FEED_LATENESS, ids=["id"]
+    )
+    return rates.stream_sliding_rate(run)
+
+
 def stream_peak_hour(spark, sf):
     t = tables(spark, sf)
     path = t.ws.path("peaks")
@@ -698,6 +728,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         station_scorecard_stored, heatmap_stored, heatmap_date_range_stored,
         sliding_rate, running_peak_hour, cell_count_24h, hourly_alerts,
         stream_sliding_rate, stream_cell_count_24h, stream_alerts, stream_peak_hour, score_drift,
+        stream_alerts_live, stream_rate_without_copies,
     )
 }
 _QUERIES |= {

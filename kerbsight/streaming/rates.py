@@ -2,26 +2,31 @@
 
 Every streaming job has a batch twin over the same rows; the twins are what SQL checks.
 
-A stream keeps one count per key and tumbling bucket. Each micro-batch writes the counts it changed to a
-folder of its own, and a reader takes each bucket's newest count, so no window waits for a watermark. Longer
+A stream keeps one count per key and tumbling bucket. Each micro-batch writes the counts it changed to a log
+(`streaming/log.py`), and a reader takes each bucket's newest count, so no window waits for a watermark. Longer
 windows are sums of buckets, made when the counts are read: a row is one state update, not one per window.
 Rows that arrive later than `lateness` behind the newest event time find their state gone and are dropped;
-`run_buckets` reports how many.
+`run_buckets` reports how many. With `ids` a row whose ids have been seen within that time isn't counted again.
+
+`run_alerts` also compares the counts that each micro-batch has changed with rules, and logs a cell's window
+once, in the batch in which it crosses its threshold.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from kerbsight.functions import columns as C
 from kerbsight.session import Workspace
+from kerbsight.streaming.log import BatchLog
 
 LATENESS = "1 hour"
 FILES_PER_BATCH = 64  # rate limit of file sources
-MAX_BATCHES = 100_000
 _MINUTE_MICROS = 60_000_000
 
 
@@ -108,50 +113,57 @@ def running_peak_hour(counts: DataFrame) -> DataFrame:
 # -- streams ------------------------------------------------------------------------------
 
 
-def bucket_stream(facts: DataFrame, key: str, minutes: int, lateness: str = LATENESS) -> DataFrame:
+def bucket_stream(
+    facts: DataFrame, key: str, minutes: int, lateness: str = LATENESS, ids: Sequence[str] = ()
+) -> DataFrame:
     """Counts of a stream per key and tumbling bucket: `(key, bucket, n)`. State older than
     `lateness` behind the newest event is given up."""
+    timed = event_time(facts.where(F.col(key).isNotNull() & F.col("created_datetime").isNotNull()))
+    timed = timed.withWatermark("event_time", lateness)
+    if ids:
+        timed = timed.dropDuplicatesWithinWatermark(list(ids))
     return (
-        event_time(facts.where(F.col(key).isNotNull() & F.col("created_datetime").isNotNull()))
-        .withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", f"{minutes} minutes").alias("w"), key)
+        timed.groupBy(F.window("event_time", f"{minutes} minutes").alias("w"), key)
         .agg(F.count("*").alias("n"))
         .select(key, C.utc_wall_clock(F.col("w.start"), "timestamp").alias("bucket"), "n")
     )
 
 
-def write_buckets(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Run over all available input. A micro-batch writes the counts that it changed below
-    `batch=<id>`; a batch that is repeated writes the same folder again."""
+@dataclass
+class StreamRun:
+    """What a stream has written, the rows it has read, and those that it has not counted: later copies of
+    rows (`n_duplicates`), and rows that came too late to count (`n_dropped`), copies among them."""
 
-    def write(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    buckets: DataFrame
+    n_read: int
+    n_dropped: int
+    n_duplicates: int
+    log: BatchLog
+    alerts: BatchLog | None = None
 
-    return (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
+class _Tally(StreamingQueryListener):
+    """Running totals of the streams of a session while it is attached, by run."""
 
-def read_buckets(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest count of every key and bucket."""
-    newest = F.max(F.struct("batch", "n"))
-    changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return (
-        changes.groupBy(key, "bucket").agg(newest.alias("newest")).select(key, "bucket", "newest.n")
-    )
+    def __init__(self):
+        self.totals: dict[str, Counter] = {}
 
+    def onQueryStarted(self, event) -> None:
+        pass
 
-@dataclass
-class StreamRun:
-    """What a stream has written, the rows it has read, and those that came too late to count."""
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        own = self.totals.setdefault(str(p.runId), Counter())
+        if p.observedMetrics:
+            own["read"] += p.observedMetrics["read"].n
+        for operator in p.stateOperators:
+            own["duplicates"] += operator.customMetrics.get("numDroppedDuplicateRows", 0)
 
-    buckets: DataFrame
-    n_read: int
-    n_dropped: int
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
 
 def run_buckets(
@@ -161,36 +173,55 @@ def run_buckets(
     minutes: int,
     lateness: str = LATENESS,
     path: str | None = None,
+    *,
+    ids: Sequence[str] = (),
+    after_batch: Callable[[BatchLog, int], None] | None = None,
 ) -> StreamRun:
     """Drive a stream of facts through all available input.
 
     `path` names a place of its own for a stream that goes on later with new input: counts and
     checkpoint stay there. The rows read are observed in the stream itself; those that are in no
-    count were dropped as late.
+    count and are no copies were dropped as late. A row with the same `ids` as one before, by at most `lateness`, is a
+    copy; what is kept to know them is given up with the watermark. `after_batch` is called with the
+    log and the batch's number when its counts are written; a repeated batch calls it again.
     """
-    path = path or ws.path(f"buckets-{key}-{minutes}")
-    spark = ws.spark
-    before = _total(spark, f"{path}/counts", key) if _exists(spark, f"{path}/counts") else 0
+    path, spark = path or ws.path(f"buckets-{key}-{minutes}"), ws.spark
+    log = BatchLog(spark, f"{path}/counts", key, "n bigint", minutes=minutes, lateness=lateness)
+    # a batch that died after writing its counts is read again, and counts as new
+    before = log.total(through=_last_batch(spark, f"{path}/checkpoint"))
     known = facts.where(F.col(key).isNotNull() & F.col("created_datetime").isNotNull())
-    # every batch of this run must still be listed when it has ended
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(MAX_BATCHES))
     counted = known.observe("read", F.count("*").alias("n"))
-    query = write_buckets(
-        bucket_stream(counted, key, minutes, lateness), f"{path}/counts", f"{path}/checkpoint"
-    )
-    query.awaitTermination()
-    read = sum(p.observedMetrics["read"].n for p in query.recentProgress if p.observedMetrics)
-    late = read - (_total(spark, f"{path}/counts", key) - before)
-    return StreamRun(read_buckets(spark, f"{path}/counts", key), read, late)
-
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    def write(counts: DataFrame, batch_id: int) -> None:
+        log.write(counts, batch_id)
+        if after_batch:
+            after_batch(log, batch_id)
+
+    tally = _Tally()
+    spark.streams.addListener(tally)
+    try:
+        query = (
+            bucket_stream(counted, key, minutes, lateness, ids)
+            .writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(tally)
+    own = tally.totals.get(str(query.runId), Counter())
+    late = own["read"] - own["duplicates"] - (log.total() - before)
+    return StreamRun(log.read(), own["read"], late, own["duplicates"], log)
 
 
-def _total(spark: SparkSession, path: str, key: str) -> int:
-    return read_buckets(spark, path, key).agg(F.sum("n").alias("n")).first().n or 0
+def _last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The last batch that a stream has finished, -1 for none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/[0-9]*")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return max([-1, *(int(x.getPath().getName()) for x in found)])
 
 
 def stream_sliding_rate(run: StreamRun) -> DataFrame:
@@ -253,6 +284,41 @@ def stream_alerts(run: StreamRun, rules: DataFrame) -> DataFrame:
     return _exceeded(window_sums(run.buckets, ["cell_street"], 60, 60), rules)
 
 
+def run_alerts(
+    ws: Workspace, facts: DataFrame, rules: DataFrame, lateness: str = LATENESS, path: str | None = None
+) -> StreamRun:
+    """Alerts while the stream runs: `rules(cell_id, threshold)`, read anew by every micro-batch.
+
+    A batch joins the counts it has changed to the rules and logs the windows that are above their
+    threshold and not in the log yet, so each window is logged once, with the count that crossed.
+    Of the log only windows from the batch's oldest one on are read. A batch that is repeated overwrites its own alerts and finds the
+    same ones.
+    """
+    path = path or ws.path("alerts")
+    log = BatchLog(
+        ws.spark, f"{path}/alerts", "cell_id", "current_count bigint, threshold bigint",
+        minutes=60, lateness=lateness, bucket="window_start",
+    )
+
+    def judge(counts: BatchLog, batch_id: int) -> None:
+        changed = ws.spark.read.parquet(f"{counts.path}/batches/batch={batch_id}")
+        found = _exceeded(changed.withColumnsRenamed({"bucket": "window_start", "n": "violations"}), rules)
+        oldest = changed.agg(F.min("bucket").alias("b")).first().b
+        if oldest is not None:
+            logged = log.read(since=oldest, through=batch_id - 1).select("cell_id", "window_start")
+            log.write(found.join(logged, ["cell_id", "window_start"], "left_anti"), batch_id)
+
+    run = run_buckets(ws, facts, "cell_street", 60, lateness, path, after_batch=judge)
+    run.alerts = log
+    return run
+
+
+def crossed_windows(run: StreamRun) -> DataFrame:
+    """The logged windows with the counts they have by now: `(cell_id, window_start, current_count, threshold)`."""
+    now = run.log.read().select(F.col("cell_street").alias("cell_id"), F.col("bucket").alias("window_start"), F.col("n").alias("current_count"))
+    return run.alerts.read().drop("current_count").join(now, ["cell_id", "window_start"])
+
+
 def hourly_alerts(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Batch twin of `stream_alerts`."""
     known = facts.where(F.col("cell_street").isNotNull())

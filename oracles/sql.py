@@ -800,6 +800,8 @@ ORACLES |= {
     "stream_sliding_rate": ORACLES["sliding_rate"],
     "stream_cell_count_24h": ORACLES["cell_count_24h"],
     "stream_alerts": ORACLES["hourly_alerts"],
+    "stream_alerts_live": ORACLES["hourly_alerts"],
+    "stream_rate_without_copies": ORACLES["sliding_rate"],
     "scan_csv_mixed_headers": ORACLES["scan_csv"],
     "scan_csv_multiline": """SELECT event_id::VARCHAR AS id,
   'a "' || event_type || '",' || chr(10) || user_id || chr(10) AS junction_name FROM events""",
