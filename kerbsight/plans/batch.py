@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +13,7 @@ from kerbsight.operators.cleaning import enrich
 from kerbsight.operators.hotspots import HotspotParams
 from kerbsight.session import Workspace
 from kerbsight.sources import files
+from kerbsight.sources.published import Published
 
 
 class CityTables:
@@ -148,11 +148,13 @@ class CityTables:
 
     @classmethod
     def open(cls, spark: SparkSession, out: str, **options) -> CityTables:
-        """The tables that `run` has written below `out`, read instead of built.
+        """The tables that `run` has written below `out`, read instead of built: those of the version that is
+        published now, also when another one is published later. A folder without a manifest holds the tables itself.
 
         A table is read when it is first used, and built from those before it if no job has
         committed it. The cleaned facts must be there.
         """
+        out = Published(spark, out).current() or out
         facts = files.scan_parquet(spark, f"{out}/cleaned_violations").drop(quality.MALFORMED)
         tables = _Stored(spark, facts, **options)
         tables.out = out
@@ -208,39 +210,41 @@ def run(
     method: str = "gbt",
     rounds: int = 200,
     ordered_by_date: bool = False,
+    multiline: bool = True,
 ) -> CityTables:
-    """Clean, validate and score a violations CSV and write every output table below `out`.
+    """Clean, validate and score a violations CSV and publish every output table below `out`.
 
-    The cleaned facts are written to a staging folder, partitioned by local date, and validated
-    there. Only when the quality gate finds no error do they replace the facts of the run before;
-    otherwise `ValidationError` is raised and every table below `out` is as it was. All later
-    steps read the published facts.
+    All tables are written to a folder of this run, the cleaned facts first, partitioned by local date. When the quality
+    gate finds no error in them and the last table is written, the set is published in one step
+    (`sources/published.py`). A run that is rejected (`ValidationError`) or dies changes nothing that readers see.
 
     Bringing the rows of a date together shuffles all facts once. Say `ordered_by_date` for
     input that already arrives by date: each task then writes its few dates without a shuffle.
+    Quoted line feeds keep a CSV file in one task; say `multiline=False` for files that have none, which are split.
     """
-    raw = files.scan_csv(spark, csv_path, malformed=quality.MALFORMED)
-    staging = f"{out}/staging-{uuid.uuid4().hex}"
+    raw = files.scan_csv(spark, csv_path, multiline=multiline, malformed=quality.MALFORMED)
+    published = Published(spark, out)
+    place, tables = published.new(), None
     try:
-        files.sink_parquet(enrich(raw), staging, ["date_ist"], rebalance=not ordered_by_date)
-        quality.gate(files.scan_parquet(spark, staging))
-        files.publish(spark, staging, f"{out}/cleaned_violations")
-    finally:
-        files.remove(spark, staging)
-    facts = files.scan_parquet(spark, f"{out}/cleaned_violations").drop(quality.MALFORMED)
-
-    tables = CityTables(spark, facts, method=method, rounds=rounds)
-    tables.facts = facts  # already enriched
-    try:
-        write_tables(tables, out)
+        path = f"{place}/cleaned_violations"
+        files.sink_parquet(enrich(raw), path, ["date_ist"], rebalance=not ordered_by_date)
+        quality.gate(files.scan_parquet(spark, path))
+        facts = files.scan_parquet(spark, path).drop(quality.MALFORMED)
+        tables = CityTables(spark, facts, method=method, rounds=rounds)
+        tables.facts = facts  # already enriched
+        written = write_tables(tables, place)
+        published.commit(place, ["cleaned_violations", *written])
     except BaseException:
-        tables.close()
+        files.remove(spark, place)
+        if tables:
+            tables.close()
         raise
+    published.prune()
     return tables
 
 
-def write_tables(tables: CityTables, out: str) -> None:
-    """Write every table but the facts below `out`."""
+def write_tables(tables: CityTables, out: str) -> list[str]:
+    """Write every table but the facts below `out`; their names, without the model's own folder."""
     spark = tables.spark
     files.sink_parquet(tables.temporal_profile, f"{out}/temporal_profiles")
     for name, grid in (("city", CITY), ("street", STREET)):
@@ -265,3 +269,7 @@ def write_tables(tables: CityTables, out: str) -> None:
     )
     if tables.method == "gbt":
         model.model.write().overwrite().save(f"{out}/model")
+    return [
+        "temporal_profiles", "heatmap_city", "heatmap_street", "cell_features", "station_features", "priority_queue_csv",
+        "top50_priority_csv", "station_priority_csv", "hotspot_summary_csv", "station_features_csv", "model_metadata",
+    ]
