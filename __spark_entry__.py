@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import importlib.util
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from kerbsight.functions.hexgrid import CITY, STREET, add_hex_cells
 from kerbsight.operators import (
     cleaning,
     congestion,
+    daily,
     features,
     heatmap,
     hotspots,
@@ -39,12 +41,10 @@ _tables: dict[tuple[str, str, str], CityTables] = {}
 def tables(spark: SparkSession, sf_dir: str, method: str = "ols") -> CityTables:
     """Tables of one input folder; queries of one application share the written ones."""
     key = (spark.sparkContext.applicationId, sf_dir, method)
-    if key not in _tables or not _tables[key].ws.exists():
+    if key not in _tables or (_tables[key].ws.used() and not _tables[key].ws.exists()):
         if method == "ols":
-            ws = Workspace(spark)
-            # The derived records stand for the raw violation table: stored once, read by column.
-            violations = ws.save("violations", read_violations(spark, sf_dir))
-            found = CityTables(spark, violations, method=method, ws=ws)
+            # The records are row-local expressions over the events, computed where they are scanned.
+            found = CityTables(spark, read_violations(spark, sf_dir), method=method, ws=Workspace(spark))
         else:
             # Everything before the model is the same for both methods.
             base = tables(spark, sf_dir)
@@ -358,6 +358,65 @@ def recurrence_station(spark, sf):
     return features.recurrence(tables(spark, sf).facts, ["police_station"])
 
 
+def _states(spark, sf) -> daily.DailyStates:
+    """The daily states of all facts, made in two updates: the days before the drift date, then the rest."""
+    t = tables(spark, sf)
+    if not hasattr(t, "states"):
+        t.states = daily.DailyStates(spark, t.ws.path("states"))
+        dates = [r[0] for r in t.facts.select("date_ist").distinct().collect()]
+        early = [d for d in dates if d is not None and d.isoformat() < DRIFT_DATE]
+        t.states.update(t.facts, early)
+        t.states.update(t.facts, [d for d in dates if d not in early])
+    return t.states
+
+
+def cell_features_by_day(spark, sf):
+    states = _states(spark, sf)
+    return features.cell_features(states.visits(), states.rollup()).drop("hq", "hr")
+
+
+def station_features_by_day(spark, sf):
+    states = _states(spark, sf)
+    return features.station_features(states.visits(), states.rollup())
+
+
+def heatmap_date_range_by_day(spark, sf):
+    """The states of the range's dates only."""
+    start, end = (dt.date.fromisoformat(x) for x in (DATE_FROM, DATE_TO))
+    return heatmap.heatmap(_states(spark, sf).rollup(start, end), STREET).drop("hq", "hr", "avg_hour")
+
+
+def station_vehicles_sketch(spark, sf):
+    """Exact distinct vehicles per station, and whether the sketches' estimate lies within its bound."""
+    found = daily.unique_vehicles(_states(spark, sf).table("sketches"), ["police_station"])
+    exact = features.recurrence(tables(spark, sf).facts, ["police_station"])
+    error = F.abs(F.col("unique_vehicles") - F.col("estimate"))
+    joined = exact.join(found.withColumnRenamed("unique_vehicles", "estimate"), "police_station")
+    within = error <= F.greatest(F.lit(1), daily.HLL_BOUND * F.col("unique_vehicles"))
+    return joined.select("police_station", "unique_vehicles", within.alias("within_bound"))
+
+
+def closing_minutes_sketch(spark, sf):
+    """Closed violations per station, and whether the share of them up to the estimated 90th percentile is 0.9 within the bound."""
+    states, p = _states(spark, sf).table("sketches"), 0.9
+    found = daily.minutes_quantile(states, ["police_station"], p).withColumnRenamed("minutes", "cut")
+    rows = tables(spark, sf).facts.select("police_station", daily.closing_minutes().alias("m"))
+    ranks = rows.where("m IS NOT NULL AND police_station IS NOT NULL").join(found, "police_station").groupBy("police_station").agg(
+        F.count("*").alias("n"), F.avg((F.col("m") < F.col("cut")).cast("int")).alias("low"),
+        F.avg((F.col("m") <= F.col("cut")).cast("int")).alias("high"),
+    )
+    within = (F.col("low") <= p + daily.RANK_BOUND) & (F.col("high") >= p - daily.RANK_BOUND)
+    return ranks.select("police_station", "n", within.alias("within_bound"))
+
+
+def vehicle_drift_daily(spark, sf):
+    """Distinct vehicles per cell and day, each day from the drift date on against the days before it."""
+    seen = _states(spark, sf).table("visits").where("street_q IS NOT NULL AND date_ist IS NOT NULL")
+    each = seen.groupBy("street_q", "street_r", "date_ist").agg(F.count_distinct("vehicle_number").alias("score"))
+    late = F.col("date_ist") >= F.lit(DRIFT_DATE).cast("date")
+    return daily.daily_drift(each.where(~late), each.where(late).withColumnRenamed("date_ist", "date"))
+
+
 # -- hotspots and congestion --------------------------------------------------------------
 
 
@@ -716,6 +775,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dq_shipped_before_ordered, dq_report,
         hex_bin, hex_centroid, hex_boundary, heatmap_metadata, geojson_features, density_bands,
         cell_features, station_features, temporal_profile, recurrence_cell, recurrence_station,
+        cell_features_by_day, station_features_by_day, heatmap_date_range_by_day, station_vehicles_sketch,
+        closing_minutes_sketch, vehicle_drift_daily,
         hot_cells, eps_neighbours, dbscan_clusters, hotspot_rank, hotspot_density,
         hotspot_summary, train_test_split, congestion_gbt, feature_importance,
         congestion_gbt_cells, congestion_gbt_model, priority_queue_gbt,

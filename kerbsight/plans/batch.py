@@ -16,6 +16,9 @@ from kerbsight.sources import files
 from kerbsight.sources.published import Published
 
 
+_RAW = ["violation_type", "violation_type_list", "offence_code", "offence_code_list"]
+
+
 class CityTables:
     """All tables derived from one set of violation records, each built at most once.
 
@@ -41,11 +44,27 @@ class CityTables:
         self.rounds = rounds
         self.hotspot_params = hotspot_params
         self.ws = ws or Workspace(spark)
+        self._facts: DataFrame | None = None
+        self._fact_readers = 0
 
-    @cached_property
+    @property
     def facts(self) -> DataFrame:
-        """Parsed, cleaned and located once; every later scan reads the columns it uses."""
-        return self.ws.save("facts", enrich(self.violations))
+        """Cleaned and located rows without raw texts and lists, which no table is built from.
+
+        The first reader gets the plan over the records, so that it parses only what it reads; with the second one
+        the rows are written, and all later scans read the columns they use.
+        """
+        if self._facts is None:
+            self._fact_readers += 1
+            plan = enrich(self.violations).drop(*_RAW)
+            if self._fact_readers < 2:
+                return plan
+            self._facts = self.ws.save("facts", plan)
+        return self._facts
+
+    @facts.setter
+    def facts(self, written: DataFrame) -> None:
+        self._facts = written
 
     @cached_property
     def visits(self) -> DataFrame:

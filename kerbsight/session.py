@@ -68,6 +68,10 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def used(self) -> bool:
+        """Whether any table has been given a place."""
+        return self._written > 0
+
     def exists(self) -> bool:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)

@@ -800,6 +800,33 @@ ORACLES |= {
     "stream_sliding_rate": ORACLES["sliding_rate"],
     "stream_cell_count_24h": ORACLES["cell_count_24h"],
     "stream_alerts": ORACLES["hourly_alerts"],
+    "cell_features_by_day": ORACLES["cell_features"],
+    "station_features_by_day": ORACLES["station_features"],
+    "heatmap_date_range_by_day": ORACLES["heatmap_date_range"],
+    "station_vehicles_sketch": _query(
+        "f",
+        """SELECT police_station, count(DISTINCT vehicle_number) AS unique_vehicles, true AS within_bound
+  FROM f WHERE police_station IS NOT NULL AND vehicle_number IS NOT NULL GROUP BY police_station""",
+    ),
+    "closing_minutes_sketch": _query(
+        "f",
+        """SELECT police_station, count(*) AS n, true AS within_bound FROM f
+  WHERE police_station IS NOT NULL AND created_datetime IS NOT NULL AND closed_datetime IS NOT NULL GROUP BY police_station""",
+    ),
+    "vehicle_drift_daily": _query(
+        "f",
+        f"""SELECT strftime(date, '%Y-%m-%d') AS date, CAST(total AS BIGINT) AS n, round(sum((p - q) * ln(p / q)), 6) AS psi FROM (
+  SELECT d.date, total, greatest(coalesce(a.n, 0) / total, 1e-4) AS p, greatest(coalesce(e.n, 0) / (SELECT sum(n) FROM hist WHERE date IS NULL), 1e-4) AS q
+  FROM (SELECT date, sum(n) AS total FROM hist WHERE date IS NOT NULL GROUP BY date) d CROSS JOIN (SELECT DISTINCT bin FROM hist) b
+  LEFT JOIN hist a ON a.date = d.date AND a.bin = b.bin LEFT JOIN (SELECT bin, n FROM hist WHERE date IS NULL) e ON e.bin = b.bin) GROUP BY date, total""",
+    ).replace("\nSELECT strftime", f""", each AS (
+  SELECT cell_street, date_ist, count(DISTINCT vehicle_number) AS s FROM f
+  WHERE cell_street IS NOT NULL AND date_ist IS NOT NULL AND vehicle_number IS NOT NULL GROUP BY ALL),
+edges AS (SELECT list_distinct(quantile_disc(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM each WHERE date_ist < DATE '{DRIFT_DATE}'),
+hist AS (
+  SELECT CASE WHEN date_ist >= DATE '{DRIFT_DATE}' THEN date_ist END AS date, len(list_filter(e, lambda x: x < s)) AS bin, count(*) AS n
+  FROM each, edges GROUP BY ALL)
+SELECT strftime"""),
     "stream_alerts_live": ORACLES["hourly_alerts"],
     "stream_rate_without_copies": ORACLES["sliding_rate"],
     "scan_csv_mixed_headers": ORACLES["scan_csv"],
