@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbsight.llm.common import addressed, lookup, rows_of, table, without, workspace
+from kerbsight.llm.compare import against, linked
 from kerbsight.operators.components import connected_components
 from kerbsight.session import Workspace
 
@@ -295,26 +296,22 @@ def _with(ws: Workspace, pairs: DataFrame, side: str, facts: DataFrame) -> DataF
 
 
 def sets_of(ws: Workspace, nodes: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
-    """`(node, set)` of some nodes, made from the texts anew."""
+    """`(node, own)` of some nodes: their sets, made from the texts anew."""
     # a written table: where it is small the texts are not shuffled
     at = ws.save("addresses", firsts.join(nodes, "node").select("node", "_src_file", "_src_row"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column("_text")]
-            sets = pa.array(own, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "set"])
+            own = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
 
     texts = rows.join(at, ["_src_file", "_src_row"]).select("node", "_text")
-    return ws.save("shingle-sets", texts.mapInArrow(run, "node bigint, set array<bigint>"))
+    return ws.save("shingle-sets", texts.mapInArrow(run, "node bigint, own binary"))
 
 
 def similar(ws: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct `pairs(a, b)`, a written table, whose sets are similar."""
-    first = ws.save("first-sets", _with(ws, pairs, "a", sets))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    holds = 9 * both >= 4 * (F.size("a_set") + F.size("b_set"))
-    return ws.save("similar", _with(ws, first, "b", sets).where(holds).select("a", "b"))
+    return ws.save("similar", against(ws, pairs, sets, linked(80), ""))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
