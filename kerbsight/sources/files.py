@@ -172,23 +172,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-def publish(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a staged table in the place of the one at `path`, by renaming folders.
-
-    The old table is set aside first and deleted last, so that it can be put back by hand if the
-    process dies in between. Object stores rename by copying.
-    """
-    fs, new = _file_system(spark, staged)
-    _, place = _file_system(spark, path)
-    _, aside = _file_system(spark, f"{staged}-before")
-    if fs.exists(place) and not fs.rename(place, aside):
-        raise OSError(f"can't move {path}")
-    if not fs.rename(new, place):
-        fs.rename(aside, place)
-        raise OSError(f"can't publish {path}")
-    fs.delete(aside, True)
-
-
 def build_if_missing(
     spark: SparkSession, path: str, builder: Callable[[], DataFrame]
 ) -> DataFrame:
