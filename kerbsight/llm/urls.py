@@ -8,11 +8,14 @@ the longest rule that fits decides. URLs that no rule fits are judged by the met
    characters after ``://``. Five-grams are counted over all of them; lower orders are sums of these.
 2. Probabilities are smoothed after Witten and Bell: with n of N characters after a context that has T
    different ones, p = (n + T p') / (N + T), p' being the next shorter context's.
-3. A model keeps the grams that make up at least one in `SHARE` of all, so at most `SHARE` per order
-   whatever the input. Every character of a URL is scored by the longest gram kept.
+3. Models keep every gram of the samples. Every character of a URL is scored by the longest gram that
+   the samples hold; what that gives is worked out once per distinct five characters of all URLs.
 4. The mean log-ratio of a URL's characters is compared with a threshold calibrated on the samples: where
    normal densities of the two classes' scores, with pooled variance, times the classes' sizes are equal.
 
+No table is bounded by a cap. The scores of grams that make up at least one in `SHARE` of all characters, at most `SHARE`
+whatever the input, are broadcast; the characters of other grams, none of which is frequent, meet theirs by a shuffle.
+
 Log-ratios are summed as integers (units of 1e-9), so that the sum's order doesn't matter.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule, and the score 0 of an
@@ -33,6 +36,7 @@ from kerbsight.llm.common import table, workspace
 from kerbsight.session import Workspace
 
 ORDER = 4
+#: A gram is frequent when it makes up at least one in SHARE of all characters. Results don't depend on it.
 SHARE = 1 << 16
 ALPHABET = 256
 UNIT = 10**9
@@ -116,7 +120,6 @@ def train(ws: Workspace, samples: DataFrame) -> list[DataFrame]:
         shorter = F.substring("gram", F.lit(2), F.lit(k + 1))
         lower = orders[0].groupBy(shorter.alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
         orders.insert(0, ws.save("grams", lower))
-    total = orders[0].agg((F.sum("a") + F.sum("r")).alias("n")).first().n or 0
     found: list[DataFrame] = []
     for k, counts in enumerate(orders):
         context = F.substring("gram", F.lit(1), F.lit(k))
@@ -126,8 +129,7 @@ def train(ws: Workspace, samples: DataFrame) -> list[DataFrame]:
             F.count_if(F.col("a") > 0).alias("ta"),
             F.count_if(F.col("r") > 0).alias("tr"),
         )
-        kept = counts.where((F.col("a") + F.col("r")) * SHARE >= F.lit(total))
-        kept = kept.withColumn("context", context).join(after, "context")
+        kept = counts.withColumn("context", context).join(after, "context")
         if k:
             prior = found[-1].select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
             kept = kept.withColumn("shorter", F.substring("gram", F.lit(2), F.lit(k))).join(prior, "shorter")
@@ -144,18 +146,35 @@ def train(ws: Workspace, samples: DataFrame) -> list[DataFrame]:
     return [m.select("gram", ratio.alias("ratio")) for m in found]
 
 
-def score(rows: DataFrame, model: list[DataFrame], keep: list[str]) -> DataFrame:
-    """The columns `keep`, which name a row, and `score`: the mean log-ratio of the characters. Each
-    order's table has at most `SHARE` rows and is broadcast; a URL's characters don't leave
-    their task before they are summed up."""
-    at = rows.select(*keep, F.explode(grams("text")).alias("g"))
+def score(ws: Workspace, rows: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """`rows(_row, text)` with unique `_row` → `(_row, score)`, the mean log-ratio of the characters."""
+    at = rows.select("_row", F.explode(grams("text")).alias("gram"))
+    seen = ws.save("seen", at.groupBy("gram").agg(F.count("*").alias("n")))
+    total = seen.agg(F.sum("n").alias("n")).first().n or 0
+    # a shorter gram is the end of at most as many longer ones as there are characters: no join has a hot key
+    known = None
     for k, ratios in enumerate(model):
-        own = ratios.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        key = F.substring("g", F.lit(ORDER + 1 - k), F.lit(k + 1))
-        at = at.join(F.broadcast(own), key == F.col(f"g{k}"), "left")
-    ratio = F.coalesce(*(F.col(f"r{k}") for k in range(len(model) - 1, -1, -1)), F.lit(0))
-    summed = at.groupBy(*keep).agg(F.sum(ratio).alias("sum"), F.count("*").alias("n"))
-    return summed.select(*keep, (F.col("sum") / UNIT / F.col("n")).alias("score"))
+        end = F.substring("gram", F.lit(ORDER + 1 - k), F.lit(k + 1))
+        ends = seen.select(end.alias("gram")).distinct().join(ratios, "gram", "left")
+        if known is None:
+            found = ends.select("gram", F.coalesce("ratio", F.lit(0).cast("bigint")).alias("ratio"))
+        else:
+            lower = known.select(F.col("gram").alias("end"), F.col("ratio").alias("lower"))
+            ends = ends.withColumn("end", F.substring("gram", F.lit(2), F.lit(k))).join(lower, "end")
+            found = ends.select("gram", F.coalesce("ratio", "lower").alias("ratio"))
+        known = ws.save("ratios", found)
+    frequent = F.col("n") * SHARE >= F.lit(total)
+    hot = known.join(seen.where(frequent).select("gram"), "gram")
+    cold = known.join(seen.where(~frequent).select("gram"), "gram")
+    at = at.join(F.broadcast(hot), "gram", "left")
+    # the frequent grams of a row are summed before the shuffle
+    sums = [
+        at.where("ratio IS NOT NULL").select("_row", "ratio"),
+        at.where("ratio IS NULL").select("_row", "gram").join(cold, "gram").select("_row", "ratio"),
+    ]
+    parts = [x.groupBy("_row").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n")) for x in sums]
+    summed = parts[0].unionByName(parts[1]).groupBy("_row").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    return summed.select("_row", (F.col("sum") / UNIT / F.col("n")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float | None:
@@ -192,8 +211,8 @@ def judge_urls(
     )
     rows = ws.save("urls", rows)
     model = train(ws, rows.where("label IS NOT NULL").select("text", "label"))
-    keep = ["_row", "_id", "host", "path", "rule", "label"]
-    scored = ws.save("scores", score(rows, model, keep))
+    scores = score(ws, rows.select("_row", "text"), model)
+    scored = ws.save("scores", rows.drop("text").join(scores, "_row"))
     limit = threshold(scored)
     by_score = F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block")
     return scored.select(
@@ -210,7 +229,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL: the counts of each order, its smoothed probabilities, the longest kept gram."""
+    """The same in SQL: the counts of each order, its smoothed probabilities, the longest known gram."""
     rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
     parts = [
         f"""
@@ -240,7 +259,6 @@ c{ORDER} AS (
         parts.append(
             f"c{k} AS (SELECT substr(gram, 2, {k + 1}) AS gram, sum(a) AS a, sum(r) AS r FROM c{k + 1} GROUP BY 1)"
         )
-    parts.append("total AS (SELECT sum(a) + sum(r) AS total FROM c0)")
     for k in range(ORDER + 1):
         p = "CASE WHEN n{0} > 0 THEN ({0} + t{0} * q{0}) / (n{0} + t{0}) ELSE q{0} END AS p{0}"
         lower = f"JOIN m{k - 1} l ON l.gram = substr(c.gram, 2, {k})" if k else ""
@@ -251,8 +269,7 @@ c{ORDER} AS (
     SELECT c.gram, c.a::DOUBLE AS a, c.r::DOUBLE AS r, na::DOUBLE AS na, nr::DOUBLE AS nr, ta, tr, {q}
     FROM c{k} c JOIN (SELECT substr(gram, 1, {k}) AS context, sum(a) AS na, sum(r) AS nr,
                       count(*) FILTER (WHERE a > 0) AS ta, count(*) FILTER (WHERE r > 0) AS tr
-                      FROM c{k} GROUP BY 1) x ON x.context = substr(c.gram, 1, {k}) {lower}
-    WHERE (c.a + c.r) * {SHARE} >= (SELECT total FROM total)))"""
+                      FROM c{k} GROUP BY 1) x ON x.context = substr(c.gram, 1, {k}) {lower}))"""
         )
     ratios = ", ".join(f"round((ln(m{k}.pa) - ln(m{k}.pr)) * {UNIT})" for k in range(ORDER, -1, -1))
     joins = " ".join(

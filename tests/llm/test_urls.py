@@ -49,7 +49,7 @@ def test_equal_rules_block_and_no_rules(spark):
     assert df.select(U.longest_rule(F.col("h"), F.col("p"), []).alias("r")).first()["r"] is None
 
 
-def brute_scores(samples, texts, share):
+def brute_scores(samples, texts):
     """Counts, smoothed probabilities and scores by dictionaries."""
     order = U.ORDER
     pad = lambda t: U.BEFORE * order + t + U.AFTER
@@ -59,7 +59,6 @@ def brute_scores(samples, texts, share):
         for i in range(order, len(s)):
             for k in range(order + 1):
                 counts[k][s[i - k : i + 1]][label] += 1
-    total = sum(sum(c.values()) for c in counts[0].values())
     probability = [{} for _ in range(order + 1)]
     for k in range(order + 1):
         context = defaultdict(Counter)
@@ -69,8 +68,6 @@ def brute_scores(samples, texts, share):
                 context[g[:-1]][y] += n
                 kinds[g[:-1]][y] += 1
         for g, c in counts[k].items():
-            if sum(c.values()) * share < total:
-                continue
             lower = probability[k - 1][g[1:]] if k else {"allow": 1 / 256, "block": 1 / 256}
             p = {}
             for y in ("allow", "block"):
@@ -96,14 +93,14 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("share", [1 << 16, 300])
+@pytest.mark.parametrize("share", [1 << 16, 300, 1])
 def test_scores_equal_brute_force(spark, ws, monkeypatch, share):
     monkeypatch.setattr(U, "SHARE", share)
     rows = URLS + [(900, None), (901, ""), (902, "HTTP://A.COM/EN/"), (903, "x://" + "long/" * 2000)]
     got = {r["_id"]: r for r in U.judge_urls(ws, pages(spark, rows)).collect()}
     text = {i: (u.split("://", 1)[1].lower() if u and "://" in u else "") for i, u in rows}
     samples = [(text[i], "allow" if "com/" in r["rule"] and r["verdict"] == "allow" else "block") for i, r in got.items() if r["rule"]]
-    want = brute_scores(samples, [text[i] for i, _ in rows], share)
+    want = brute_scores(samples, [text[i] for i, _ in rows])
     assert [got[i]["score"] for i, _ in rows] == pytest.approx(want, abs=1e-8)
     limit = U.threshold(spark.createDataFrame([(s, next((y for t, y in samples if t == text[i]), None) if got[i]["rule"] else None) for (i, _), s in zip(rows, want, strict=True)], "score double, label string"))
     for i, _ in rows:
@@ -124,3 +121,17 @@ def test_one_class_no_class_nothing(spark, ws):
     free = U.judge_urls(ws, pages(spark, [(2, "x://b.org/"), (2, "x://b.org/")])).collect()
     assert [r["verdict"] for r in free] == ["allow", "allow"]
     assert U.judge_urls(ws, pages(spark, [])).collect() == []
+
+
+def test_a_hot_host_forgets_no_rare_one(spark, ws, monkeypatch):
+    """A third of the rows are of one host. What rare rejected hosts teach still counts."""
+    monkeypatch.setattr(U, "SHARE", 50)
+    rows = [(i, "https://hot.com/same") for i in range(400)]
+    rows += [(1000 + i, f"https://h{i * 7919 % 1009}.com/p{i * 104729 % 7919}") for i in range(700)]
+    rows += [(3000 + i, f"https://zqxj{i}.net/es/") for i in range(3)] + [(4000, "https://zqxj.org"), (4001, "https://hot.org")]
+    got = {r["_id"]: r for r in U.judge_urls(ws, pages(spark, rows)).collect()}
+    assert got[4000]["score"] < got[4001]["score"]
+    text = {i: u.split("://", 1)[1] for i, u in rows}
+    samples = [(text[i], r["verdict"]) for i, r in got.items() if r["rule"]]
+    want = brute_scores(samples, [text[i] for i, _ in rows])
+    assert [got[i]["score"] for i, _ in rows] == pytest.approx(want, abs=1e-8)
