@@ -64,23 +64,10 @@ class HexGrid:
             )
         return F.array(*corners)
 
-    def offsets_within(self, radius_deg: float) -> list[tuple[int, int]]:
-        """Axial offsets whose centroids may lie within the radius, in degrees.
-
-        Centroids are affine in (q, r), so one short list serves every cell. The list is a
-        slight superset (relative slack 1e-9); callers keep the exact distance test.
-        """
-        d_lat = 1.5 * self.edge_km / KM_PER_LAT
-        d_lng = math.sqrt(3.0) * self.edge_km / KM_PER_LNG
-        limit = radius_deg * (1 + 1e-9)
-        found = []
-        rows = math.ceil(limit / d_lat)
-        for dr in range(-rows, rows + 1):
-            cols = math.ceil(limit / d_lng + abs(dr) / 2)
-            for dq in range(-cols, cols + 1):
-                if math.hypot(dr * d_lat, (dq + dr / 2) * d_lng) <= limit:
-                    found.append((dq, dr))
-        return found
+    @property
+    def steps(self) -> tuple[float, float]:
+        """Degrees of latitude between grid rows, and of longitude between the cells of a row."""
+        return 1.5 * self.edge_km / KM_PER_LAT, math.sqrt(3.0) * self.edge_km / KM_PER_LNG
 
 
 CITY = HexGrid("c", 1.4095)

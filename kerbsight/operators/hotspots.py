@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -40,24 +41,37 @@ def hot_cells(cells: DataFrame, pct: float = 25.0) -> DataFrame:
 def eps_neighbours(points: DataFrame, grid: HexGrid, eps: float) -> DataFrame:
     """Pairs of cells (a, b) whose centroids lie within eps, both directions and a = b.
 
-    `points(id, hq, hr, lat, lng)`. Candidates come from the grid: each cell asks for the fixed
-    list of offsets that can be in range, so the join keys are unique on the right, at most
-    one row per offset on the left, and no bucket of many points is ever paired off.
+    `points(id, hq, hr, lat, lng)`. In each grid row the cells in range of a cell are a run, at most `span` long. Rows
+    are cut into blocks of `span` cells; each cell asks for the one or two blocks that its run touches. So
+    the plan is the same for any eps, a cell asks for at most two blocks per grid row in range, and
+    no block has more than `span` cells.
     """
-    offsets = F.array(
-        *[F.struct(F.lit(dq).alias("dq"), F.lit(dr).alias("dr")) for dq, dr in grid.offsets_within(eps)]
-    )
+    d_lat, d_lng = grid.steps
+    limit = eps * (1 + 1e-9)
+    rows = math.ceil(limit / d_lat)
+    span = 2 * math.ceil(limit / d_lng) + 1
+    block = lambda q: F.floor(q / span)
+    across = F.sqrt(F.greatest(F.lit(limit * limit) - F.pow(F.col("dr") * d_lat, 2), F.lit(0.0))) / d_lng
+    middle = F.col("hq") - F.col("dr") / 2
     asked = points.select(
         F.col("id").alias("a"),
         F.col("lat").alias("a_lat"),
         F.col("lng").alias("a_lng"),
         "hq",
         "hr",
-        F.inline(offsets),
-    ).select("a", "a_lat", "a_lng", (F.col("hq") + F.col("dq")).alias("hq"), (F.col("hr") + F.col("dr")).alias("hr"))
+        F.explode(F.sequence(F.lit(-rows), F.lit(rows))).alias("dr"),
+    ).select(
+        "a",
+        "a_lat",
+        "a_lng",
+        (F.col("hr") + F.col("dr")).alias("hr"),
+        # one cell more at each end: the exact test decides
+        F.explode(F.sequence(block(F.floor(middle - across)), block(F.ceil(middle + across)))).alias("block"),
+    )
+    placed = points.withColumnRenamed("id", "b").withColumn("block", block(F.col("hq")))
     d_lat, d_lng = F.col("a_lat") - F.col("lat"), F.col("a_lng") - F.col("lng")
     return (
-        asked.join(points.withColumnRenamed("id", "b"), ["hq", "hr"])
+        asked.join(placed, ["hr", "block"])
         .where(d_lat * d_lat + d_lng * d_lng <= F.lit(eps) * F.lit(eps))
         .select("a", "b")
     )
@@ -87,7 +101,7 @@ def dbscan(ws: Workspace, hot: DataFrame, params: HotspotParams = HotspotParams(
         .where(F.col("degree") >= params.min_samples)
         .select("node")
     )
-    # A cell occurs in at most as many pairs as there are offsets: these joins cannot be skewed.
+    # A cell occurs in at most as many pairs as cells fit within eps: these joins cannot be skewed.
     to_core = pairs.join(core.withColumnRenamed("node", "b"), "b", "left_semi")
     core_edges = ws.save(
         "core_edges",

@@ -68,18 +68,6 @@ def test_boundary_is_a_closed_hexagon(spark):
         assert km == pytest.approx(STREET.edge_km)
 
 
-@pytest.mark.parametrize("eps", [0.001, 0.004, 0.01, 0.05])
-def test_offsets_hold_every_cell_in_range(eps):
-    found = set(STREET.offsets_within(eps))
-    lat0, lng0 = centre(STREET, 0, 0)
-    for dq in range(-60, 61):
-        for dr in range(-60, 61):
-            lat, lng = centre(STREET, dq, dr)
-            if math.hypot(lat - lat0, lng - lng0) <= eps:
-                assert (dq, dr) in found
-    assert (0, 0) in found
-
-
 def test_only_two_resolutions():
     assert grid_for(7) is CITY and grid_for(9) is STREET
     with pytest.raises(ValueError):

@@ -119,3 +119,32 @@ def test_summary_of_no_hotspots_is_empty(spark, ws):
         {"severity_mean": F.lit(0.5), "top_violation": F.lit("X"), "police_station": F.lit("S")}
     )
     assert hotspots.summarize_hotspots(df).count() == 0
+
+
+def points(spark, cells):
+    df = cell_table(spark, cells)
+    return df.select(F.concat_ws("/", "hq", "hr").alias("id"), "hq", "hr", "lat", "lng")
+
+
+@pytest.mark.parametrize("eps", [0.0005, 0.001, 0.004, 0.01, 0.04, 0.05])
+def test_neighbours_equal_brute_force_for_any_eps(spark, eps):
+    cells = random_cells(7, 400, 60) | {(-q, -r - 30): 1 for q, r in random_cells(8, 100, 40)}
+    found = points(spark, cells)
+    rows = found.collect()
+    at = np.array([(r["lat"], r["lng"]) for r in rows])
+    near = ((at[:, None] - at[None]) ** 2).sum(axis=2) <= eps * eps
+    want = sorted((rows[i]["id"], rows[j]["id"]) for i, j in zip(*np.nonzero(near)))
+    got = sorted((r["a"], r["b"]) for r in hotspots.eps_neighbours(found, STREET, eps).collect())
+    assert got == want
+
+
+def test_the_plan_does_not_grow_with_eps(spark):
+    found = points(spark, random_cells(7, 50, 20))
+    size = lambda eps: len(hotspots.eps_neighbours(found, STREET, eps)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(0.04) < size(0.004) * 1.3
+
+
+def test_a_full_block_of_cells_is_one_cluster(spark, ws):
+    cells = {(q, r): 5 for q in range(40) for r in range(40)}
+    found = detect_hotspots(ws, cell_table(spark, cells).withColumn("police_station", F.lit("A")), HotspotParams(threshold_pct=0.0))
+    assert found.agg(F.count("*"), F.min("cluster_id"), F.max("cluster_id")).first() == (1600, 0, 0)
