@@ -483,6 +483,15 @@ def congestion_gbt_model(spark, sf):
     )
 
 
+def congestion_gbt_nodes(spark, sf):
+    """Descent in the table of the model's nodes gives every cell the model's own prediction."""
+    t = tables(spark, sf, "gbt")
+    nodes = congestion.node_table(t.ws, t.model)
+    own = t.scored.withColumnRenamed("congestion_raw", "_own")
+    same = F.abs(F.col("congestion_raw") - F.col("_own")) <= 1e-9
+    return congestion.score_nodes(own, nodes).select("cell_id", same.alias("as_the_model"))
+
+
 def priority_queue_gbt(spark, sf):
     """The queue of the product path, without the model's own figures."""
     return _flat_queue(tables(spark, sf, "gbt").queue).drop("congestion_score")
@@ -779,7 +788,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         closing_minutes_sketch, vehicle_drift_daily,
         hot_cells, eps_neighbours, dbscan_clusters, hotspot_rank, hotspot_density,
         hotspot_summary, train_test_split, congestion_gbt, feature_importance,
-        congestion_gbt_cells, congestion_gbt_model, priority_queue_gbt,
+        congestion_gbt_cells, congestion_gbt_model, congestion_gbt_nodes, priority_queue_gbt,
         regression_metrics, congestion_score, station_congestion,
         priority_queue, priority_top50, station_priority, station_priority_by_count,
         tier_counts, queue_positions, queue_filtered,

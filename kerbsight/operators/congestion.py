@@ -16,6 +16,7 @@ from kerbsight.session import Workspace
 
 TARGET = "_target"
 PREDICTION = "congestion_raw"
+DEPTH = 5
 
 
 def is_test_row(cell_id: Column) -> Column:
@@ -79,7 +80,7 @@ def train_gbt(cells: DataFrame, rounds: int = 200, seed: int = 42) -> Congestion
         labelCol=TARGET,
         predictionCol=PREDICTION,
         maxIter=rounds,
-        maxDepth=5,
+        maxDepth=DEPTH,
         stepSize=0.05,
         subsamplingRate=0.8,
         featureSubsetStrategy="0.9",
@@ -95,6 +96,53 @@ def train_gbt(cells: DataFrame, rounds: int = 200, seed: int = 42) -> Congestion
     )
 
 
+def node_table(ws: Workspace, model: CongestionModel) -> DataFrame:
+    """The boosted trees as one row per node: `tree`, its `weight`, `node` (the root is 0), the children `left`
+    and `right` (-1 at a leaf), the `feature` and `threshold` that a row is compared with (at most: left), the
+    `prediction`, and the training `n_rows` and variance `gain` of the node."""
+    path = ws.path("trees")
+    model.model.stages[-1].write().save(path)
+    nodes = ws.spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    weights = ws.spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "_", "weight").drop("_")
+    names = F.array(*map(F.lit, model.feature_columns))
+    is_leaf = F.col("leftChild") < 0
+    return nodes.join(weights, "treeID").select(
+        F.col("treeID").alias("tree"),
+        "weight",
+        F.col("id").alias("node"),
+        F.col("leftChild").alias("left"),
+        F.col("rightChild").alias("right"),
+        F.when(~is_leaf, F.get(names, F.col("split.featureIndex"))).alias("feature"),
+        F.when(~is_leaf, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        "prediction",
+        F.col("rawCount").alias("n_rows"),
+        F.when(~is_leaf, F.col("gain")).alias("gain"),
+    )
+
+
+def score_nodes(cells: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """`cells` with the raw prediction of a node table, by descent in plain expressions.
+
+    The trees reach the rows as one scalar, whose size is that of the model: rounds times at most
+    2^(depth + 1) nodes, whatever the data. A missing feature counts as 0.
+    """
+    names = [c for c in fixed.FEATURE_COLUMNS if c in cells.columns]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("feature")).cast("int") - 1
+    node = F.struct("node", place.alias("feature"), "threshold", "left", "right", "prediction")
+    trees = nodes.groupBy("tree", "weight").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    # numbered from 0 without gaps, so a node's number is its place in the sorted array
+    forest = trees.agg(F.array_sort(F.collect_list(F.struct("tree", "weight", "nodes"))).alias("f"))
+    leaf = f"""aggregate(sequence(1, {depth}), 0, (at, i) -> CASE
+        WHEN t.nodes[at].left < 0 THEN at
+        WHEN coalesce(_x[t.nodes[at].feature], 0D) <= t.nodes[at].threshold THEN t.nodes[at].left
+        ELSE t.nodes[at].right END)"""
+    total = F.expr(f"aggregate(_forest, 0D, (s, t) -> s + t.weight * t.nodes[{leaf}].prediction)")
+    inputs = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names))
+    return cells.withColumns({"_x": inputs, "_forest": forest.scalar()}).select(
+        *cells.columns, total.alias(PREDICTION)
+    )
+
+
 def evaluate(model: CongestionModel, cells: DataFrame) -> dict[str, float]:
     """Test metrics through Spark ML's evaluator."""
     scored = model.predict(cells.where(is_test_row(F.col("cell_id"))))

@@ -288,7 +288,9 @@ def write_tables(tables: CityTables, out: str) -> list[str]:
     )
     if tables.method == "gbt":
         model.model.write().overwrite().save(f"{out}/model")
-    return [
+        files.sink_parquet(congestion.node_table(tables.ws, model).coalesce(1), f"{out}/model_nodes")
+    trees = ["model_nodes"] if tables.method == "gbt" else []
+    return trees + [
         "temporal_profiles", "heatmap_city", "heatmap_street", "cell_features", "station_features", "priority_queue_csv",
         "top50_priority_csv", "station_priority_csv", "hotspot_summary_csv", "station_features_csv", "model_metadata",
     ]

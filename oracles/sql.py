@@ -793,6 +793,7 @@ ORACLES |= {
   count(DISTINCT cell_street)::BIGINT AS feature_count FROM f WHERE {_RANGE}""",
     ),
     "congestion_gbt_cells": _query("cells", "SELECT cell_id, true AS in_range FROM cells"),
+    "congestion_gbt_nodes": _query("cells", "SELECT cell_id, true AS as_the_model FROM cells"),
     "congestion_gbt_model": """SELECT 0e0 AS low, 1e0 AS high, true AS fits_held_out_cells,
   7::BIGINT AS features, true AS shares_sum_to_100""",
     "priority_queue_gbt": f"SELECT * EXCLUDE (congestion_score) FROM ({ORACLES['priority_queue']})",

@@ -19,7 +19,7 @@ def test_run_writes_every_table(spark, tmp_path, violations, city):
     assert names == {
         "cleaned_violations", "temporal_profiles", "heatmap_city", "heatmap_street", "cell_features",
         "station_features", "priority_queue_csv", "top50_priority_csv", "station_priority_csv",
-        "hotspot_summary_csv", "station_features_csv", "model_metadata", "model",
+        "hotspot_summary_csv", "station_features_csv", "model_metadata", "model", "model_nodes",
     }
     written = spark.read.parquet(f"{out}/cell_features")
     expected = city.cells.select("cell_id", "violation_count", "severity_sum", "unique_vehicles")

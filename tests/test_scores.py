@@ -110,3 +110,16 @@ def test_split_is_stable_and_about_one_in_five(city):
     first = split(1)
     assert first == split(6)
     assert 0.1 < sum(first.values()) / len(first) < 0.3
+
+
+def test_the_node_table_predicts_what_the_model_predicts(spark, ws, city):
+    model = congestion.train_gbt(city.hotspots, rounds=12)
+    nodes = ws.save("nodes", congestion.node_table(ws, model))
+    cells = city.hotspots.withColumn("severity_mean", F.when(F.col("unique_vehicles") > 2, F.col("severity_mean")))
+    want = {r["cell_id"]: r["congestion_raw"] for r in model.predict(cells).collect()}
+    got = {r["cell_id"]: r["congestion_raw"] for r in congestion.score_nodes(cells, nodes).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and len(set(got.values())) > 10
+    shape = nodes.groupBy("tree").agg(F.count("*").alias("n"), F.max("node").alias("top"), F.count_if(F.col("feature").isNull()).alias("leaves"))
+    assert all(r["top"] == r["n"] - 1 and r["leaves"] == (r["n"] + 1) // 2 <= 32 for r in shape.collect())
+    root = nodes.where("node = 0")
+    assert root.count() == 12 and root.where("n_rows > 0 AND gain > 0").count() == 12
