@@ -13,17 +13,17 @@ BLOCK = 256
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def with_spans(df: DataFrame, text: str, regex: str, name: str, pieces: str | None = None) -> DataFrame:
+def with_spans(df: DataFrame, text: str, regex: str | Column, name: str, pieces: str | None = None) -> DataFrame:
     """`df` with `name`, the matches of `regex` in `text`: start and end in code points, and value.
 
-    With `pieces`, also the texts between the matches, one more than matches (empty without any).
+    `regex` may be a column, a pattern for each row. With `pieces`, also the texts between the matches, one more than matches (empty without any).
     """
-    pattern = F.lit(regex)
+    pattern = F.lit(regex) if isinstance(regex, str) else regex
     df = df.withColumn("_m", F.regexp_extract_all(F.col(text), pattern, F.lit(0)))
     some = F.size("_m") > 0
     df = df.withColumn(
         "_s",
-        F.when(some, F.split(F.col(text), regex, -1)).otherwise(F.array().cast("array<string>")),
+        F.when(some, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")),
     )
     df = df.withColumn(
         "_n",
