@@ -2,19 +2,21 @@
 expressions only.
 
 Protected entities are the values of the base kinds: e-mail address, IP address, card number, phone
-number. A term (a word of three or more letters) within `CONTEXT` characters of an entity may give
+number. A term (a word of three or more letters) anywhere in a document that holds an entity may give
 the entity away. How strongly is estimated from the corpus (after Sanchez and Batet's C-sanitised): with
-n(e) documents of N that hold entity e, n(t) that hold term t anywhere, and n(t, e) that hold t beside e,
+n(e) documents of N that hold entity e, n(t) that hold term t, and n(t, e) that hold both,
 
     PMI(t, e) = log2(N n(t, e) / (n(t) n(e))),   IC(e) = log2(N / n(e)),   disclosure = PMI / IC.
 
-Disclosure is 1 when the term occurs nowhere but beside the entity, and falls with every document that
-holds the term elsewhere. From `REMOVE` on the term is removed, from `GENERALISE` on it is
-generalised. A pair must be seen in at least `SUPPORT` documents: one observation says nothing.
+Disclosure is 1 when the term occurs in no document without the entity, and falls with every document
+that does. From `REMOVE` on the term is removed, from `GENERALISE` on it is generalised, at every place
+in the documents that hold the entity. A pair must be seen in at least `SUPPORT` documents: one
+observation says nothing.
 
-Counts cover all documents. Terms are counted map-side per document and term; of the corpus' terms only
-those beside an entity go on. Pairs (entity, term) are unique after their first grouping, so an
-entity that a third of all documents hold costs one row per term and task.
+Counts cover whole documents, and all of them. A pair with fewer than `SUPPORT` documents, or whose term is in
+more than n(e)^`GENERALISE` N^(1 - `GENERALISE`), can't disclose enough, since n(t, e) is at most n(e): so entities of
+one document and terms that are too frequent for all entities beside them go before any pair is made. Entities, terms and
+pairs that very many documents hold meet their counts by `common.lookup`.
 
 Defined results: a null or empty text has no spans; null ids and repeated rows are kept as they are; an
 empty table gives no rows. Other columns are ignored.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kerbsight.llm.common import table, workspace
+from kerbsight.llm.common import lookup, table, workspace
 from kerbsight.llm.spans import SPAN, replaced, with_spans, written
 from kerbsight.session import Workspace
 
@@ -43,12 +45,10 @@ PHONE_DIGITS = (8, 15)
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("generalised", "removed")
 
-CONTEXT = 48
 SUPPORT = 2
 GENERALISE = 0.75
 REMOVE = 0.9
 
-_GLUE = r"\p{L}\p{N}@._%+-"
 #: a word that is no part of an address or a longer token
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 WORD = r"[^\p{L}]+"
@@ -70,10 +70,9 @@ def luhn(x: Column) -> Column:
 
 
 def with_base_spans(df: DataFrame, text: str) -> DataFrame:
-    """`df` with the spans of each base kind in `_email` to `_phone`, and what lies between them in
-    `_email_gaps` and so on."""
+    """`df` with the spans of each base kind in `_email` to `_phone`."""
     for kind, regex in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True):
-        df = with_spans(df, text, regex, f"_{kind}", f"_{kind}_gaps")
+        df = with_spans(df, text, regex, f"_{kind}")
     return df
 
 
@@ -88,102 +87,83 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _beside(kind: str) -> Column:
-    """Of each valid span the text before and after it, without words that are cut off."""
-    gaps = f"_{kind}_gaps"
-    # matches and gaps are paired by position before invalid matches go
-    pairs = F.arrays_zip(
-        F.col(f"_{kind}").alias("span"),
-        F.expr(f"slice({gaps}, 1, size(_{kind}))").alias("left"),
-        F.expr(f"slice({gaps}, 2, size(_{kind}))").alias("right"),
-    )
-
-    def one(x):
-        left, right = x["1"], x["2"]
-        before = F.when(
-            F.length(left) > CONTEXT,
-            F.regexp_replace(F.substring(left, F.lit(-CONTEXT), F.lit(CONTEXT)), f"^[{_GLUE}]+", ""),
-        ).otherwise(left)
-        after = F.when(
-            F.length(right) > CONTEXT,
-            F.regexp_replace(F.substring(right, F.lit(1), F.lit(CONTEXT)), f"[{_GLUE}]+$", ""),
-        ).otherwise(right)
-        span = x["0"]
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.lower(span["value"]).alias("entity"),
-            F.array(
-                F.struct((span["start"] - F.length(before)).alias("at"), before.alias("part")),
-                F.struct(span["end"].alias("at"), after.alias("part")),
-            ).alias("parts"),
-        )
-
-    zipped = F.transform(
-        pairs, lambda x: F.struct(x["span"].alias("0"), x["left"].alias("1"), x["right"].alias("2"))
-    )
-    return F.transform(F.filter(zipped, lambda x: valid(kind, x["0"]["value"])), one)
-
-
 def find_base(df: DataFrame, keep: list[str], text: str = "_text") -> DataFrame:
-    """The columns `keep`, the valid spans of each kind, and `beside`: for every span its kind,
-    entity and the short texts around it with their positions."""
+    """The columns `keep`, the valid spans of each kind, the distinct `entities` (kind and value), and, of texts
+    that hold any, all `words`: term, start and end."""
     df = with_base_spans(df, text)
 
     def spans(kind: str) -> Column:
         return F.filter(f"_{kind}", lambda x: valid(kind, x["value"])).cast(SPAN).alias(kind)
 
-    return df.select(*keep, *map(spans, KINDS), F.concat(*map(_beside, KINDS)).alias("beside"))
+    def entities(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["value"])))
 
-
-def context_terms(base: DataFrame, row: str) -> DataFrame:
-    """`(row, kind, entity, term, start, end)` for every term beside an entity."""
-    parts = base.where(F.size("beside") > 0).select(
-        row, F.explode("beside").alias("b")
-    ).select(row, "b.kind", "b.entity", F.explode("b.parts").alias("p")).select(
-        row, "kind", "entity", "p.at", "p.part"
-    )
-    return (
-        with_spans(parts, "part", TERM, "terms")
-        .select(row, "kind", "entity", "at", F.explode("terms").alias("t"))
-        .select(
-            row,
-            "kind",
-            "entity",
-            F.lower("t.value").alias("term"),
-            (F.col("at") + F.col("t.start")).alias("start"),
-            (F.col("at") + F.col("t.end")).alias("end"),
-        )
+    df = df.select(*keep, text, *map(spans, KINDS))
+    df = df.withColumn("entities", F.array_distinct(F.concat(*map(entities, KINDS))))
+    df = df.withColumn("_own", F.when(F.size("entities") > 0, F.col(text)).otherwise(""))
+    words = F.transform(
+        "_words",
+        lambda x: F.struct(
+            F.lower(x["value"]).alias("term"), x["start"].alias("start"), x["end"].alias("end")
+        ),
     )
+    return with_spans(df, "_own", TERM, "_words").select(*keep, *KINDS, "entities", words.alias("words"))
 
 
-def disclosures(beside: DataFrame, texts: DataFrame, row: str, entities: DataFrame, n: int) -> DataFrame:
-    """`(kind, entity, term, disclosure)` for the pairs that have enough support and disclose
-    enough. `beside` as from `context_terms`, `texts(_text)` the corpus, `entities(kind, entity,
-    n_e)`, `n` the number of documents."""
-    pairs = (
-        beside.select(row, "kind", "entity", "term")
-        .distinct()
-        .groupBy("kind", "entity", "term")
-        .agg(F.count("*").alias("n_te"))
-        .where(F.col("n_te") >= SUPPORT)
-    )
-    wanted = pairs.select("term").distinct()
+def most(n_e: Column, n: int) -> Column:
+    """The number of documents beyond which a term can't disclose an entity of `n_e` documents enough (and a
+    little, as logarithms are rounded)."""
+    return F.pow(n_e, F.lit(GENERALISE)) * (n ** (1 - GENERALISE) * (1 + 1e-6))
+
+
+def holders(ws: Workspace, base: DataFrame, n: int) -> DataFrame:
+    """`(_row, entity, n_e)` of the entities that at least `SUPPORT` documents hold, but not all."""
+    held = ws.save("held", base.select("_row", F.explode("entities").alias("entity")))
+    counted = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    counted = counted.where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)).withColumn("n", F.col("n_e"))
+    counted = ws.save("entities", counted)
+    found = lookup(held, counted, "entity", "n", held.count())
+    return ws.save("holders", found.where("n_e IS NOT NULL"))
+
+
+def term_counts(ws: Workspace, texts: DataFrame) -> DataFrame:
+    """`(term, n_t)`: of how many `texts(_text)` have it, for those of at least `SUPPORT`."""
     words = F.array_distinct(F.split(F.lower("_text"), WORD, -1))
     counted = (
         texts.select(F.explode(words).alias("term"))
         .where(F.length("term") >= 3)
         .groupBy("term")
         .agg(F.count("*").alias("n_t"))
-        .join(wanted, "term")
     )
+    return ws.save("term-counts", counted.where(F.col("n_t") >= SUPPORT))
+
+
+def candidates(ws: Workspace, base: DataFrame, held: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """`(_row, entity, n_e, term, n_t)` for all terms in the documents of an entity that may disclose it."""
+    rows = held.groupBy("_row").agg(F.max("n_e").alias("most_e"))
+    words = F.array_distinct(F.transform("words", lambda x: x["term"]))
+    terms = base.where(F.size("entities") > 0).select("_row", words.alias("terms")).join(rows, "_row")
+    terms = ws.save("terms", terms.select("_row", "most_e", F.explode("terms").alias("term")))
+    # n_t is at least the number of rows here
+    total = counts.agg(F.sum("n_t").alias("n")).first().n or 0
+    known = lookup(terms, counts.withColumn("n", F.col("n_t")), "term", "n", total)
+    known = ws.save("rare-terms", known.where(F.col("n_t") <= most(F.col("most_e"), n)).drop("most_e"))
+    pairs = known.join(held, "_row").where(F.col("n_t") <= most(F.col("n_e"), n))
+    return ws.save("pairs", pairs.select("_row", "entity", "n_e", "term", "n_t"))
+
+
+def disclosures(pairs: DataFrame, n: int) -> DataFrame:
+    """`(entity, term, n_te, disclosure)` for the pairs that have enough support and disclose enough; `pairs` as from
+    `candidates`, `n` the number of documents."""
     ic = F.log2(F.lit(n) / F.col("n_e"))
     pmi = F.log2(F.lit(n) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
     return (
-        pairs.join(counted, "term")
-        .join(entities, ["kind", "entity"])
-        .withColumn("disclosure", F.round(F.when(ic > 0, pmi / ic).otherwise(0.0), 9))
+        pairs.groupBy("entity", "n_e", "term", "n_t")
+        .agg(F.count("*").alias("n_te"))
+        .where(F.col("n_te") >= SUPPORT)
+        .withColumn("disclosure", F.round(pmi / ic, 9))
         .where(F.col("disclosure") >= GENERALISE)
-        .select("kind", "entity", "term", "disclosure")
+        .select("entity", "term", "n_te", "disclosure")
     )
 
 
@@ -199,18 +179,16 @@ def find_personal_data(
     base = find_base(rows, ["_id"]).withColumn("_row", F.monotonically_increasing_id())
     base = ws.save("base", base)
     n = base.count()
-    beside = ws.save("beside", context_terms(base, "_row"))
-    entities = (
-        base.where(F.size("beside") > 0)
-        .select("_row", F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b["kind"], b["entity"])))).alias("e"))
-        .groupBy("e.kind", "e.entity")
-        .agg(F.count("*").alias("n_e"))
-    )
-    found = ws.save("disclosures", disclosures(beside, rows.select("_text"), "_row", entities, n))
+    held = holders(ws, base, n)
+    pairs = candidates(ws, base, held, term_counts(ws, rows.select("_text")), n)
+    found = ws.save("disclosures", disclosures(pairs, n))
+    seen = lookup(pairs.select("_row", "entity", "term"), found, ["entity", "term"], "n_te", pairs.count())
+    seen = seen.where("disclosure IS NOT NULL").groupBy("_row", "term").agg(F.max("disclosure").alias("disclosure"))
+    seen = ws.save("seen", seen)
+    places = base.join(seen.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode("words").alias("w"))
     spans = (
-        beside.join(found, ["kind", "entity", "term"])
-        .groupBy("_row", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
+        places.select("_row", "w.*")
+        .join(seen, ["_row", "term"])
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("t"))
     )
@@ -223,7 +201,7 @@ def find_personal_data(
         ),
     )
     none = F.array().cast("array<struct<start:int,end:int,kind:string,disclosure:double>>")
-    joined = base.drop("beside").join(spans, "_row", "left")
+    joined = base.drop("entities", "words").join(spans, "_row", "left")
     return joined.withColumn("terms", F.coalesce(terms, none)).drop("_row", "t")
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -85,6 +86,46 @@ def test_disclosure_is_what_counting_gives(spark, ws, frame):
     assert len(got) == n
 
 
+def test_whole_documents_are_looked_at(ws, frame):
+    """Far from the address, and at every place of the documents that hold it."""
+    far = " ".join(["common words"] * 12)
+    rows = [(i, f"zebulon {far} {far if i % 2 else ''} marta@example.org {far} zebulon {'common words'}") for i in range(4)]
+    rows += [(10 + i, far) for i in range(40)] + [(60, "zebulon alone")]
+    got = {r["_id"]: [(x["start"], x["end"]) for x in r["terms"]] for r in P.find_personal_data(ws, frame(rows)).collect()}
+    for i, text in rows:
+        want = [m.span() for m in re.finditer("zebulon", text)] if i < 4 else []
+        assert got[i] == want, i
+
+
+def test_pairs_equal_counting_over_whole_documents(ws, frame):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnr"]
+    rows = []
+    for i in range(150):
+        text = rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=rng.randrange(40))
+        for e in range(6):
+            if rng.random() < (0.4 if e == 0 else 0.05):
+                text.insert(rng.randrange(len(text) + 1), f"e{e}@example.org")
+                text += [f"own{'abcdef'[e]}"] * (rng.random() < 0.9)
+        rows.append((i, " ".join(text)))
+    rows.append((0, rows[0][1]))
+    sets = [(set(re.findall(r"e\d@example.org", t)), set(re.findall(r"(?<!\S)[a-z]{3,}(?!\S)", t))) for _, t in rows]
+    n, want = len(rows), []
+    for (i, text), (held, terms) in zip(rows, sets, strict=True):
+        marked = {}
+        for e, t in ((e, t) for e in held for t in terms):
+            n_e, n_t = sum(e in x for x, _ in sets), sum(t in y for _, y in sets)
+            n_te = sum(e in x and t in y for x, y in sets)
+            r = round(math.log2(n * n_te / (n_t * n_e)) / math.log2(n / n_e), 9)
+            if n_te >= 2 and r >= P.GENERALISE:
+                marked[t] = max(r, marked.get(t, 0))
+        places = [(*m.span(), marked[m[0]]) for m in re.finditer(r"(?<!\S)[a-z]{3,}(?!\S)", text) if m[0] in marked]
+        want.append((i, places))
+    got = P.find_personal_data(ws, frame(rows)).collect()
+    got = [(r["_id"], [(x["start"], x["end"], x["disclosure"]) for x in r["terms"]]) for r in got]
+    assert sorted(got) == sorted(want) and sum(len(x) for _, x in want) > 50
+
+
 def test_sanitised_text(spark, ws, frame):
     df = frame(corpus())
     found = P.find_personal_data(ws, df).join(df.select(F.col("doc_id").alias("_id"), "text"), "_id")
