@@ -20,7 +20,8 @@ most `BUCKET` for each row of a bucket, at any size and however many near copies
 Equal fingerprints are one node of the graph, so copies cost nothing after the first grouping.
 
 `keep_one`, the pipeline's stage, has another contract: shingles of five words and a similarity of 0.8
-or more, where three bits reach only almost identical texts (see below).
+or more. Fingerprints and their links are its first step, checked on the sets; as three bits reach only almost
+identical texts, an exact join adds the others (see below).
 
 Defined results: a null text is an empty one and has fingerprint zero, as has any text without
 words; the class id is the smallest id that isn't null (null where all are); repeated rows are
@@ -38,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbsight.llm.common import addressed, lookup, rows_of, table, without, workspace
 from kerbsight.llm.compare import against, linked
+from kerbsight.llm.words import slices
 from kerbsight.operators.components import connected_components
 from kerbsight.session import Workspace
 
@@ -197,11 +199,12 @@ def near_duplicates(
 
 # -- classes by the similarity of shingle sets ------------------------------------------------
 #
-# Two texts are linked when their sets of `shingle` words have a Jaccard similarity of 4/5 or more. No
-# radius of fingerprints gives just these pairs, so they are found exactly, by prefixes: order the shingles of all texts in
-# any one way; the first n - ceil(4n/5) + 1 of a set of n share one with those of every set linked to it.
-# Frequent shingles, known from a sample, come last in the order, so few sets meet at one. Three steps:
-# each set is compared with one or two leaders of the shingles it meets others at, which joins large
+# Two texts are linked when their sets of `shingle` words have a Jaccard similarity of 4/5 or more. First the sets'
+# fingerprints are linked as above, by pigeonring chains, and each set is checked against the first of its class of
+# fingerprints. No radius gives just the pairs that are wanted, so the others are found exactly, by prefixes: order the
+# shingles of all texts in any one way; the first n - ceil(4n/5) + 1 of a set of n share one with those of every set linked to it.
+# Frequent shingles, known from a sample, come last in the order, so few sets meet at one. Three steps more:
+# each set that is not in one class with them yet is compared with one or two leaders of the shingles it meets others at, which joins large
 # classes; sets that are in one class by then are compared no more; all others that meet are.
 # Before the sets themselves are compared, sizes and parity bitmaps are: these differ in at most as
 # many bits as the sets in elements, which is at most a ninth of both sizes.
@@ -211,6 +214,7 @@ PARITY = [f"b{i}" for i in range(4)]
 SAMPLE = 4_000
 FREQUENT = 65_536
 SALTS = 32
+SLICE = 1 << 20  # bytes of text worked on at once
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -219,6 +223,15 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, 42) for s in found), np.uint64, len(found)))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of hashes; zero if it is empty."""
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(own), 4096):
+        bits = np.unpackbits(own[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(own), bitorder="little").view(np.uint64)[0])
+
+
 def prefix_of(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set: infrequent ones by hash, then the others by count."""
     if not len(own):
@@ -250,34 +263,37 @@ def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def shingle_sets(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
-    """`keep`, `node` (a hash of the set), `size`, the parity bitmap and the prefix of each row."""
+    """`keep`, `node` (a hash of the set), `size`, the parity bitmap, the fingerprint and the prefix of each row."""
     index = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, bits, prefixes = [], [], [], []
-            for x in batch.column("_text"):
-                own = shingle_set(x.as_py(), shingle)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
-                sizes.append(len(own))
-                odd = np.bincount(((own >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                bits.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
-                prefixes.append(prefix_of(own, *index.value).view(np.int64))
-            columns = np.array(bits, np.int64).reshape(-1, len(PARITY)).T
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in keep),
-                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                    pa.array(sizes, pa.int64()),
-                    *(pa.array(np.ascontiguousarray(c)) for c in columns),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                ],
-                [*keep, "node", "size", *PARITY, "prefix"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "_text", SLICE):
+                nodes, sizes, bits, fps, prefixes = [], [], [], [], []
+                for x in batch.column("_text"):
+                    own = shingle_set(x.as_py(), shingle)
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
+                    sizes.append(len(own))
+                    odd = np.bincount(((own >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                    bits.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                    fps.append(set_fingerprint(own))
+                    prefixes.append(prefix_of(own, *index.value).view(np.int64))
+                columns = np.array(bits, np.int64).reshape(-1, len(PARITY)).T
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c) for c in keep),
+                        pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                        pa.array(sizes, pa.int64()),
+                        *(pa.array(np.ascontiguousarray(c)) for c in columns),
+                        pa.array(np.array(fps, np.uint64).view(np.int64)),
+                        pa.array(prefixes, pa.list_(pa.int64())),
+                    ],
+                    [*keep, "node", "size", *PARITY, "fp", "prefix"],
+                )
 
     kinds = dict(rows.dtypes)
     schema = [*(f"`{c}` {kinds[c]}" for c in keep), "node bigint", "size bigint"]
-    schema += [*(f"{b} bigint" for b in PARITY), "prefix array<bigint>"]
+    schema += [*(f"{b} bigint" for b in PARITY), "fp bigint", "prefix array<bigint>"]
     return rows.select(*keep, "_text").mapInArrow(run, ", ".join(schema))
 
 
@@ -301,9 +317,10 @@ def sets_of(ws: Workspace, nodes: DataFrame, rows: DataFrame, firsts: DataFrame,
     at = ws.save("addresses", firsts.join(nodes, "node").select("node", "_src_file", "_src_row"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
+        for whole in batches:
+            for batch in slices(whole, "_text", SLICE):
+                own = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column("_text")]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
 
     texts = rows.join(at, ["_src_file", "_src_row"]).select("node", "_text")
     return ws.save("shingle-sets", texts.mapInArrow(run, "node bigint, own binary"))
@@ -328,15 +345,28 @@ def _roots(ws: Workspace, edges: DataFrame) -> DataFrame:
     return connected_components(ws, both.select(F.col("a").alias("node")).distinct(), both)
 
 
+def fingerprint_leaders(ws: Workspace, nodes: DataFrame) -> DataFrame:
+    """`(node, other)`: each of `nodes(node, fp)`, a written table, and the first node of its class of linked
+    fingerprints, where that is another."""
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    fps = ws.save("fingerprints", fps)
+    roots = _roots(ws, ws.save("edges", links(ws, fps.select("fp")))).withColumnRenamed("node", "fp")
+    placed = fps.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    placed = ws.save("placed", placed)
+    leaders = placed.groupBy("root").agg(F.min("first").alias("other"), F.count("*").alias("m"))
+    led = lookup(placed, ws.save("fp-leaders", leaders), "root", "m", placed.count()).select("fp", "other", "n")
+    return lookup(nodes, ws.save("led-fps", led), "fp", "n", nodes.count()).where("node != other").select("node", "other")
+
+
 def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     """`rows(_id, _text, _src_file, _src_row)` without the text, and `root`, the same in all rows of a class."""
     marked = ws.save("sets", shingle_sets(rows, ["_id", "_src_file", "_src_row"], shingle))
     address = ["_src_file", "_src_row"]
     firsts = marked.groupBy("node").agg(
         F.min(F.struct(*address)).alias("at"), F.count("*").alias("n"),
-        *(F.max(c).alias(c) for c in ("size", *PARITY)),
+        *(F.max(c).alias(c) for c in ("size", *PARITY, "fp")),
     )
-    firsts = ws.save("firsts", firsts.select("node", "n", "at.*", "size", *PARITY))
+    firsts = ws.save("firsts", firsts.select("node", "n", "at.*", "size", *PARITY, "fp"))
     facts = firsts.select("node", "size", *PARITY)
     members = marked.select("node", F.explode("prefix").alias("bucket"))
     total = marked.agg(F.sum(F.size("prefix")).alias("n")).first().n or 0
@@ -353,18 +383,24 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
         half = ws.save("half", _with(ws, pairs, "a", facts))
         return _with(ws, half, "b", facts).where(may_be_similar("a_", "b_")).select("a", "b")
 
+    def apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+        """Those pairs whose nodes are in different classes."""
+        roots = ws.save("roots", _roots(ws, edges))
+        for side in ("a", "b"):
+            pairs = ws.save("led", _with(ws, pairs, side, roots))
+        return ws.save("apart", pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+
+    by_bits = fingerprint_leaders(ws, firsts.select("node", "fp"))
+    by_bits = ws.save("near-bits", compared(by_bits.select(*_ordered("node", "other"))))
     pairs = met.select("node", F.explode(F.array("low", "high")).alias("other"))
     near = ws.save("near-leaders", compared(pairs.select(*_ordered("node", "other"))))
-    sets = sets_of(ws, _ends(near), rows, firsts, shingle)
+    sets = sets_of(ws, _ends(by_bits.unionByName(near)), rows, firsts, shingle)
+    edges = similar(ws, by_bits, sets)
+    near = apart(near, edges)
     # one partner each, the same for many
     chosen = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = similar(ws, ws.save("chosen", chosen), sets)
-
-    roots = ws.save("roots", _roots(ws, edges))
-    for side in ("a", "b"):
-        near = ws.save("led", _with(ws, near, side, roots))
-    apart = near.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    edges = edges.unionByName(similar(ws, ws.save("apart", apart), sets))
+    edges = edges.unionByName(similar(ws, ws.save("chosen", chosen), sets))
+    edges = edges.unionByName(similar(ws, apart(near, edges), sets))
 
     roots = _roots(ws, edges)
     left = met.select("bucket", "node").join(roots, "node", "left")

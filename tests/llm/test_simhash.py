@@ -160,3 +160,22 @@ def test_similar_texts_far_apart_in_bits_are_one_class(spark, frame):
 def test_unrelated_texts_with_one_id_are_two_classes(spark, frame):
     rows = [(1, "one text that is here with its own words"), (1, "another thing that nobody wrote before today")]
     assert S.keep_one(spark, frame([*rows, rows[0]])).count() == 2
+
+
+def test_classes_of_fingerprints_are_found_first(spark, ws):
+    """Three texts whose sets' fingerprints are in one class by chains of at most three bits, and one alone."""
+    base = 0x123456789ABCDEF
+    fps = {10: base, 4: base ^ 0b111, 7: base ^ 0b111111, 3: base ^ (0xFFFF << 20), 9: base}
+    nodes = ws.save("given", spark.createDataFrame(list(fps.items()), "node bigint, fp bigint"))
+    got = sorted(tuple(r) for r in S.fingerprint_leaders(ws, nodes).collect())
+    assert got == [(7, 4), (9, 4), (10, 4)]
+
+
+def test_the_stage_links_by_fingerprints(spark, frame, monkeypatch):
+    """Almost identical texts are found by their fingerprints, without any prefix in common being needed."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "edit"])), (3, "something else that is written here")]
+    sets = [S.shingle_set(t, 5) for _, t in rows[:2]]
+    assert (S.set_fingerprint(sets[0]) ^ S.set_fingerprint(sets[1])).bit_count() <= 3
+    monkeypatch.setattr(S, "prefix_of", lambda own, *_: own[:0])
+    assert sorted(r["doc_id"] for r in S.keep_one(spark, frame(rows)).collect()) == [1, 3]
