@@ -28,9 +28,11 @@ def against(
     spread = lookup(pairs.select("a", "b"), counts, "b", "_n", pairs.count())
     spread = spread.select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     heads = counts.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    heads = heads.join(own.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "own")
-    others = spread.join(own.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "own")
-    both = heads.unionByName(others).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    heads = heads.select("b", "part", F.lit(None).cast("bigint").alias("a"), F.col("b").alias("node"))
+    # one join, so that what is large is shuffled for it once
+    asked = heads.unionByName(spread.select("b", "part", "a", F.col("a").alias("node")))
+    both = asked.join(own, "node").select("b", "part", "a", "own")
+    both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = []

@@ -207,7 +207,8 @@ def near_duplicates(
 # each set that is not in one class with them yet is compared with one or two leaders of the shingles it meets others at, which joins large
 # classes; sets that are in one class by then are compared no more; all others that meet are.
 # Before the sets themselves are compared, sizes and parity bitmaps are: these differ in at most as
-# many bits as the sets in elements, which is at most a ninth of both sizes.
+# many bits as the sets in elements, which is at most a ninth of both sizes. And the places of a shared shingle in both
+# orders are: sets of about one size whose rarest shingles are their own are no pair (after PPJoin, Xiao 2008).
 
 SIMILAR_SHINGLE = 5
 PARITY = [f"b{i}" for i in range(4)]
@@ -304,6 +305,12 @@ def may_be_similar(left: str, right: str) -> Column:
     return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (9 * sum(bits[1:], bits[0]) <= x + y)
 
 
+def has_room(room: Column, left: str, right: str) -> Column:
+    """Whether what ordered sets have from the place of a shared element on is enough for a link. It is at the first one that
+    linked sets share."""
+    return 9 * room >= 4 * (F.col(f"{left}size") + F.col(f"{right}size"))
+
+
 def _with(ws: Workspace, pairs: DataFrame, side: str, facts: DataFrame) -> DataFrame:
     """`pairs`, a written table, with the facts of its nodes `side`, named `side_...`."""
     sizes = pairs.groupBy(side).agg(F.count("*").alias("_n"))
@@ -368,7 +375,8 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     )
     firsts = ws.save("firsts", firsts.select("node", "n", "at.*", "size", *PARITY, "fp"))
     facts = firsts.select("node", "size", *PARITY)
-    members = marked.select("node", F.explode("prefix").alias("bucket"))
+    members = marked.select("node", "size", F.posexplode("prefix").alias("pos", "bucket"))
+    members = members.select("node", "bucket", (F.col("size") - F.col("pos")).cast("int").alias("room"))
     total = marked.agg(F.sum(F.size("prefix")).alias("n")).first().n or 0
     # the order of the members of a bucket is its own, so that leaders differ
     own = F.col("node").bitwiseXOR(F.col("bucket"))
@@ -378,10 +386,11 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     met = ws.save("met", met.where("low IS NOT NULL").distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Of pairs of nodes those that the sizes and bitmaps admit."""
-        pairs = ws.save("pairs", pairs.where("a != b").distinct())
+        """Of pairs of nodes those that the sizes, bitmaps and, where known, places admit."""
+        pairs = ws.save("pairs", pairs.where("a != b").groupBy("a", "b").agg(F.max("room").alias("room")))
         half = ws.save("half", _with(ws, pairs, "a", facts))
-        return _with(ws, half, "b", facts).where(may_be_similar("a_", "b_")).select("a", "b")
+        fits = F.coalesce(has_room(F.col("room"), "a_", "b_"), F.lit(True))
+        return _with(ws, half, "b", facts).where(may_be_similar("a_", "b_") & fits).select("a", "b")
 
     def apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         """Those pairs whose nodes are in different classes."""
@@ -391,20 +400,20 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
         return ws.save("apart", pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
 
     by_bits = fingerprint_leaders(ws, firsts.select("node", "fp"))
-    by_bits = ws.save("near-bits", compared(by_bits.select(*_ordered("node", "other"))))
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("other"))
-    near = ws.save("near-leaders", compared(pairs.select(*_ordered("node", "other"))))
+    by_bits = ws.save("near-bits", compared(by_bits.select(*_ordered("node", "other"), F.lit(None).cast("int").alias("room"))))
+    pairs = met.select("node", "room", F.explode(F.array("low", "high")).alias("other"))
+    near = ws.save("near-leaders", compared(pairs.select(*_ordered("node", "other"), "room")))
     sets = sets_of(ws, _ends(by_bits.unionByName(near)), rows, firsts, shingle)
     edges = similar(ws, by_bits, sets)
     near = apart(near, edges)
-    # one partner each, the same for many
-    chosen = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # one partner each, the same for many; the many are streamed past it
+    chosen = near.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("b"))
     edges = edges.unionByName(similar(ws, ws.save("chosen", chosen), sets))
     edges = edges.unionByName(similar(ws, apart(near, edges), sets))
 
     roots = _roots(ws, edges)
-    left = met.select("bucket", "node").join(roots, "node", "left")
-    left = ws.save("left", left.select("bucket", "node", F.coalesce("root", "node").alias("root")))
+    left = met.select("bucket", "node", "room").join(roots, "node", "left")
+    left = ws.save("left", left.select("bucket", "node", "room", F.coalesce("root", "node").alias("root")))
     mixed = left.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low != high")
@@ -415,9 +424,10 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     salts = F.least(F.lit(SALTS), F.ceil(F.col("in") / BUCKET)).cast("int")
     one = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
     all_ = left.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    all_ = all_.select("bucket", "salt", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "size", *PARITY)))
+    all_ = all_.select("bucket", "salt", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "room", "size", *PARITY)))
+    fits = has_room(F.least("room", "o_room"), "", "o_") & may_be_similar("", "o_")
     rest = one.join(all_, ["bucket", "salt"]).where(
-        (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & may_be_similar("", "o_")
+        (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & fits
     )
     rest = ws.save("rest", rest.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
     more = _ends(rest).join(sets.select("node"), "node", "left_anti")
