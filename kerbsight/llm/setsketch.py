@@ -17,10 +17,11 @@ likely to be hit are made, about a thousand a document however long it is; the f
     jointly with both sizes, which are known. A pair goes if 0.85 is e^`DOUBT` times less likely than the estimate
     (six standard deviations).
  4. The others are verified on their full sets: the best of each node first, then those that are still in different classes.
- 5. Buckets that hold nodes of several classes are left. In those with at most `BUCKET` nodes outside their largest class, these are
-    compared, as in 3 and 4, with all that are in other classes. Larger ones are cut into `CHILDREN` buckets by `WIDTH` further registers each, other
-    ones for every bucket; a pair of similarity 0.85 stays together with a probability of 0.95, in each of the 18 buckets it shares on average. Nodes
-    of one class are never compared, so copies are not expanded into pairs.
+ 5. Buckets that hold nodes of several classes are left. In those of at most `BUCKET` nodes, nodes of different classes are compared, as in 3
+    and 4. All nodes of larger ones meet by exact prefixes of their sets instead (after PPJoin, Xiao 2008): ordered by how many of these nodes have a
+    shingle, linked sets have enough from their first shared shingle on. A family's members whose rarest shingles are their own meet
+    nobody, and nodes of one class are never compared, so neither families nor copies are expanded into pairs. What is left are members so near
+    the threshold that their own shingles don't fill a prefix, with those of other classes.
 
 Sets are never joined to pairs: a verified pair's second set is streamed past the first (`against`), and only the verdict is written. A node with very
 many partners is spread over several tasks.
@@ -56,8 +57,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE = 1.001, 20
 DOUBT = 18
 LEAST = 6  # 6 of 7 shingles is the first similarity from 0.85 to below 1
-BUCKET, CHILDREN, WIDTH, GROUPS, STRIDE = 64, 4, 4, 25, 37
-DEEPEST = 6
+BUCKET = 64
+STEPS = 50  # classes of sizes, two hundredths wide
 _ADDRESS = ["_src_file", "_src_row"]
 
 
@@ -186,9 +187,9 @@ class Classes:
         self.edges = ws.save("no-edges", ws.spark.createDataFrame([], "a bigint, b bigint"))
         self.roots = ws.spark.createDataFrame([], "node bigint, root bigint")
 
-    def _fetch(self, pairs: DataFrame) -> None:
-        """Make the sets of the nodes of `pairs` that aren't there, from the texts."""
-        missing = _ends(pairs).join(self.sets.select("node"), "node", "left_anti")
+    def fetch(self, nodes: DataFrame) -> None:
+        """Make the sets of those of distinct `nodes` that aren't there, from the texts."""
+        missing = nodes.join(self.sets.select("node"), "node", "left_anti")
         at = self.ws.save("addresses", self.nodes.join(missing, "node").select("node", *_ADDRESS))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ class Classes:
         """Estimate distinct `pairs(a, b)`, a written table, and verify what may be linked: for each a its best
         candidate first, then those that are still apart."""
         found = self.ws.save("plausible", against(self.ws, pairs, self.sketches, plausible, "estimate double"))
-        self._fetch(found)
+        self.fetch(_ends(found))
         best = F.max(F.struct("estimate", "b"))["b"]
         chosen = self.ws.save("chosen", found.groupBy("a").agg(best.alias("b")))
         self._verify(chosen)
@@ -239,41 +240,78 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("registers").isNotNull()).select(F.explode(F.array(*keys)).alias("bucket"), "node", "size")
 
 
-def cross_pairs(ws: Workspace, met: DataFrame, nodes: DataFrame, roots: DataFrame, bucket: int) -> DataFrame:
-    """Distinct pairs, a < b, of nodes of different classes that share a bucket of `met(bucket, node, size)`."""
-    level = met.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
-    found, depth = [], 0
-    while True:
-        level = ws.save("level", level)
-        # all pairs of two classes have one that isn't in the bucket's largest class
-        per = level.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("major"))
-        mixed = mixed.select("bucket", F.col("major.root").alias("major"), (F.col("n") - F.col("major.c")).alias("others"))
-        mixed = ws.save("mixed", mixed.where("others > 0"))
-        large = (F.col("others") > bucket) & F.lit(depth < DEEPEST)
-        members = level.join(mixed.where(~large), "bucket").select("bucket", "node", "size", "root", "major")
-        others = members.where("root != major").select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root")))
-        meet = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("o_node")))
-        pair = members.join(others, "bucket").where(meet & _close(F.col("size"), F.col("o_size")))
-        found.append(ws.save("met-pairs", pair.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()))
-        if mixed.where(large).isEmpty():
-            break
-        # every bucket is cut by other groups of registers, or a pair that is unlucky in one would be so in all
-        keys, first = [], depth % 2 * GROUPS
-        for group in range(first, first + GROUPS):
-            at = [(group * WIDTH + k) * STRIDE % REGISTERS for k in range(WIDTH)]
-            keys.append(F.xxhash64(F.lit(group), *(F.substring("registers", 2 * i + 1, 2) for i in at)))
-        turn = F.pmod(F.xxhash64("bucket"), F.lit(GROUPS))
-        own = [F.get("keys", F.pmod(turn + i * 7, F.lit(GROUPS)).cast("int")) for i in range(CHILDREN)]
-        # a few hashes a node are joined, not its registers
-        crowded = level.join(mixed.where(large).select("bucket"), "bucket")
-        split = crowded.join(nodes.select("node", F.array(*keys).alias("keys")), "node").select("*", F.explode(F.array(*own)).alias("key"))
-        level = split.select(F.xxhash64("bucket", "key").alias("bucket"), "node", "size", "root")
-        depth += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+def _met(members: DataFrame, fits: Column) -> DataFrame:
+    """Distinct pairs, a < b, of `members(bucket, node, root, size, major, ...)` of different roots in a bucket. All pairs of two
+    classes have one that isn't in the bucket's largest class, `major`."""
+    others = members.where("root != major").drop("major")
+    others = others.select("bucket", *(F.col(c).alias(f"o_{c}") for c in others.columns if c != "bucket"))
+    meet = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("o_node")))
+    pair = members.join(others, "bucket").where(meet & _close(F.col("size"), F.col("o_size")) & fits)
+    return pair.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def _several(ws: Workspace, level: DataFrame) -> DataFrame:
+    """`(bucket, major, n)` of the buckets that hold several classes."""
+    per = level.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("major"))
+    return ws.save("mixed", mixed.where(F.col("n") > F.col("major.c")).select("bucket", F.col("major.root").alias("major"), "n"))
+
+
+def prefixes(ws: Workspace, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """`(node, size, root, shingle, room)`: the first shingles of the sets of `nodes(node, size, root)`, by their number of these nodes, that
+    others have too; `room` is what the set has from there on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
+
+    lists = sets.join(nodes.select("node"), "node", "left_semi").select("node", "own").mapInArrow(run, "node bigint, own array<bigint>")
+    each = ws.save("shingles", lists.select("node", F.explode("own").alias("shingle")))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counts = ws.save("shingle-counts", counts.withColumn("c", F.col("n")))
+    shared = lookup(each, counts, "shingle", "n", each.count()).where("c IS NOT NULL")
+    shared = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("own"))
+    # those that no other node has come first
+    placed = nodes.join(ws.save("shared", shared), "node").select("node", "size", "root", F.posexplode("own.shingle").alias("at", "shingle"), F.size("own").alias("k"))
+    placed = placed.select("node", "size", "root", "shingle", (F.col("k") - F.col("at")).cast("bigint").alias("room"))
+    return ws.save("prefixes", placed.where(100 * F.col("room") >= PERCENT * F.col("size")))
+
+
+def prefix_pairs(ws: Workspace, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs, a < b, of nodes of different classes among `nodes(node, size, root)` that may be linked: all that are.
+
+    What linked sets have from their first shared shingle on is enough for a link on both sides. The smaller set meets the larger one by
+    this shingle and its class of sizes, so that the larger one shows as many shingles as a set of that size asks for, and no more."""
+    first = prefixes(ws, nodes, sets)
+    enough = lambda room, sizes: (100 + PERCENT) * room >= PERCENT * sizes
+    of_size = lambda x: F.floor(F.log(x) * STEPS).cast("int")
+    size, room = F.col("size"), F.col("room")
+    small = first.where(enough(room, 2 * size)).withColumn("sizes", of_size(size)).withColumn("is_large", F.lit(False))
+    # one class more at either end, and one less than the least size of a class, for what logarithms are off
+    large = first.withColumn("sizes", F.explode(F.sequence(of_size(size * (PERCENT / 100)) - 1, of_size(size))))
+    large = large.where(enough(room, size + F.exp(F.col("sizes") / STEPS) - 1)).withColumn("is_large", F.lit(True))
+    level = small.unionByName(large).select(F.xxhash64("shingle", "sizes").alias("bucket"), "node", "size", "root", "room", "is_large")
+    level = ws.save("level", level)
+    members = level.join(_several(ws, level).select("bucket", "major"), "bucket")
+    sides = F.when(F.col("is_large"), ~F.col("o_is_large") & (size >= F.col("o_size"))).otherwise(F.col("o_is_large") & (size <= F.col("o_size")))
+    return _met(members, sides & enough(F.least("room", "o_room"), size + F.col("o_size")))
+
+
+def cross_pairs(ws: Workspace, met: DataFrame, classes: Classes, bucket: int) -> DataFrame:
+    """Distinct pairs, a < b, of nodes of different classes that share a bucket of `met(bucket, node, size)`. Nodes of crowded buckets meet each
+    other by their prefixes instead."""
+    level = met.join(classes.roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    level = ws.save("level", level)
+    mixed = _several(ws, level)
+    crowded = level.join(mixed.where(F.col("n") > bucket).select("bucket"), "bucket")
+    crowded = ws.save("crowded", crowded.select("node", "size", "root").distinct())
+    members = level.join(mixed.where(F.col("n") <= bucket).select("bucket", "major"), "bucket")
+    members = members.join(crowded.select("node", F.lit(True).alias("is_crowded")), "node", "left")
+    members = members.withColumn("is_crowded", F.coalesce("is_crowded", F.lit(False)))
+    found = ws.save("met-pairs", _met(members, ~(F.col("is_crowded") & F.col("o_is_crowded"))))
+    classes.fetch(crowded.select("node"))
+    return found.unionByName(ws.save("prefix-pairs", prefix_pairs(ws, crowded, classes.sets)))
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, bucket: int = BUCKET) -> DataFrame:
@@ -302,7 +340,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str, text_col: str,
 
     classes = Classes(ws, rows, nodes)
     classes.link(led)
-    cross = cross_pairs(ws, met.select("bucket", "node", "size"), nodes, classes.roots, bucket)
+    cross = cross_pairs(ws, met.select("bucket", "node", "size"), classes, bucket)
     tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     classes.link(ws.save("cross", cross.join(tried, ["a", "b"], "left_anti")))
 

@@ -91,3 +91,25 @@ def test_odd_rows_and_nothing(ws, odd, odd_rows, nothing):
     classes = {4: 4, 5: 4}
     assert found == sorted(((r[0], len(set(shingles(r[1] or "", 5))), classes.get(r[0], r[0])) for r in odd_rows), key=str)
     assert S.near_duplicates(ws, nothing, "doc_id", "text").count() == 0
+
+
+def test_unlike_members_of_a_family_are_no_pairs(ws, frame, monkeypatch):
+    """150 texts with six edits of their own in 300 words are similar by 0.66; two come again with one more word."""
+    rng, base, rows = random.Random(5), [f"w{i}" for i in range(300)], []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(300), 6):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(900 + i, f"{rows[i][1]} more") for i in range(2)]
+    compared, own = [], S.cross_pairs
+
+    def counted(*args):
+        found = own(*args)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(S, "cross_pairs", counted)
+    found = {r[0]: r[2] for r in S.near_duplicates(ws, frame(rows), "doc_id", "text").collect()}
+    assert found == {i: i % 900 for i, _ in rows}
+    assert sum(compared) < 300
