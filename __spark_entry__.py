@@ -31,6 +31,7 @@ from oracles.sql import DATE_FROM, DATE_TO, DRIFT_DATE, ORACLES
 GBT_ROUNDS = 200
 MIN_R2 = 0.95
 FEED_FILES = 6
+FEED_ROW_GROUP = 2 << 20  # bytes
 FEED_LATENESS = "400 days"  # the feed's files may come in any order
 JUNCTION_TEXT = "junction 3"
 JUNCTION_NAME = "Junction 2"
@@ -726,7 +727,9 @@ def _timed_feed(spark, sf) -> DataFrame:
     t = tables(spark, sf)
     if not hasattr(t, "feed"):
         t.feed = t.ws.path("feed")
-        _table(spark, sf, "events").repartitionByRange(FEED_FILES, "event_id").write.parquet(t.feed)
+        ranges = _table(spark, sf, "events").repartitionByRange(FEED_FILES, "event_id")
+        # a file is a micro-batch: row groups of a few megabytes let many tasks read it
+        ranges.write.option("parquet.block.size", FEED_ROW_GROUP).parquet(t.feed)
     events = spark.readStream.schema(_table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(t.feed)
     return cleaning.enrich(violations_from_events(spark, events))
 

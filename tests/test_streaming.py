@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 import math
 
 import pytest
@@ -40,6 +42,39 @@ def test_alert_stream_equals_its_twin(stream, ws, city):
     assert rows(got) == rows(rates.hourly_alerts(table, rules))
 
 
+def test_a_key_is_computed_once_a_row(spark, stream, ws):
+    """No filter on the key below the observation, where the whole expression of the key would stand in it."""
+    source, _ = stream
+    plans = []
+
+    def explain(log, batch_id):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            spark.streams.active[0].explain()
+        plans.append(out.getvalue())
+
+    facts = source.withColumn("cell_street", F.concat(F.lit("x"), "cell_street"))
+    run = rates.run_buckets(ws, facts, "cell_street", 60, after_batch=explain)
+    assert run.n_read > 0 and run.n_dropped == 0
+    below = plans[0].split("CollectMetrics")[1]
+    assert "Project [" in below and "Filter " not in below
+
+
+def test_a_file_of_the_feed_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    rows = spark.range(300_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, rand(1) * 1e6) AS ts",
+        "id % 1500 AS user_id", "'click' AS event_type", "rand(2) AS value", "uuid() AS props",
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(entry, "FEED_FILES", 1)
+    files = entry._timed_feed(spark, str(tmp_path)) and entry.tables(spark, str(tmp_path)).feed
+    (file,) = spark.read.parquet(files).inputFiles()
+    assert pq.ParquetFile(file.removeprefix("file://")).num_row_groups > 3
+
+
 def test_peak_stream_equals_its_twin(spark, stream, ws):
     source, table = stream
     path = ws.path("peaks")
