@@ -209,6 +209,8 @@ def near_duplicates(
 # Before the sets themselves are compared, sizes and parity bitmaps are: these differ in at most as
 # many bits as the sets in elements, which is at most a ninth of both sizes. And the places of a shared shingle in both
 # orders are: sets of about one size whose rarest shingles are their own are no pair (after PPJoin, Xiao 2008).
+# Bitmaps of 256 bits say nothing of long texts, so pairs then meet by bitmaps that grow with the set, one to two bits an
+# element, a 32nd to a 64th of the set itself; only what these admit is compared by sets, and only these sets are made.
 
 SIMILAR_SHINGLE = 5
 PARITY = [f"b{i}" for i in range(4)]
@@ -224,6 +226,25 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, 42) for s in found), np.uint64, len(found)))
 
 
+def parity_bitmap(own: np.ndarray) -> bytes:
+    """Parities of the numbers of elements with the same lowest bits, one to two for each element and 64 at least, and the size."""
+    width = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes() + len(own).to_bytes(8, "big")
+
+
+def alike(heads: list[bytes], which: np.ndarray, others: list[bytes]) -> tuple[np.ndarray]:
+    """A judge of parity bitmaps: whether their sets may be linked. True of all that are."""
+    out = []
+    for i, x in zip(which.tolist(), others, strict=True):
+        few, many = sorted((x, heads[i]), key=len)
+        a, b = (np.frombuffer(y, np.uint64, len(y) // 8 - 1) for y in (few, many))
+        # the larger one folded to what the set has in as few bits
+        differ = int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+        out.append(9 * differ <= sum(int.from_bytes(y[-8:], "big") for y in (few, many)))
+    return (np.array(out, bool),)
+
+
 def set_fingerprint(own: np.ndarray) -> int:
     """Unsigned 64-bit SimHash of a set of hashes; zero if it is empty."""
     count = np.zeros(64, np.int64)
@@ -264,19 +285,20 @@ def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def shingle_sets(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
-    """`keep`, `node` (a hash of the set), `size`, the parity bitmap, the fingerprint and the prefix of each row."""
+    """`keep`, `node` (a hash of the set), `size`, the parity bitmaps, the fingerprint and the prefix of each row."""
     index = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text", SLICE):
-                nodes, sizes, bits, fps, prefixes = [], [], [], [], []
+                nodes, sizes, bits, odds, fps, prefixes = [], [], [], [], [], []
                 for x in batch.column("_text"):
                     own = shingle_set(x.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
                     sizes.append(len(own))
                     odd = np.bincount(((own >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
                     bits.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                    odds.append(parity_bitmap(own))
                     fps.append(set_fingerprint(own))
                     prefixes.append(prefix_of(own, *index.value).view(np.int64))
                 columns = np.array(bits, np.int64).reshape(-1, len(PARITY)).T
@@ -286,15 +308,16 @@ def shingle_sets(rows: DataFrame, keep: list[str], shingle: int) -> DataFrame:
                         pa.array(np.array(nodes, np.uint64).view(np.int64)),
                         pa.array(sizes, pa.int64()),
                         *(pa.array(np.ascontiguousarray(c)) for c in columns),
+                        pa.array(odds, pa.binary()),
                         pa.array(np.array(fps, np.uint64).view(np.int64)),
                         pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    [*keep, "node", "size", *PARITY, "fp", "prefix"],
+                    [*keep, "node", "size", *PARITY, "odd", "fp", "prefix"],
                 )
 
     kinds = dict(rows.dtypes)
     schema = [*(f"`{c}` {kinds[c]}" for c in keep), "node bigint", "size bigint"]
-    schema += [*(f"{b} bigint" for b in PARITY), "fp bigint", "prefix array<bigint>"]
+    schema += [*(f"{b} bigint" for b in PARITY), "odd binary", "fp bigint", "prefix array<bigint>"]
     return rows.select(*keep, "_text").mapInArrow(run, ", ".join(schema))
 
 
@@ -367,13 +390,16 @@ def fingerprint_leaders(ws: Workspace, nodes: DataFrame) -> DataFrame:
 
 def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     """`rows(_id, _text, _src_file, _src_row)` without the text, and `root`, the same in all rows of a class."""
-    marked = ws.save("sets", shingle_sets(rows, ["_id", "_src_file", "_src_row"], shingle))
     address = ["_src_file", "_src_row"]
+    at_sets = ws.path("sets")
+    marked = ws.save_at(at_sets, shingle_sets(rows, ["_id", *address], shingle))
     firsts = marked.groupBy("node").agg(
         F.min(F.struct(*address)).alias("at"), F.count("*").alias("n"),
-        *(F.max(c).alias(c) for c in ("size", *PARITY, "fp")),
+        *(F.max(c).alias(c) for c in ("size", *PARITY, "odd", "fp")),
     )
-    firsts = ws.save("firsts", firsts.select("node", "n", "at.*", "size", *PARITY, "fp"))
+    firsts = ws.save("firsts", firsts.select("node", "n", "at.*", "size", *PARITY, "odd", "fp"))
+    places = ws.save("places", marked.select("_id", *address, "node"))
+    bitmaps = firsts.select("node", F.col("odd").alias("own"))
     facts = firsts.select("node", "size", *PARITY)
     members = marked.select("node", "size", F.posexplode("prefix").alias("pos", "bucket"))
     members = members.select("node", "bucket", (F.col("size") - F.col("pos")).cast("int").alias("room"))
@@ -383,7 +409,9 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     met = members.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count("*").alias("n"))
     met = met.where("n > 1").select("bucket", "n", *(F.col(c).bitwiseXOR(F.col("bucket")).alias(c) for c in ("low", "high")))
     met = lookup(members, ws.save("leaders", met), "bucket", "n", total)
-    met = ws.save("met", met.where("low IS NOT NULL").distinct())
+    at_met = ws.path("met")
+    met = ws.save_at(at_met, met.where("low IS NOT NULL").distinct())
+    ws.drop(at_sets)  # the prefixes are large, and were needed to here
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Of pairs of nodes those that the sizes, bitmaps and, where known, places admit."""
@@ -403,6 +431,7 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
     by_bits = ws.save("near-bits", compared(by_bits.select(*_ordered("node", "other"), F.lit(None).cast("int").alias("room"))))
     pairs = met.select("node", "room", F.explode(F.array("low", "high")).alias("other"))
     near = ws.save("near-leaders", compared(pairs.select(*_ordered("node", "other"), "room")))
+    near = ws.save("near-alike", against(ws, near, bitmaps, alike, ""))
     sets = sets_of(ws, _ends(by_bits.unionByName(near)), rows, firsts, shingle)
     edges = similar(ws, by_bits, sets)
     near = apart(near, edges)
@@ -413,13 +442,17 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
 
     roots = _roots(ws, edges)
     left = met.select("bucket", "node", "room").join(roots, "node", "left")
-    left = ws.save("left", left.select("bucket", "node", "room", F.coalesce("root", "node").alias("root")))
+    at_left = ws.path("left")
+    left = ws.save_at(at_left, left.select("bucket", "node", "room", F.coalesce("root", "node").alias("root")))
+    ws.drop(at_met)
     mixed = left.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low != high")
     mixed = ws.save("mixed", mixed.select("bucket", "n"))
     left = lookup(left, mixed.withColumn("in", F.col("n")), "bucket", "n", left.count()).where("`in` IS NOT NULL")
-    left = ws.save("mixed-members", left.join(facts, "node"))
+    at_members = ws.path("mixed-members")
+    left = ws.save_at(at_members, left.join(facts, "node"))
+    ws.drop(at_left)
     # a large bucket is spread: each row is in one part on the left, in all on the right
     salts = F.least(F.lit(SALTS), F.ceil(F.col("in") / BUCKET)).cast("int")
     one = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
@@ -430,13 +463,15 @@ def similar_classes(ws: Workspace, rows: DataFrame, shingle: int) -> DataFrame:
         (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & fits
     )
     rest = ws.save("rest", rest.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    ws.drop(at_members)
+    rest = ws.save("rest-alike", against(ws, rest, bitmaps, alike, ""))
     more = _ends(rest).join(sets.select("node"), "node", "left_anti")
     sets = sets.unionByName(sets_of(ws, more, rows, firsts, shingle))
     edges = edges.unionByName(similar(ws, rest, sets))
 
     roots = firsts.select("node", "n").join(_roots(ws, edges), "node", "left")
     roots = ws.save("roots", roots.select("node", "n", F.coalesce("root", "node").alias("root")))
-    return lookup(marked.select("_id", *address, "node"), roots, "node", "n", marked.count()).drop("node")
+    return lookup(places, roots, "node", "n", places.count()).drop("node")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:

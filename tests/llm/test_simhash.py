@@ -220,3 +220,41 @@ def test_unlike_members_of_a_family_are_not_compared(spark, ws, frame, monkeypat
     left = sorted(r.doc_id for r in S.keep_one(spark, frame(rows)).select("doc_id").collect())
     assert left == list(range(100))
     assert sum(compared) < 500
+
+
+def test_bitmaps_admit_all_linked_sets_and_few_others():
+    """Sets of all sizes, also such whose bitmaps differ in width: no linked pair is refused, and few at a similarity of 0.6."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    for n in (1, 5, 63, 64, 65, 900, 1030, 5000):
+        base = draw(n)
+        few = base[: max(1, -(-4 * len(base) // 5))]  # a similarity of 0.8 or a little more
+        pair = [S.parity_bitmap(x) for x in (base, few)]
+        assert S.alike(pair[:1], np.array([0, 0]), [pair[1], pair[0]])[0].tolist() == [True, True]
+        if n >= 900:
+            other = S.parity_bitmap(np.unique(np.concatenate([base[: 3 * len(base) // 4], draw(n // 4)])))
+            assert not S.alike(pair[:1], np.array([0]), [other])[0].any()
+    assert S.alike([S.parity_bitmap(draw(0))], np.array([0]), [S.parity_bitmap(draw(0))])[0].tolist() == [True]
+
+
+def test_whole_sets_are_not_sent_for_unlike_pairs(spark, frame, monkeypatch):
+    """80 texts of 1500 words with a common passage and forty edits of their own: their sets are neither made nor compared, whatever
+    the 256 bits and the places say."""
+    rng, base, rows = random.Random(5), [f"w{i}" for i in range(1500)], []
+    for i in range(80):
+        words = list(base)
+        for k in rng.sample(range(1500), 40):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows.append((900, f"{rows[0][1]} more"))
+    made, own = [], S.sets_of
+
+    def counted(ws, nodes, *rest):
+        found = own(ws, nodes, *rest)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(S, "sets_of", counted)
+    monkeypatch.setattr(S, "has_room", lambda room, *_: room.isNotNull() | True)
+    assert sorted(r.doc_id for r in S.keep_one(spark, frame(rows)).select("doc_id").collect()) == list(range(80))
+    assert sum(made) < 10
